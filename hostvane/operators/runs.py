@@ -180,6 +180,11 @@ def compare_models(models: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, name: str) -> DataFrame:
+    """Place of each row in its group's order, from 1."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row of each group in ``order``; ranked per task before the shuffle."""
     ranked = Window.partitionBy(*keys).orderBy(*order)
