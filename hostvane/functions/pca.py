@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,6 @@ class Coefficients:
     scale: Sequence[Column]
     pca_mean: Sequence[Column]
     components: Sequence[Sequence[Column]]
-    threshold: Column
 
     @staticmethod
     def literal(model: PcaModel) -> Coefficients:
@@ -112,7 +112,6 @@ class Coefficients:
             row(model.scale),
             row(model.pca_mean),
             [row(c) for c in model.components],
-            F.lit(float(model.threshold)),
         )
 
     @staticmethod
@@ -124,7 +123,6 @@ class Coefficients:
             at("preprocessing.scale", DIM),
             at("model.mean", DIM),
             components,
-            F.col(f"{column}.thresholds.reconstruction_error"),
         )
 
 
@@ -149,33 +147,35 @@ def with_projections(df: DataFrame, c: Coefficients) -> DataFrame:
     )
 
 
-def with_residuals(df: DataFrame, c: Coefficients) -> DataFrame:
-    """What the components leave unexplained, per feature, as ``_r0`` to ``_r4``."""
-    k = len(c.components)
+def with_residuals(df: DataFrame, model: PcaModel) -> DataFrame:
+    """What the components leave unexplained, per feature, as ``_r0`` to ``_r4``.
+
+    Projecting and reconstructing is one linear map, so it is folded into a 5 x 5 matrix here:
+    the expression stays small even where a filter on the error repeats it.
+    """
+    axes = np.array(model.components)
+    left = np.eye(DIM) - axes.T @ axes
     return df.withColumns(
-        {
-            f"_r{i}": F.col(f"_x{i}") - _total([c.components[j][i] * F.col(f"_p{j}") for j in range(k)])
-            for i in range(DIM)
-        }
+        {f"_r{i}": _total([F.lit(float(left[i, j])) * F.col(f"_x{j}") for j in range(DIM)]) for i in range(DIM)}
     )
 
 
 def residual_norm() -> Column:
-    return F.sqrt(_total([F.col(f"_r{i}") * F.col(f"_r{i}") for i in range(DIM)]))
+    return F.sqrt(_total([F.pow(F.col(f"_r{i}"), F.lit(2.0)) for i in range(DIM)]))
 
 
 def _drop_steps(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if len(c) == 3 and c[:2] in ("_x", "_p", "_r")])
 
 
-def score_with(df: DataFrame, c: Coefficients, residuals: bool = False) -> DataFrame:
+def score_rows(df: DataFrame, model: PcaModel, residuals: bool = False) -> DataFrame:
     """``df`` plus ``reconstruction_error`` and ``predicted_is_anomaly``.
 
     With ``residuals``, also the residual vector and the feature that contributes most.
     """
-    steps = with_residuals(with_projections(with_centered(df, c), c), c)
+    steps = with_residuals(with_centered(df, Coefficients.literal(model)), model)
     scored = steps.withColumn("reconstruction_error", residual_norm()).withColumn(
-        "predicted_is_anomaly", F.col("reconstruction_error") > c.threshold
+        "predicted_is_anomaly", F.col("reconstruction_error") > F.lit(model.threshold)
     )
     if residuals:
         largest = F.array_max(
@@ -195,10 +195,10 @@ def score_with(df: DataFrame, c: Coefficients, residuals: bool = False) -> DataF
 def score(df: DataFrame, model: PcaModel, residuals: bool = False) -> DataFrame:
     """Score rows that carry the five features. The model's own preprocessing choice is applied."""
     if not model.preprocessed:
-        return score_with(df, Coefficients.literal(model), residuals)
+        return score_rows(df, model, residuals)
     raw = {f"_raw_{f}": F.col(f) for f in FEATURES}
     shaped = preprocess(df.withColumns(raw), model.log1p_network)
-    scored = score_with(shaped, Coefficients.literal(model), residuals)
+    scored = score_rows(shaped, model, residuals)
     return scored.withColumns({f: F.col(f"_raw_{f}") for f in FEATURES}).drop(*raw)
 
 
