@@ -30,7 +30,7 @@ from hostvane.operators.folds import run_fold
 from hostvane.operators.sequences import POSITION, SLICE_ROWS, HostRows, numbered
 from hostvane.schemas import FEATURES, HOST_KEYS, TIME_ORDER
 
-MICROS = "_us"
+MICROS = "time_us"
 ERROR, MODEL_FLAG = "reconstruction_error", "predicted_is_anomaly"
 
 STATS_FIELDS = [("a_flag", T.BooleanType()), ("a_score", T.DoubleType())]
