@@ -97,75 +97,75 @@ DEFAULT_MODEL = PcaModel(
 
 @dataclass(frozen=True)
 class Coefficients:
-    """The numbers of a model as columns: literals for one model, or fields of a joined model row."""
+    """The numbers of a model as SQL text: literals for one model, or columns of a joined model row."""
 
-    mean: Sequence[Column]
-    scale: Sequence[Column]
-    pca_mean: Sequence[Column]
-    components: Sequence[Sequence[Column]]
+    mean: Sequence[str]
+    scale: Sequence[str]
+    pca_mean: Sequence[str]
+    components: Sequence[Sequence[str]]
 
     @staticmethod
     def literal(model: PcaModel) -> Coefficients:
-        row = lambda values: [F.lit(float(v)) for v in values]
-        return Coefficients(
-            row(model.mean),
-            row(model.scale),
-            row(model.pca_mean),
-            [row(c) for c in model.components],
-        )
+        row = lambda values: [number(v) for v in values]
+        return Coefficients(row(model.mean), row(model.scale), row(model.pca_mean), [row(c) for c in model.components])
 
     @staticmethod
-    def joined(column: str, n_components: int) -> Coefficients:
-        at = lambda path, n: [F.col(f"{column}.{path}")[i] for i in range(n)]
-        components = [[F.col(f"{column}.model.components")[j][i] for i in range(DIM)] for j in range(n_components)]
+    def joined(n_components: int) -> Coefficients:
+        """The plain columns that ``flat_model`` makes."""
+        named = lambda prefix: [f"{prefix}{i}" for i in range(DIM)]
         return Coefficients(
-            at("preprocessing.mean", DIM),
-            at("preprocessing.scale", DIM),
-            at("model.mean", DIM),
-            components,
+            named("_mean"), named("_scale"), named("_center"), [named(f"_c{j}_") for j in range(n_components)]
         )
 
 
-def _total(terms: Sequence[Column]) -> Column:
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
+def number(value: float) -> str:
+    return f"({float(value)!r}D)"
+
 
+def flat_model(models: DataFrame, column: str, keys: Sequence[str], n_components: int) -> DataFrame:
+    """A model struct as one plain column per number, so joined rows read doubles, not nested arrays."""
+    numbers = {"_mean": "preprocessing.mean", "_scale": "preprocessing.scale", "_center": "model.mean"}
+    flat = [f"{column}.{path}[{i}] AS {name}{i}" for name, path in numbers.items() for i in range(DIM)]
+    axes = f"{column}.model.components"
+    flat += [f"{axes}[{j}][{i}] AS _c{j}_{i}" for j in range(n_components) for i in range(DIM)]
+    return models.selectExpr(*keys, *flat)
 
-def with_centered(df: DataFrame, c: Coefficients) -> DataFrame:
+
+def centered(c: Coefficients) -> list[str]:
     """Standardized and centered features as ``_x0`` to ``_x4``."""
-    return df.withColumns(
-        {f"_x{i}": (F.col(f) - c.mean[i]) / c.scale[i] - c.pca_mean[i] for i, f in enumerate(FEATURES)}
-    )
+    return [f"({f} - {c.mean[i]}) / {c.scale[i]} - {c.pca_mean[i]} AS _x{i}" for i, f in enumerate(FEATURES)]
 
 
-def with_projections(df: DataFrame, c: Coefficients) -> DataFrame:
+def projections(c: Coefficients) -> list[str]:
     """Coordinates on each component as ``_p0`` and so on."""
-    return df.withColumns(
-        {f"_p{j}": _total([row[i] * F.col(f"_x{i}") for i in range(DIM)]) for j, row in enumerate(c.components)}
-    )
+    return [
+        " + ".join(f"{axis[i]} * _x{i}" for i in range(DIM)) + f" AS _p{j}" for j, axis in enumerate(c.components)
+    ]
 
 
-def with_residuals(df: DataFrame, model: PcaModel) -> DataFrame:
+def residuals_of(model: PcaModel) -> list[str]:
     """What the components leave unexplained, per feature, as ``_r0`` to ``_r4``.
 
     Projecting and reconstructing is one linear map, so it is folded into a 5 x 5 matrix here:
-    the expression stays small even where a filter on the error repeats it.
+    one short expression per feature.
     """
     axes = np.array(model.components)
     left = np.eye(DIM) - axes.T @ axes
-    return df.withColumns(
-        {f"_r{i}": _total([F.lit(float(left[i, j])) * F.col(f"_x{j}") for j in range(DIM)]) for i in range(DIM)}
-    )
+    return [
+        " + ".join(f"{number(left[i, j])} * _x{j}" for j in range(DIM)) + f" AS _r{i}" for i in range(DIM)
+    ]
+
 
+RESIDUAL_NORM = "sqrt(" + " + ".join(f"_r{i} * _r{i}" for i in range(DIM)) + ")"
 
-def residual_norm() -> Column:
-    return F.sqrt(_total([F.pow(F.col(f"_r{i}"), F.lit(2.0)) for i in range(DIM)]))
 
+def fenced(df: DataFrame, keep: Sequence[str], computed: dict[str, Column]) -> DataFrame:
+    """``keep`` columns plus ``computed`` ones, each evaluated once per row.
 
-def _drop_steps(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if len(c) == 3 and c[:2] in ("_x", "_p", "_r")])
+    A later filter on a computed column would otherwise be rewritten over the inputs and repeat
+    the whole arithmetic per condition. Filters on ``keep`` columns still reach the scan.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in computed.items()]))))
 
 
 def score_rows(df: DataFrame, model: PcaModel, residuals: bool = False) -> DataFrame:
@@ -173,23 +173,21 @@ def score_rows(df: DataFrame, model: PcaModel, residuals: bool = False) -> DataF
 
     With ``residuals``, also the residual vector and the feature that contributes most.
     """
-    steps = with_residuals(with_centered(df, Coefficients.literal(model)), model)
-    scored = steps.withColumn("reconstruction_error", residual_norm()).withColumn(
-        "predicted_is_anomaly", F.col("reconstruction_error") > F.lit(model.threshold)
-    )
+    kept = [f"`{c}`" for c in df.columns]
+    steps = df.selectExpr(*kept, *centered(Coefficients.literal(model))).selectExpr(*kept, *residuals_of(model))
+    steps = steps.selectExpr("*", f"{RESIDUAL_NORM} AS _error")
+    computed = {
+        "reconstruction_error": F.col("_error"),
+        "predicted_is_anomaly": F.expr(f"_error > {number(model.threshold)}"),
+    }
     if residuals:
-        largest = F.array_max(
-            F.array(
-                *[
-                    F.struct(F.abs(F.col(f"_r{i}")).alias("size"), F.lit(DIM - i).alias("first"), F.lit(f).alias("name"))
-                    for i, f in enumerate(FEATURES)
-                ]
-            )
-        )
-        scored = scored.withColumns(
-            {"residuals": F.array(*[F.col(f"_r{i}") for i in range(DIM)]), "top_contributor": largest["name"]}
+        # the first feature wins a tie, hence the descending number
+        sized = ", ".join(
+            f"struct(abs(_r{i}) AS size, {DIM - i} AS first, '{f}' AS name)" for i, f in enumerate(FEATURES)
         )
-    return _drop_steps(scored)
+        computed["residuals"] = F.expr("array(" + ", ".join(f"_r{i}" for i in range(DIM)) + ")")
+        computed["top_contributor"] = F.expr(f"array_max(array({sized})).name")
+    return fenced(steps, df.columns, computed)
 
 
 def score(df: DataFrame, model: PcaModel, residuals: bool = False) -> DataFrame:

@@ -192,7 +192,7 @@ def histogram(
     if include_upper:
         bucket = F.when(F.col(metric) == hi, F.lit(bins)).otherwise(bucket)
     counts = (
-        join_checked(apply_filters(telemetry, filters).select(RUN, metric), edges, [RUN])
+        join_checked(apply_filters(telemetry, filters).select(RUN, metric), edges, [RUN], stored=True)
         .select(RUN, (bucket - 1).cast("int").alias("bin"))
         .where(F.col("bin").between(0, bins - 1))
         .groupBy(RUN, "bin")

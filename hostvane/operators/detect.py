@@ -242,5 +242,5 @@ def fused_pipeline(
     telemetry: DataFrame, cfg: PipelineConfig = PipelineConfig(), slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Every row with both detectors' verdicts and whether it raises an alert."""
-    seq = numbered(fused_input(telemetry, cfg), slice_rows=slice_rows)
+    seq = numbered(fused_input(telemetry, cfg), slice_rows=slice_rows, count_in=telemetry)
     return run_fold(seq, FusedFold(cfg), IDENTITY)

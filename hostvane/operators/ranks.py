@@ -30,9 +30,24 @@ class Quantile:
     p: float
     nearest: bool = False
 
-    def expression(self) -> Column:
-        name = "percentile_disc" if self.nearest else "percentile_cont"
-        return F.expr(f"{name}({self.p!r}D) within group (order by `{self.column}`)")
+
+
+def quantile_columns(quantiles: Mapping[str, Quantile]) -> tuple[list[Column], list[Column]]:
+    """(aggregates, columns that pick each quantile out of them).
+
+    Quantiles of one column share one aggregate, so its values are gathered once.
+    """
+    shared: dict[tuple[str, bool], list[str]] = {}
+    for name, q in quantiles.items():
+        shared.setdefault((q.column, q.nearest), []).append(name)
+    aggregates, picks = [], {}
+    for n, ((column, nearest), names) in enumerate(shared.items()):
+        function = "percentile_disc" if nearest else "percentile_cont"
+        points = ", ".join(f"{quantiles[name].p!r}D" for name in names)
+        expression = F.expr(f"{function}(array({points})) within group (order by `{column}`)")
+        aggregates.append(expression.alias(f"_q{n}"))
+        picks |= {name: F.col(f"_q{n}")[i].alias(name) for i, name in enumerate(names)}
+    return aggregates, [picks[name] for name in quantiles]
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -48,22 +63,24 @@ def aggregate(
     plain: Sequence[Column],
     quantiles: Mapping[str, Quantile],
     group_rows: int = GROUP_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
-    """``groupBy(keys)`` with ordinary aggregates plus exact quantiles named by ``quantiles``."""
+    """``groupBy(keys)`` with ordinary aggregates plus exact quantiles named by ``quantiles``.
+
+    ``count_in`` may name a frame with the same rows per group that is cheaper to count.
+    """
     if not quantiles:
         return df.groupBy(*keys).agg(*plain)
     if not keys:
         raise ValueError("quantiles need at least one grouping column")
-    largest, total = group_sizes(df, keys)
+    largest, total = group_sizes(df if count_in is None else count_in, keys)
     if largest <= group_rows:
-        exact = [q.expression().alias(name) for name, q in quantiles.items()]
-        return df.groupBy(*keys).agg(*plain, *exact)
+        return _in_groups(df, keys, plain, quantiles)
     hot_rows = max(group_rows, total // HOT_GROUPS)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = materialize(sizes.where(F.col("_n") > hot_rows).select(*keys), "hot")
     cold = _keyed_join(df, hot, keys, "left_anti")
-    exact = [q.expression().alias(name) for name, q in quantiles.items()]
-    result = cold.groupBy(*keys).agg(*plain, *exact)
+    result = _in_groups(cold, keys, plain, quantiles)
     hot_df = _keyed_join(df, hot, keys, "left_semi")
     hot_part = hot_df.groupBy(*keys).agg(*plain)
     for column in dict.fromkeys(q.column for q in quantiles.values()):
@@ -73,6 +90,12 @@ def aggregate(
     return result.unionByName(hot_part.select(*result.columns))
 
 
+def _in_groups(df: DataFrame, keys: Sequence[str], plain: Sequence[Column], quantiles: Mapping[str, Quantile]) -> DataFrame:
+    aggregates, picks = quantile_columns(quantiles)
+    grouped = df.groupBy(*keys).agg(*plain, *aggregates)
+    return grouped.select(*[c for c in grouped.columns if not c.startswith("_q")], *picks)
+
+
 def _keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Null-safe join on ``keys``. ``right`` has at most HOT_GROUPS rows, so it is broadcast."""
     renamed = right.select(

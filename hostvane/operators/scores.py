@@ -99,7 +99,7 @@ def error_distribution(
     """Error statistics per value of a dimension; a missing value is shown as ''."""
     checks.one_of(group_by, ERROR_DIMENSIONS, "group_by")
     label = F.coalesce(F.col(group_by), F.lit("")).alias("label")
-    rows = with_telemetry(scores, telemetry, group_by).select(*SCORE_KEYS, label, ERROR)
+    rows = materialize(with_telemetry(scores, telemetry, group_by).select(*SCORE_KEYS, label, ERROR), "joined")
     return aggregate(
         rows,
         [*SCORE_KEYS, "label"],
@@ -140,13 +140,13 @@ def _first_reached(points: int) -> Column:
     A binary search spelled as nested conditions, so it runs inside generated code.
     """
 
-    def search(low: int, high: int) -> Column:
+    def search(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         mid = (low + high) // 2
-        return F.when(F.col(ERROR) >= F.col("_cuts")[mid], search(low, mid)).otherwise(search(mid + 1, high))
+        return f"CASE WHEN {ERROR} >= _cuts[{mid}] THEN {search(low, mid)} ELSE {search(mid + 1, high)} END"
 
-    return search(0, points - 1)
+    return F.expr(search(0, points - 1))
 
 
 def _curve_cuts(labelled: DataFrame, points: int, group_rows: int) -> DataFrame:
@@ -158,8 +158,9 @@ def _curve_cuts(labelled: DataFrame, points: int, group_rows: int) -> DataFrame:
     if largest <= group_rows:
         ordered = labelled.groupBy(*keys).agg(F.sort_array(F.collect_list(ERROR), asc=False).alias("_all"))
         last = F.size("_all") - 1
-        picks = [F.col("_all")[F.floor(F.lit(s) * last).cast("int")] for s in shares]
-        return ordered.select(*keys, F.array(*picks).alias("_cuts"))
+        wanted = F.expr("array(" + ", ".join(f"{s!r}D" for s in shares) + ")")
+        picks = F.transform(wanted, lambda s: F.get(F.col("_all"), F.floor(s * last).cast("int")))
+        return ordered.select(*keys, picks.alias("_cuts"))
     sizes = labelled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     last = F.col("_n") - 1
     wanted = [
@@ -179,9 +180,9 @@ def curves(labelled: DataFrame, points: int = DEFAULT_POINTS, group_rows: int =
     """
     points = curve_points(points)
     keys = list(SCORE_KEYS)
-    rows = labelled.select(*keys, ERROR, "label")
+    rows = materialize(labelled.select(*keys, ERROR, "label"), "labelled")
     cuts = materialize(_curve_cuts(rows, points, group_rows), "cuts")
-    placed = join_checked(rows, cuts, keys).select(*keys, "label", _first_reached(points).alias("point"))
+    placed = join_checked(rows, cuts, keys, stored=True).select(*keys, "label", _first_reached(points).alias("point"))
     counts = placed.groupBy(*keys, "point").agg(
         F.count_if("label").alias("_pos"), F.count_if(~F.col("label")).alias("_neg")
     )

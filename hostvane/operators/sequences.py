@@ -40,10 +40,14 @@ def numbered(
     keys: Sequence[str] = HOST_KEYS,
     order: Sequence[str] = TIME_ORDER,
     slice_rows: int = SLICE_ROWS,
+    count_in: DataFrame | None = None,
 ) -> HostRows:
-    """Add ``_pos`` (from 0, per host, in ``order``) and ``_slice``. ``order`` must be total."""
+    """Add ``_pos`` (from 0, per host, in ``order``) and ``_slice``. ``order`` must be total.
+
+    ``count_in`` may name a frame with the same rows per host that is cheaper to count.
+    """
     keys = tuple(keys)
-    largest, total = group_sizes(df, keys)
+    largest, total = group_sizes(df if count_in is None else count_in, keys)
     if largest <= slice_rows:
         in_time = Window.partitionBy(*keys).orderBy(*order)
         rows = df.withColumn(POSITION, (F.row_number().over(in_time) - 1).cast("long")).withColumn(

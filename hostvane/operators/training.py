@@ -11,10 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostvane.functions.features import preprocess
-from hostvane.functions.pca import DIM, Coefficients, PcaModel, residual_norm, with_centered, with_projections
+from hostvane.functions.pca import (
+    DIM,
+    RESIDUAL_NORM,
+    Coefficients,
+    PcaModel,
+    centered,
+    fenced,
+    flat_model,
+    projections,
+)
 from hostvane.operators.joins import join_checked
 from hostvane.operators.ranks import GROUP_ROWS, Quantile, aggregate
 from hostvane.schemas import FEATURES, MODEL_SCHEMA
+from hostvane.session import materialize
 
 # What an artifact says about itself.
 ARTIFACT_VERSION = "v1"
@@ -102,23 +112,28 @@ def fit_all_components(
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("fit", MODEL_SCHEMA)])
     options = {"preprocessed": preprocessed, "log1p_network": log1p_network}
     usable = moments(rows, keys).where(F.col("n") >= 2)
-    return rows, usable.mapInPandas(_model_rows(keys, options), schema)
+    return rows, materialize(usable.mapInPandas(_model_rows(keys, options), schema), "models")
 
 
 def errors_by_components(rows: DataFrame, models: DataFrame, keys: Sequence[str], ks: Sequence[int]) -> DataFrame:
     """``err_k`` for each k in ``ks``: components are peeled off one after the other, so one
     walk gives every k, and small errors do not suffer from subtracting large squares."""
-    c = Coefficients.joined("fit", max(ks))
-    joined = join_checked(rows, models, keys)
-    step = with_projections(with_centered(joined, c), c)
-    step = step.withColumns({f"_r{i}": F.col(f"_x{i}") for i in range(DIM)})
-    for j in range(max(ks)):
-        step = step.withColumns(
-            {f"_r{i}": F.col(f"_r{i}") - c.components[j][i] * F.col(f"_p{j}") for i in range(DIM)}
-        )
+    last = max(ks)
+    c = Coefficients.joined(last)
+    joined = join_checked(rows, flat_model(models, "fit", keys, last), keys, stored=True)
+    axes = [name for axis in c.components for name in axis]
+    found = [f"_p{j}" for j in range(last)]
+    step = joined.selectExpr(*keys, *axes, *centered(c)).selectExpr(
+        *keys, *axes, *projections(c), *[f"_x{i} AS _r{i}" for i in range(DIM)]
+    )
+    errors: list[str] = []
+    for j in range(last):
+        peeled = [f"_r{i} - {c.components[j][i]} * _p{j} AS _r{i}" for i in range(DIM)]
+        step = step.selectExpr(*keys, *axes, *found, *errors, *peeled)
         if j + 1 in ks:
-            step = step.withColumn(f"err_{j + 1}", residual_norm())
-    return step.select(*keys, *[f"err_{k}" for k in ks])
+            step = step.selectExpr("*", f"{RESIDUAL_NORM} AS err_{j + 1}")
+            errors.append(f"err_{j + 1}")
+    return fenced(step, keys, {e: F.col(e) for e in errors})
 
 
 def truncated(fit: str, k: int, threshold: Column) -> Column:
@@ -155,7 +170,7 @@ def train_models(
     rows, models = fit_all_components(source, keys, preprocessed, log1p_network)
     errors = errors_by_components(rows, models, keys, [k])
     wanted = {"threshold": Quantile(f"err_{k}", percentile / 100.0, nearest=True)}
-    thresholds = aggregate(errors, keys, [], wanted, group_rows)
+    thresholds = aggregate(errors, keys, [], wanted, group_rows, count_in=rows)
     return models.join(thresholds, list(keys)).select(
         *keys, truncated("fit", k, F.col("threshold")).alias("model")
     )

@@ -113,7 +113,7 @@ def run_sweep(
     errors = errors_by_components(rows, models, keys, ks)
     names = {(k, p): f"t{i}" for i, (k, p) in enumerate(dict.fromkeys(trials))}
     wanted = {name: Quantile(f"err_{k}", p / 100.0, nearest=True) for (k, p), name in names.items()}
-    wide = aggregate(errors, keys, [], wanted, group_rows)
+    wide = aggregate(errors, keys, [], wanted, group_rows, count_in=rows)
     entries = [
         F.struct(
             F.lit(i).alias("trial_index"),

@@ -46,25 +46,22 @@ def append_telemetry(df: DataFrame, path: str, file_rows: int = 5_000_000) -> No
 
 def telemetry_from_events(events: DataFrame) -> DataFrame:
     """The driver's ``events`` table seen as host telemetry (fixed projection, see FIXTURES.md)."""
-    user, event, value = F.col("user_id"), F.col("event_id"), F.col("value")
-    tier = F.get_json_object("props", "$.k").cast("double")
-    rx = F.lit(10.0) + tier / F.lit(10.0)
-    lag_ms = (F.lit(2000) + event % 501).cast("int")
-    anomalous = value > 150
-    return events.select(
-        event.alias("record_id"),
-        F.timestamp_add("MILLISECOND", lag_ms, F.col("ts")).alias("ingestion_time"),
-        F.col("ts").alias("metric_timestamp"),
-        F.concat(F.lit("host-"), user.cast("string")).alias("host_id"),
-        F.concat(F.lit("proj-"), (user % 7).cast("string")).alias("project_id"),
-        F.when(user % 3 == 0, "us-east1").when(user % 3 == 1, "us-west1").otherwise("eu-west1").alias("region"),
-        F.least(F.lit(100.0), value).alias("cpu_usage"),
-        F.least(F.lit(100.0), value * F.lit(0.7) + F.lit(20.0) + event % 5).alias("memory_usage"),
-        (F.lit(30.0) + event % 11 - 5).alias("disk_utilization"),
-        rx.alias("network_rx_rate"),
-        (rx * F.lit(0.8) + event % 6).alias("network_tx_rate"),
-        F.col("props").alias("labels"),
-        F.concat(F.lit("run-"), (user % 2).cast("string")).alias("run_id"),
-        anomalous.alias("is_anomaly"),
-        F.when(anomalous, F.upper("event_type")).alias("anomaly_type"),
+    tier = "CAST(get_json_object(props, '$.k') AS DOUBLE)"
+    rx = f"10.0D + {tier} / 10.0D"
+    return events.selectExpr(
+        "event_id AS record_id",
+        "timestampadd(MILLISECOND, CAST(2000 + event_id % 501 AS INT), ts) AS ingestion_time",
+        "ts AS metric_timestamp",
+        "concat('host-', user_id) AS host_id",
+        "concat('proj-', user_id % 7) AS project_id",
+        "CASE user_id % 3 WHEN 0 THEN 'us-east1' WHEN 1 THEN 'us-west1' ELSE 'eu-west1' END AS region",
+        "least(100.0D, value) AS cpu_usage",
+        "least(100.0D, value * 0.7D + 20.0D + event_id % 5) AS memory_usage",
+        "30.0D + event_id % 11 - 5 AS disk_utilization",
+        f"{rx} AS network_rx_rate",
+        f"({rx}) * 0.8D + event_id % 6 AS network_tx_rate",
+        "props AS labels",
+        "concat('run-', user_id % 2) AS run_id",
+        "value > 150 AS is_anomaly",
+        "CASE WHEN value > 150 THEN upper(event_type) END AS anomaly_type",
     )

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hostvane.functions.pca import PcaModel, score
 from hostvane.operators.analytics import series_aggregates
 from hostvane.operators.detect import epoch_micros
+from hostvane.operators.ranks import quantile_columns
 from hostvane.schemas import FEATURES, telemetry_schema
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,7 +54,7 @@ def stream_series(
 ) -> DataFrame:
     """Metrics and anomaly rate per run and bucket; a bucket is emitted once the watermark passes its end."""
     plain, quantiles = series_aggregates(metrics, aggs)
-    exact = [q.expression().alias(name) for name, q in quantiles.items()]
+    exact, picks = quantile_columns(quantiles)
     return (
         with_event_time(telemetry, delay)
         .groupBy("run_id", F.window("metric_timestamp", f"{seconds} seconds").alias("bucket"))
@@ -63,6 +64,7 @@ def stream_series(
             *plain,
             *exact,
         )
+        .withColumns({name: pick for name, pick in zip(quantiles, picks)})
         .select("run_id", F.col("bucket.start").alias("ts"), "count", "anomaly_rate", *[f"{m}_{a}" for m in metrics for a in aggs])
     )
 
