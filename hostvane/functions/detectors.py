@@ -79,80 +79,101 @@ class RobustZ:
     def advance(self, values, starts, ends, positions, states):
         """``values`` (rows, metrics); host i owns rows starts[i]:ends[i], the first at ``positions[i]``.
 
-        Returns z, above threshold, and skipped, each (rows, metrics), and the states after.
+        Returns z and skipped, each (rows, metrics), and the states after.
         """
         size, every, needed = self.window.size, self.window.recompute_interval, self.window.min_history
-        limit = self.outliers.poison_threshold if self.outliers.mitigate_poison else np.inf
         n, m = values.shape
         z_all = np.zeros((n, m))
         skipped_all = np.zeros((n, m), dtype=bool)
-        history = np.stack([s[0] for s in states])
-        median = np.stack([s[1] for s in states])
-        mad = np.stack([s[2] for s in states])
-        held = np.count_nonzero(~np.isnan(history), axis=2)
         phase = positions % every
         blocks = -(-(phase + ends - starts) // every)
         # hosts with most blocks first, so the ones still going are always a prefix
         order = np.argsort(-blocks, kind="stable")
-        starts, ends, phase, blocks = starts[order], ends[order], phase[order], blocks[order]
-        history, median, mad, held = history[order], median[order], mad[order], held[order]
+        first, ends, blocks = (starts - phase)[order], ends[order], blocks[order]
+        starts = starts[order]
+        history = np.stack([states[i][0] for i in order])
+        median = np.stack([states[i][1] for i in order])
+        mad = np.stack([states[i][2] for i in order])
+        held = np.count_nonzero(~np.isnan(history), axis=2)
         offsets = np.arange(every)
         live_counts = np.searchsorted(-blocks, -np.arange(blocks[0]), side="left")
+        whole_until = (ends - first) // every
+        begins_whole = bool((first == starts).all())
         for b in range(int(blocks[0])):
             live = int(live_counts[b])
-            rows = (starts[:live] - phase[:live] + b * every)[:, None] + offsets
-            present = (rows >= starts[:live, None]) & (rows < ends[:live, None])
-            rows = np.clip(rows, 0, n - 1)
+            rows = (first[:live] + b * every)[:, None] + offsets
+            whole = (b > 0 or begins_whole) and b < whole_until[:live].min()
+            if whole:
+                present = None
+            else:
+                present = (rows >= starts[:live, None]) & (rows < ends[:live, None])
+                rows = np.clip(rows, 0, n - 1)
             hist, count = history[:live], held[:live]
-            due = present[:, :1] & (count >= needed)
-            if due.any():
-                self._recompute(hist, median[:live], mad[:live], count, due)
+            due = count >= needed
+            if present is not None:
+                due = due & present[:, :1]
+            self._recompute(hist, median[:live], mad[:live], count, due)
             x = values[rows]
             spread = np.where(mad[:live] > 0, mad[:live], FLAT_MAD)
             z = np.abs(x - median[:live, None, :]) / spread[:, None, :]
-            seen = np.cumsum(present, axis=1) - present
-            warm = np.minimum(count[:, None, :] + seen[:, :, None], size) >= needed
-            z = np.where(warm, z, 0.0)
-            skip = z > limit
-            full = bool(present.all())
-            keep = ~skip & present[:, :, None]
-            if full:
+            if count.min() < needed:
+                seen = offsets[None, :] if present is None else np.cumsum(present, axis=1) - present
+                z[np.minimum(count[:, None, :] + seen[:, :, None], size) < needed] = 0.0
+            if present is None:
                 z_all[rows] = z
-                skipped_all[rows] = skip
             else:
                 z_all[rows[present]] = z[present]
-                skipped_all[rows[present]] = skip[present]
-            fresh = np.where(keep, x, np.nan).transpose(0, 2, 1)
-            joined = np.concatenate([hist, fresh], axis=2)
-            if not keep.all():
-                used = ~np.isnan(joined)
-                joined = np.take_along_axis(joined, np.argsort(used, axis=2, kind="stable"), axis=2)
+            fresh = x.transpose(0, 2, 1)
+            keep = None
+            if self.outliers.mitigate_poison:
+                skip = z > self.outliers.poison_threshold
+                if skip.any():
+                    keep = ~skip
+                    if present is None:
+                        skipped_all[rows] = skip
+                    else:
+                        skipped_all[rows[present]] = skip[present]
+            if present is not None:
+                keep = present[:, :, None] & (True if keep is None else keep)
+            if keep is None:
+                joined = np.concatenate([hist, fresh], axis=2)
+                held[:live] = np.minimum(count + every, size)
+            else:
+                keep = np.broadcast_to(keep, x.shape)
+                joined = np.concatenate([hist, np.where(keep.transpose(0, 2, 1), fresh, np.nan)], axis=2)
+                by_age = np.argsort(~np.isnan(joined), axis=2, kind="stable")
+                joined = joined[np.arange(live)[:, None, None], np.arange(m)[None, :, None], by_age]
+                held[:live] = np.minimum(count + keep.sum(axis=1), size)
             history[:live] = joined[:, :, -size:]
-            held[:live] = np.minimum(count + keep.sum(axis=1), size)
-        above_all = z_all > self.outliers.robust_z_threshold
         after = [None] * len(states)
         for place, host in enumerate(order):
             after[host] = (history[place].copy(), median[place].copy(), mad[place].copy())
-        return z_all, above_all, skipped_all, after
+        return z_all, skipped_all, after
 
     @staticmethod
     def _recompute(history, median, mad, count, due):
         """Upper median of each due history and of the distances to it."""
-        middle = (count // 2)[:, :, None]
+        if not due.any():
+            return
+        hosts, metrics = np.arange(count.shape[0])[:, None], np.arange(count.shape[1])
+        middle = np.minimum(count // 2, history.shape[2] - 1)
         # NaN sorts last, so the first ``count`` cells are the values in order
         ordered = np.sort(history, axis=2)
-        pick = lambda a: np.take_along_axis(a, np.minimum(middle, a.shape[2] - 1), axis=2)[:, :, 0]
-        new_median = pick(ordered)
-        new_mad = pick(np.sort(np.abs(ordered - new_median[:, :, None]), axis=2))
-        median[due] = new_median[due]
-        mad[due] = np.where(new_mad == 0.0, FLAT_MAD, new_mad)[due]
-
-
-def z_details(z, above, skipped) -> str:
-    parts = [
-        f"{FEATURES[i]}:rz={z[i]:.1f}{'(skipped)' if skipped[i] else ''} " for i in np.flatnonzero(above)
-    ]
-    return "".join(parts)
+        center = ordered[hosts, metrics, middle]
+        distance = np.abs(ordered - center[:, :, None])
+        distance.sort(axis=2)
+        spread = distance[hosts, metrics, middle]
+        median[due] = center[due]
+        mad[due] = np.where(spread == 0.0, FLAT_MAD, spread)[due]
+
+
+def z_details(z, above, skipped) -> list[str]:
+    """Per row, the metrics above the threshold in feature order, with one decimal."""
+    texts: list[list[str]] = [[] for _ in range(len(z))]
+    for row, metric in zip(*(a.tolist() for a in np.nonzero(above))):
+        mark = "(skipped)" if skipped[row, metric] else ""
+        texts[row].append(f"{FEATURES[metric]}:rz={z[row, metric]:.1f}{mark} ")
+    return ["".join(t) for t in texts]
 
 
 def gate(times_us: list[int], flagged: np.ndarray, last_run: int | None, period_ms: int):

@@ -65,16 +65,23 @@ class PoisonFold:
     def initial(self):
         return self.detector.initial()
 
-    def run(self, rows, starts, ends, states):
+    def judge(self, rows, starts, ends, states):
         values = rows[list(FEATURES)].to_numpy(dtype=float)
         positions = rows[POSITION].to_numpy()[starts]
-        z, above, skipped, after = self.detector.advance(values, starts, ends, positions, states)
+        z, skipped, after = self.detector.advance(values, starts, ends, positions, states)
+        above = z > self.detector.outliers.robust_z_threshold
+        return z, above, skipped, after
+
+    def run(self, rows, starts, ends, states):
+        z, above, skipped, after = self.judge(rows, starts, ends, states)
         flag = above.any(axis=1)
         details = np.full(len(rows), None, dtype=object)
-        for i in np.flatnonzero(flag):
-            details[i] = z_details(z[i], above[i], skipped[i])
-        top = np.where(above, z, 0.0).max(axis=1)
-        return pd.DataFrame({"a_flag": flag, "a_score": top, "details": details}), after
+        details[flag] = z_details(z[flag], above[flag], skipped[flag])
+        return pd.DataFrame({"a_flag": flag, "a_score": largest_flagged(z, above), "details": details}), after
+
+
+def largest_flagged(z, above):
+    return np.where(above, z, 0.0).max(axis=1)
 
 
 class GateFold:
@@ -165,27 +172,28 @@ class FusedFold:
 
     def run(self, rows, starts, ends, states):
         rows = rows.reset_index(drop=True)
-        stats, s0 = self.stats.run(rows, starts, ends, [s[0] for s in states])
-        rows = rows.assign(a_flag=stats["a_flag"], a_score=stats["a_score"])
+        z, above, skipped, s0 = self.stats.judge(rows, starts, ends, [s[0] for s in states])
+        rows = rows.assign(a_flag=above.any(axis=1), a_score=largest_flagged(z, above))
         model, s1 = self.gate.run(rows, starts, ends, [s[1] for s in states])
         rows = rows.assign(b_flag=model["b_flag"], b_score=model["b_score"])
         alerts, s2 = self.alerts.run(rows, starts, ends, [s[2] for s in states])
-        details = self._details(stats, model)
-        result = pd.concat([stats[["a_flag", "a_score"]], model, details, alerts], axis=1)
+        details = np.full(len(rows), None, dtype=object)
+        fired = np.flatnonzero(alerts["alert"])
+        details[fired] = self._details(z[fired], above[fired], skipped[fired], model.iloc[fired])
+        result = pd.concat([rows[["a_flag", "a_score"]], model, pd.Series(details, name="details"), alerts], axis=1)
         return result, list(zip(s0, s1, s2))
 
-    def _details(self, stats: pd.DataFrame, model: pd.DataFrame) -> pd.Series:
-        a, text = stats["a_flag"].to_numpy(), stats["details"].to_numpy()
-        ran, b, err = model["b_ran"].to_numpy(), model["b_flag"].to_numpy(), model["b_score"].to_numpy()
-        out = np.full(len(a), None, dtype=object)
-        for i in np.flatnonzero(a | b):
-            parts = [f"[A:{text[i]}] "] if a[i] else []
-            if b[i]:
-                parts.append(f"[B:PCA_RECON_ERR={err[i]:g} > {self.threshold:g}] ")
-            if not ran[i]:
+    def _details(self, z, above, skipped, model: pd.DataFrame) -> list[str]:
+        """What an alert says: both detectors' findings, and whether the model was skipped."""
+        texts = []
+        for a, b, score, ran in zip(z_details(z, above, skipped), model["b_flag"], model["b_score"], model["b_ran"]):
+            parts = [f"[A:{a}] "] if a else []
+            if b:
+                parts.append(f"[B:PCA_RECON_ERR={score:g} > {self.threshold:g}] ")
+            if not ran:
                 parts.append("[B:SKIPPED] ")
-            out[i] = "".join(parts)
-        return pd.Series(out, name="details")
+            texts.append("".join(parts))
+        return texts
 
 
 IDENTITY = (*HOST_KEYS, *TIME_ORDER)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,12 +29,8 @@ def rolling_stats(
     return stats.where(~F.col("_lead")).select(*HOST_KEYS, *TIME_ORDER, *wanted)
 
 
-def _upper_median(sorted_values: Column) -> Column:
-    return F.get(sorted_values, F.floor(F.size(sorted_values) / 2).cast("int"))
-
-
-def _sorted_distances(values: Column, center: Column) -> Column:
-    return F.array_sort(F.transform(values, lambda x: F.abs(x - center)))
+def _upper_median(sorted_values: str) -> str:
+    return f"get({sorted_values}, CAST(size({sorted_values}) DIV 2 AS INT))"
 
 
 def robust_z(
@@ -47,41 +43,58 @@ def robust_z(
     """Distance of each reading from its host's rolling median, in units of the rolling MAD.
 
     Median and MAD come from the ``size`` rows before a recompute row, every ``recompute_interval``
-    rows, and hold until the next one. Without poison mitigation nothing depends on earlier
-    verdicts, so this is a bounded window; ``operators.detect`` covers mitigation.
+    rows, and hold until the next one. Rows are therefore packed into blocks of that length, one
+    median is taken per block from the blocks before it, and the blocks are unpacked again: the
+    window runs over a tenth of the rows. Without poison mitigation nothing depends on earlier
+    verdicts; ``operators.detect`` covers mitigation.
     """
     every, size, needed = window.recompute_interval, window.size, window.min_history
     seq = numbered(telemetry.select(*HOST_KEYS, *TIME_ORDER, *metrics), slice_rows=slice_rows)
     rows = with_lead_in(seq, size + every)
-    in_order = Window.partitionBy(*HOST_KEYS, SLICE).orderBy(POSITION)
-    before = in_order.rowsBetween(-size, -1)
-    since_tick = in_order.rowsBetween(-(every - 1), 0)
-    warm = F.least(F.col(POSITION), F.lit(size)) >= needed
-    tick = warm & (F.col(POSITION) % every == 0)
-    rows = rows.withColumns({f"_h_{m}": F.when(tick, F.array_sort(F.collect_list(m).over(before))) for m in metrics})
-    rows = rows.withColumns({f"_m_{m}": _upper_median(F.col(f"_h_{m}")) for m in metrics})
-    rows = rows.withColumns(
-        {
-            f"_d_{m}": _upper_median(_sorted_distances(F.col(f"_h_{m}"), F.col(f"_m_{m}"))) for m in metrics
-        }
-    ).drop(*[f"_h_{m}" for m in metrics])
-    held = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(since_tick), F.lit(0.0))
-    rows = rows.withColumns({f"_{s}_{m}": held(f"_{s}_{m}") for m in metrics for s in ("m", "d")})
+    block = [*HOST_KEYS, SLICE, "_block"]
+    packed = (
+        rows.withColumn("_block", F.floor(F.col(POSITION) / every))
+        .groupBy(*block)
+        .agg(F.sort_array(F.collect_list(F.struct(POSITION, *TIME_ORDER, *metrics, "_lead"))).alias("_rows"))
+    )
+    earlier = Window.partitionBy(*HOST_KEYS, SLICE).orderBy("_block").rowsBetween(-(-(-size // every)), -1)
+    packed = packed.withColumn("_before", F.flatten(F.collect_list("_rows").over(earlier)))
+    if size % every:
+        packed = packed.withColumn(
+            "_before", F.expr(f"CASE WHEN size(_before) > {size} THEN slice(_before, -{size}, {size}) ELSE _before END")
+        )
+    tick = f"_block * {every} >= {needed} AND {size} >= {needed}"
+    packed = packed.selectExpr(
+        *HOST_KEYS, "_rows", *[f"CASE WHEN {tick} THEN sort_array(_before.{m}) END AS _h_{m}" for m in metrics]
+    )
+    medians = [f"{_upper_median(f'_h_{m}')} AS _m_{m}" for m in metrics]
+    packed = packed.selectExpr("*", *medians).selectExpr(
+        *HOST_KEYS,
+        "_rows",
+        *[f"_m_{m}" for m in metrics],
+        *[f"sort_array(transform(_h_{m}, x -> abs(x - _m_{m}))) AS _h_{m}" for m in metrics],
+    )
     # A MAD of zero is replaced by a small constant, so any departure from a flat line stands out.
-    spread = lambda m: F.when(F.col(f"_d_{m}") > 0, F.col(f"_d_{m}")).otherwise(F.lit(1e-6))
-    z = {f"{m}_z": F.when(warm, F.abs(F.col(m) - F.col(f"_m_{m}")) / spread(m)).otherwise(F.lit(0.0)) for m in metrics}
-    rows = rows.where(~F.col("_lead")).withColumns(z)
-    above = {m: F.col(f"{m}_z") > F.lit(outliers.robust_z_threshold) for m in metrics}
-    flagged = [F.when(above[m], F.col(f"{m}_z")) for m in metrics]
-    worst = F.greatest(*flagged, F.lit(0.0)) if len(flagged) > 1 else F.coalesce(flagged[0], F.lit(0.0))
+    packed = packed.selectExpr(
+        *HOST_KEYS,
+        "inline(_rows)",
+        *[f"coalesce(_m_{m}, 0.0D) AS _m_{m}" for m in metrics],
+        *[f"coalesce(nullif({_upper_median(f'_h_{m}')}, 0.0D), 1e-6D) AS _d_{m}" for m in metrics],
+    )
+    warm = f"least({POSITION}, {size}) >= {needed}"
+    judged = packed.where("NOT _lead").selectExpr(
+        *HOST_KEYS,
+        *TIME_ORDER,
+        *[f"CASE WHEN {warm} THEN abs({m} - _m_{m}) / _d_{m} ELSE 0.0D END AS {m}_z" for m in metrics],
+    )
+    limit = f"{outliers.robust_z_threshold!r}D"
+    flagged = ", ".join(f"CASE WHEN {m}_z > {limit} THEN {m}_z ELSE 0.0D END" for m in metrics)
     texts = [
-        F.when(above[m], F.concat(F.lit(f"{m}:rz="), fixed_decimals(F.col(f"{m}_z"), 1), F.lit(" ")))
-        .otherwise(F.lit(""))
+        F.when(
+            F.expr(f"{m}_z > {limit}"), F.concat(F.lit(f"{m}:rz="), fixed_decimals(F.col(f"{m}_z"), 1), F.lit(" "))
+        ).otherwise("")
         for m in metrics
     ]
-    return rows.select(
-        *HOST_KEYS, *TIME_ORDER, *z,
-        (worst > 0).alias("is_flagged"),
-        worst.alias("max_z"),
-        F.concat(*texts).alias("details"),
+    return judged.withColumn("max_z", F.expr(f"array_max(array({flagged}))")).select(
+        *judged.columns, (F.col("max_z") > 0).alias("is_flagged"), "max_z", F.concat(*texts).alias("details")
     )

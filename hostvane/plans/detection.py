@@ -253,10 +253,9 @@ FUSED_VERDICTS = (
     *verdict_sql(G_FLAGGED, f"CASE WHEN {G_FLAGGED} THEN {G_WORST} ELSE 0 END", G_DETAILS, "walk"),
     alert_walk_sql(ANY_FLAG),
 )
-FUSED_DETAILS = """CASE WHEN a_flag OR b_flag THEN
-  CASE WHEN a_flag THEN '[A:' || a_details || '] ' ELSE '' END ||
+FUSED_DETAILS = """CASE WHEN a_flag THEN '[A:' || a_details || '] ' ELSE '' END ||
   CASE WHEN b_flag THEN '[B:PCA_RECON_ERR=' || format('{:g}', b_score) || ' > 1.19713] ' ELSE '' END ||
-  CASE WHEN NOT b_ran THEN '[B:SKIPPED] ' ELSE '' END END"""
+  CASE WHEN NOT b_ran THEN '[B:SKIPPED] ' ELSE '' END"""
 
 
 def fused_sql(columns: str, where: str = "true") -> str:
@@ -271,7 +270,7 @@ def fused_sql(columns: str, where: str = "true") -> str:
 @query(
     "fused_pipeline",
     fused_sql(f"""{ID}, a_flag, round(a_score, 6) AS a_score, b_ran, b_flag, round(b_score, 6) AS b_score,
-        {FUSED_DETAILS} AS details, alert, CASE WHEN alert THEN {SEVERITY} END AS severity,
+        CASE WHEN alert THEN {FUSED_DETAILS} END AS details, alert, CASE WHEN alert THEN {SEVERITY} END AS severity,
         CASE WHEN alert THEN {SOURCE} END AS detector_source, round(CASE WHEN alert THEN {ALERT_SCORE} END, 6) AS score"""),
 )
 def fused_pipeline(spark, sf_dir):
