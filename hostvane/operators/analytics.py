@@ -12,11 +12,13 @@ from hostvane.functions import checks
 from hostvane.functions.filters import Filters, apply_filters
 from hostvane.operators.joins import join_checked
 from hostvane.operators.ranks import GROUP_ROWS, Quantile, aggregate
+from hostvane.operators.toprows import top_rows
 from hostvane.schemas import FEATURES
 from hostvane.session import materialize
 
 MAX_BINS = 500  # fixed value: requests for more bins are served with this many
 RUN = "run_id"
+LAG_POINTS = {"lag_p50": Quantile("lag", 0.5), "lag_p95": Quantile("lag", 0.95)}
 
 
 def bucket_start(column: str, seconds: int):
@@ -31,14 +33,14 @@ def lag_seconds():
 
 def dataset_summary(telemetry: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows, time range, anomaly rate, distinct dimensions and ingestion lag of each run."""
-    base = telemetry.groupBy(RUN).agg(
+    plain = [
         F.count(F.lit(1)).alias("row_count"),
         F.min("metric_timestamp").alias("min_ts"),
         F.max("metric_timestamp").alias("max_ts"),
         (F.count_if("is_anomaly") / F.count(F.lit(1))).alias("anomaly_rate"),
-    )
-    lags = ingest_lag(telemetry, group_rows)
-    return base.join(distinct_counts(telemetry), RUN).join(lags, RUN)
+    ]
+    rows = telemetry.select(RUN, "metric_timestamp", "is_anomaly", lag_seconds().alias("lag"))
+    return aggregate(rows, [RUN], plain, LAG_POINTS, group_rows).join(distinct_counts(telemetry), RUN)
 
 
 def distinct_counts(telemetry: DataFrame, approximate: bool = False) -> DataFrame:
@@ -50,9 +52,7 @@ def distinct_counts(telemetry: DataFrame, approximate: bool = False) -> DataFram
 
 def ingest_lag(telemetry: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     lags = telemetry.select(RUN, lag_seconds().alias("lag"))
-    return aggregate(
-        lags, [RUN], [], {"lag_p50": Quantile("lag", 0.5), "lag_p95": Quantile("lag", 0.95)}, group_rows
-    )
+    return aggregate(lags, [RUN], [], LAG_POINTS, group_rows)
 
 
 def anomaly_types(telemetry: DataFrame, k: int = 5) -> DataFrame:
@@ -63,8 +63,7 @@ def anomaly_types(telemetry: DataFrame, k: int = 5) -> DataFrame:
         .groupBy(RUN, F.col("anomaly_type").alias("label"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    ranked = Window.partitionBy(RUN).orderBy(F.desc("count"), F.asc("label"))
-    top = counts.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= k)
+    top = top_rows(counts, [RUN], [F.desc("count"), F.asc("label")], k)
     kept = top.select(RUN, "label", "count")
     sums = counts.groupBy(RUN).agg(F.sum("count").alias("_all"))
     kept_sums = kept.groupBy(RUN).agg(F.sum("count").alias("_kept"))
@@ -108,22 +107,14 @@ def anomaly_trend_of_run(telemetry: DataFrame, run_id: str, hours: int = 24) ->
 def top_values(
     telemetry: DataFrame, column: str, k: int = 10, filters: Filters | None = None, with_total: bool = False
 ) -> DataFrame:
-    """The k most frequent values of a dimension per run, ``truncated`` when there are more.
-
-    The rank filter becomes a per-task limit before the shuffle, so only k + 1 rows of
-    a run leave each task whatever the cardinality of the dimension.
-    """
+    """The k most frequent values of a dimension per run, ``truncated`` when there are more."""
     checks.dimension(column)
     checks.at_least(k, 1, "k")
     rows = apply_filters(telemetry, filters)
     counts = rows.groupBy(RUN, F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("count"))
     label = F.coalesce("_value", F.lit(""))
-    order = Window.partitionBy(RUN).orderBy(F.desc("count"), F.asc("label"))
-    head = (
-        counts.select(RUN, label.alias("label"), "count")
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= k + 1)
-    )
+    named = counts.select(RUN, label.alias("label"), "count")
+    head = top_rows(named, [RUN], [F.desc("count"), F.asc("label")], k + 1)
     marked = head.withColumn("truncated", F.max("_rank").over(Window.partitionBy(RUN)) > k)
     top = marked.where(F.col("_rank") <= k).drop("_rank")
     if not with_total:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hostvane.functions import checks
 from hostvane.functions.filters import time_literal
 from hostvane.schemas import SCORE_KEYS
+from hostvane.sources.telemetry import write_telemetry
 
 # The column that names the dataset in each dependent table.
 DATASET_COLUMN = {
@@ -42,12 +43,10 @@ def apply_retention(
     telemetry: DataFrame, scores: DataFrame, now: datetime, days: int, telemetry_path: str, scores_path: str
 ) -> None:
     """Write what is kept to a new location; the caller swaps the locations when both writes are done."""
-    kept = retained_telemetry(telemetry, now, days)
-    if "ingest_month" not in kept.columns:
-        kept = kept.withColumn("ingest_month", F.date_format("ingestion_time", "yyyy-MM"))
-    kept.write.mode("errorifexists").partitionBy("run_id", "ingest_month").parquet(telemetry_path)
+    write_telemetry(retained_telemetry(telemetry, now, days), telemetry_path, "errorifexists")
     written = telemetry.sparkSession.read.parquet(telemetry_path)
-    retained_scores(scores, written).write.mode("errorifexists").partitionBy(*SCORE_KEYS).parquet(scores_path)
+    left = retained_scores(scores, written).repartitionByRange(*SCORE_KEYS, "record_id")
+    left.write.mode("errorifexists").partitionBy(*SCORE_KEYS).parquet(scores_path)
 
 
 def without_datasets(tables: Mapping[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from hostvane.functions import checks
 from hostvane.functions.filters import Filters, apply_filters, time_literal
 from hostvane.operators.joins import join_checked
+from hostvane.operators.sequences import POSITION, number_by_ranges
 from hostvane.schemas import FEATURES
 
+SHALLOW = 100_000
 RECORD_COLUMNS = (
     "record_id", "host_id", "metric_timestamp", *FEATURES,
     "is_anomaly", "anomaly_type", "region", "project_id", "labels",
@@ -22,11 +24,33 @@ def has_more(limit: int, offset: int, returned: int, total: int | None = None) -
     return returned >= limit if total is None else offset + returned < total
 
 
-def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
-    """``limit`` rows after ``offset`` in a total order; planned as a per-task top-k."""
+def page(df: DataFrame, order: list, limit: int, offset: int = 0, shallow: int = SHALLOW) -> DataFrame:
+    """``limit`` rows after ``offset`` in a total order.
+
+    Planned as a per-task top-k while that is small. A deep page would make every task keep all rows
+    before it, so its rows are numbered by ranges instead and picked by number.
+    """
     checks.at_least(limit, 0, "limit")
     checks.at_least(offset, 0, "offset")
-    return df.orderBy(*order).offset(offset).limit(limit)
+    if offset + limit <= shallow:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = number_by_ranges(df.withColumn("_all", F.lit(0)), ["_all"], order, ranges)
+    wanted = rows.where((F.col(POSITION) >= offset) & (F.col(POSITION) < offset + limit))
+    return wanted.orderBy(POSITION).drop("_all", POSITION)
+
+
+def page_summary(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One row about a page: total, limit, offset, rows returned, and whether more follow."""
+    returned = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total") - F.lit(offset)))
+    counted = rows.agg(F.count(F.lit(1)).alias("total"))
+    return counted.select(
+        "total",
+        F.lit(limit).alias("limit"),
+        F.lit(offset).alias("offset"),
+        returned.alias("returned"),
+        (F.lit(offset) + returned < F.col("total")).alias("has_more"),
+    )
 
 
 def page_envelope(rows: DataFrame, paged: DataFrame, limit: int, offset: int = 0) -> dict:

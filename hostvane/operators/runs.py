@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hostvane.functions import checks
 from hostvane.functions.filters import between_times
 from hostvane.operators.paging import page
+from hostvane.operators.toprows import RANK, top_rows
 
 # Trial states, and what counts as unfinished or finished in a listing.
 STATES = ("PENDING", "RUNNING", "COMPLETED", "FAILED")
@@ -64,6 +64,12 @@ def models_of_dataset(models: DataFrame, dataset_id: str) -> DataFrame:
     return rows.select("model_run_id", "name", "status", "created_at").orderBy(F.desc("created_at"), "model_run_id")
 
 
+def models_by_dataset(models: DataFrame) -> DataFrame:
+    """Every dataset's models, newest first within the dataset; sorted in ranges, so a large dataset is split."""
+    rows = models.select("dataset_id", "model_run_id", "name", "status", "created_at")
+    return rows.orderBy("dataset_id", F.desc("created_at"), "model_run_id")
+
+
 def trials_of(models: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """Trial rows, restricted to the ``model_run_id`` values of ``parents`` when given."""
     trials = models.where(F.col("parent_run_id").isNotNull())
@@ -79,10 +85,9 @@ def list_trials(models: DataFrame, parent_run_id: str, limit: int = 1000, offset
 
 
 def trial_pages(trials: DataFrame, limit: int = 1000, offset: int = 0) -> DataFrame:
-    """The same page of every parent's trials; only the first rows of a parent leave each task."""
-    order = Window.partitionBy("parent_run_id").orderBy("trial_index", "model_run_id")
-    ranked = trials.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= offset + limit)
-    return ranked.where(F.col("_rank") > offset).drop("_rank")
+    """The same page of every parent's trials."""
+    head = top_rows(trials, ["parent_run_id"], [F.asc("trial_index"), F.asc("model_run_id")], offset + limit)
+    return head.where(F.col(RANK) > offset).drop(RANK)
 
 
 def trial_rollup(trials: DataFrame) -> DataFrame:
@@ -180,12 +185,6 @@ def compare_models(models: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, name: str) -> DataFrame:
-    """Place of each row in its group's order, from 1."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """First row of each group in ``order``; ranked per task before the shuffle."""
-    ranked = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
+    """First row of each group in ``order``."""
+    return top_rows(df, keys, order, 1).drop(RANK)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,12 +55,12 @@ def numbered(
         )
         return HostRows(rows, keys, slice_rows, False)
     at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _number_by_ranges(df, keys, order, max(at_least, -(-total // slice_rows)))
+    rows = number_by_ranges(df, keys, order, max(at_least, -(-total // slice_rows)))
     rows = rows.withColumn(SLICE, F.floor(F.col(POSITION) / F.lit(slice_rows)).cast("long"))
     return HostRows(rows, keys, slice_rows, True)
 
 
-def _number_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int) -> DataFrame:
+def number_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ranges: int) -> DataFrame:
     """Range-partition by (keys, order), so a large host spreads over many tasks; number rows inside
     each task; then add, per host, the rows it has in earlier tasks.
 

@@ -341,6 +341,31 @@ def record_search(spark, sf_dir):
     return rounded(paging.search_records(telemetry(spark, sf_dir), wanted, 50, 20))
 
 
+@query(
+    "record_search_deep",
+    sql(f"""
+    SELECT {RECORD} FROM telemetry WHERE NOT is_anomaly
+    ORDER BY metric_timestamp, record_id LIMIT 300 OFFSET 4000"""),
+)
+def record_search_deep(spark, sf_dir):
+    """A page far into the order, picked by row number."""
+    rows, order = paging.search_rows(telemetry(spark, sf_dir), Filters(is_anomaly=False), "asc")
+    columns = [F.coalesce(c, F.lit("")).alias(c) if c == "anomaly_type" else F.col(c) for c in paging.RECORD_COLUMNS]
+    return rounded(paging.page(rows.select(*columns), order, 300, 4000, shallow=1000))
+
+
+@query(
+    "page_summary",
+    sql("""
+    SELECT count(*) AS total, 50 AS limit, 400 AS offset, greatest(0, least(50, count(*) - 400)) AS returned,
+           400 + greatest(0, least(50, count(*) - 400)) < count(*) AS has_more
+    FROM telemetry WHERE is_anomaly"""),
+)
+def page_summary(spark, sf_dir):
+    rows, _ = paging.search_rows(telemetry(spark, sf_dir), Filters(is_anomaly=True))
+    return paging.page_summary(rows, 50, 400)
+
+
 @query(
     "record_search_anchor",
     sql(f"""

@@ -122,18 +122,11 @@ def model_list(spark, sf_dir):
 @query(
     "models_of_datasets",
     sql("""
-    SELECT dataset_id, model_run_id, name, status, created_at,
-           CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, model_run_id) AS INTEGER) AS position
-    FROM model_runs"""),
+    SELECT dataset_id, model_run_id, name, status, created_at FROM model_runs
+    ORDER BY dataset_id, created_at DESC, model_run_id"""),
 )
 def models_of_datasets(spark, sf_dir):
-    """The models of every dataset, newest first."""
-    return runs.ranked(
-        model_runs(spark, sf_dir).select("dataset_id", "model_run_id", "name", "status", "created_at"),
-        ["dataset_id"],
-        [F.desc("created_at"), F.asc("model_run_id")],
-        "position",
-    )
+    return runs.models_by_dataset(model_runs(spark, sf_dir))
 
 
 LISTING = """

@@ -154,24 +154,111 @@ def pca_threshold(spark, sf_dir):
     return rounded(aggregate(scored(spark, sf_dir), ["dataset_id"], [], wanted))
 
 
-@query("pca_train")
+CELLS = training.PAIRS  # upper triangle of the 5 x 5 matrix
+
+
+def cell(name: str, a: int, b: int) -> str:
+    return f"{name}{min(a, b)}{max(a, b)}"
+
+
+def training_sql(ks: int) -> tuple[str, ...]:
+    """CTEs ``errors`` (run_id, err_1 ...) and ``axes`` (per run, variances l_j and components v_j_i).
+
+    The leading component comes from squaring the correlation matrix until only its direction is left;
+    the next one from the matrix without it.
+    """
+    means = ", ".join(f"avg({f}) AS mean{i}" for i, f in enumerate(FEATURES))
+    sd = "coalesce(nullif(stddev_samp({f}), 0), 1)"
+    sds = ", ".join(f"{sd.format(f=f)} AS sd{i}" for i, f in enumerate(FEATURES))
+    corr = ", ".join(
+        f"covar_samp({FEATURES[a]}, {FEATURES[b]}) / ({sd.format(f=FEATURES[a])} * {sd.format(f=FEATURES[b])}) AS {cell('m', a, b)}"
+        for a, b in CELLS
+    )
+    ctes = [f"axes0 AS (SELECT run_id, count(*) AS n, {means}, {sds}, {corr} FROM telemetry GROUP BY 1)"]
+    square = {(a, b): " + ".join(f"{cell('s', a, k)} * {cell('s', k, b)}" for k in range(5)) for a, b in CELLS}
+    squares = ", ".join(f"{sql_text} AS {cell('q', a, b)}" for (a, b), sql_text in square.items())
+    trace = " + ".join(cell("q", a, a) for a in range(5))
+    largest = "greatest(" + ", ".join(cell("s", a, a) for a in range(5)) + ")"
+    for j in range(ks):
+        ctes.append(f"""squared{j} AS (
+      SELECT run_id, 0 AS step, {', '.join(f"{cell('m', a, b)} AS {cell('s', a, b)}" for a, b in CELLS)} FROM axes{j}
+      UNION ALL
+      SELECT run_id, step + 1, {', '.join(f"{cell('q', a, b)} / ({trace})" for a, b in CELLS)}
+      FROM (SELECT run_id, step, {squares} FROM squared{j} WHERE step < 16))""")
+        direction = ", ".join(
+            f"CASE {largest} "
+            + " ".join(f"WHEN {cell('s', c, c)} THEN {cell('s', i, c)} / sqrt({cell('s', c, c)})" for c in range(5))
+            + f" END AS v{j}_{i}"
+            for i in range(5)
+        )
+        value = " + ".join(f"v{j}_{a} * {cell('m', a, b)} * v{j}_{b}" for a in range(5) for b in range(5))
+        left = ", ".join(f"{cell('m', a, b)} - l{j} * v{j}_{a} * v{j}_{b} AS {cell('m', a, b)}" for a, b in CELLS)
+        ctes.append(f"""axes{j + 1} AS (
+      SELECT * REPLACE ({left}) FROM (
+        SELECT *, {value} AS l{j} FROM axes{j} JOIN (
+          SELECT run_id, {direction} FROM squared{j} WHERE step = 16) USING (run_id)))""")
+    xs = ", ".join(f"({f} - mean{i}) / sd{i} AS x{i}" for i, f in enumerate(FEATURES))
+    dots = ", ".join(" + ".join(f"v{j}_{i} * x{i}" for i in range(5)) + f" AS p{j}" for j in range(ks))
+    errors = ", ".join(
+        "sqrt("
+        + " + ".join("pow(x{i} - ({t}), 2)".format(i=i, t=" + ".join(f"v{j}_{i} * p{j}" for j in range(k))) for i in range(5))
+        + f") AS err_{k}"
+        for k in range(1, ks + 1)
+    )
+    ctes.append(f"errors AS (SELECT run_id, {errors} FROM (SELECT *, {dots} FROM (SELECT axes{ks}.*, {xs} FROM telemetry "
+                f"JOIN axes{ks} USING (run_id))))")
+    return tuple(ctes)
+
+
+@query(
+    "pca_train",
+    with_ctes(
+        T,
+        *training_sql(3),
+        select=f"""
+    SELECT run_id, 3 AS n_components, n AS rows_used, round(threshold, 6) AS threshold,
+           {', '.join(f'round(l{j}, 6) AS variance_{j}' for j in range(3))},
+           {', '.join(f'round(v{j}_{i}, 6) AS component_{j}_{i}' for j in range(3) for i in range(5))}
+    FROM axes3 JOIN (SELECT run_id, quantile_disc(err_3, 0.995) AS threshold FROM errors GROUP BY 1) USING (run_id)""",
+    ),
+)
 def pca_train(spark, sf_dir):
     models = training.train_models(telemetry(spark, sf_dir))
     return rounded(
-        models.select(
+        models.selectExpr(
             "run_id",
-            F.col("model.model.n_components").alias("n_components"),
-            F.col("model.meta.rows_used").alias("rows_used"),
-            F.col("model.thresholds.reconstruction_error").alias("threshold"),
-            *[F.col("model.model.explained_variance")[i].alias(f"variance_{i}") for i in range(3)],
+            "model.model.n_components",
+            "model.meta.rows_used",
+            "model.thresholds.reconstruction_error AS threshold",
+            *[f"model.model.explained_variance[{j}] AS variance_{j}" for j in range(3)],
+            *[f"model.model.components[{j}][{i}] AS component_{j}_{i}" for j in range(3) for i in range(5)],
         )
     )
 
 
-@query("tuning_sweep")
+SWEEP = Sweep("grid", (1, 2, 3, 4), (95.0, 99.0, 99.5), max_trials=10)
+
+
+@query(
+    "tuning_sweep",
+    with_ctes(
+        T,
+        *training_sql(4),
+        "trials AS ("
+        + " UNION ALL ".join(
+            f"SELECT run_id, {t} AS trial_index, {k} AS n_components, {p}e0 AS percentile, "
+            f"quantile_disc(err_{k}, {p / 100!r}) AS selection_metric_value FROM errors GROUP BY 1"
+            for t, (k, p) in enumerate(SWEEP.trials())
+        )
+        + ")",
+        select="""
+    SELECT run_id, trial_index, n_components, percentile, round(selection_metric_value, 6) AS selection_metric_value,
+           row_number() OVER (PARTITION BY run_id ORDER BY selection_metric_value, trial_index) = 1 AS is_best
+    FROM trials""",
+    ),
+)
 def tuning_sweep(spark, sf_dir):
-    sweep = Sweep("grid", (1, 2, 3, 4), (95.0, 99.0, 99.5), max_trials=12)
-    return rounded(run_sweep(telemetry(spark, sf_dir), sweep))
+    return rounded(run_sweep(telemetry(spark, sf_dir), SWEEP))
 
 
 @query(

@@ -9,11 +9,14 @@ from hostvane.schemas import SCORE_KEYS, scores_schema
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
-    """Write scores under dataset and model. Scoring a dataset again replaces its scores."""
+    """Write scores under dataset and model. Scoring a dataset again replaces its scores.
+
+    Ranges of record ids spread a dataset of any size over the writing tasks.
+    """
     if "scored_at" not in scores.columns:
         scores = scores.withColumn("scored_at", F.current_timestamp())
     (
-        scores.repartition(*SCORE_KEYS, F.pmod(F.xxhash64("record_id"), F.lit(64)))
+        scores.repartitionByRange(*SCORE_KEYS, "record_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*SCORE_KEYS)

@@ -24,26 +24,31 @@ def read_telemetry(
     return df.where(F.col("run_id") == F.lit(run_id)) if run_id else df
 
 
-def append_telemetry(df: DataFrame, path: str, file_rows: int = 5_000_000) -> None:
-    """Append rows under run and ingestion month. Nothing is written for an empty batch.
+def write_telemetry(df: DataFrame, path: str, mode: str, file_rows: int = 5_000_000) -> None:
+    """Write rows under run and ingestion month.
 
-    Rows are spread over tasks by host as well, so a run that holds most of the data is
-    still written by many tasks, and are sorted by time inside each file so row-group
+    Rows are spread by ranges of (run, month, time, record), so a run or a month that holds most of the
+    data is still written by many tasks, and each file covers a short span of time, which lets row-group
     statistics prune time filters.
     """
-    rows = df.withColumn("ingest_month", ingest_month())
-    if rows.isEmpty():
-        return
+    rows = df if "ingest_month" in df.columns else df.withColumn("ingest_month", ingest_month())
+    order = [*PARTITIONS, "metric_timestamp", "record_id"]
     (
-        rows.repartition(*PARTITIONS, F.pmod(F.xxhash64("host_id", "record_id"), F.lit(16)))
-        .sortWithinPartitions(*PARTITIONS, "metric_timestamp", "record_id")
-        .write.mode("append")
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .write.mode(mode)
         .option("maxRecordsPerFile", file_rows)
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
 
 
+def append_telemetry(df: DataFrame, path: str) -> None:
+    """Append rows; nothing is written for an empty batch, and a failure is raised."""
+    if not df.isEmpty():
+        write_telemetry(df, path, "append")
+
+
 def telemetry_from_events(events: DataFrame) -> DataFrame:
     """The driver's ``events`` table seen as host telemetry (fixed projection, see FIXTURES.md)."""
     tier = "CAST(get_json_object(props, '$.k') AS DOUBLE)"
