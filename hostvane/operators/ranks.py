@@ -82,7 +82,7 @@ def aggregate(
     cold = _keyed_join(df, hot, keys, "left_anti")
     result = _in_groups(cold, keys, plain, quantiles)
     hot_df = _keyed_join(df, hot, keys, "left_semi")
-    hot_part = hot_df.groupBy(*keys).agg(*plain)
+    hot_part = hot_df.groupBy(*keys).agg(*plain) if plain else hot
     for column in dict.fromkeys(q.column for q in quantiles.values()):
         named = {n: q for n, q in quantiles.items() if q.column == column}
         found = _hot_quantiles(hot_df, keys, column, named)

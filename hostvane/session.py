@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
-def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
     """A single-JVM session for tests and the benchmark. Clusters bring their own session."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.bindAddress", "127.0.0.1")
-        .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
-    )
+    fixed = {
+        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.driver.memory": "8g",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.ui.enabled": "false",
+        "spark.driver.bindAddress": "127.0.0.1",
+        "spark.driver.host": "127.0.0.1",
+    }
+    builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
+    for name, value in (fixed | {k.replace("__", "."): v for k, v in settings.items()}).items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def scratch_root(spark: SparkSession) -> str:
