@@ -12,6 +12,8 @@ from hostvane.plans.models import SCORED
 from hostvane.plans.registry import query, rounded, with_ctes
 from hostvane.plans.tables import telemetry
 from hostvane.schemas import FEATURES
+from hostvane.session import scratch_path
+from hostvane.sources.results import append_alerts
 
 # Every query below states the limits it runs with; the SQL is generated from the same values.
 WINDOW = WindowConfig()
@@ -287,6 +289,25 @@ def fused_alerts(spark, sf_dir):
     return rounded(detect.alerts_only(fused, "details"))
 
 
+@query(
+    "stored_alerts",
+    with_ctes(
+        T,
+        *FUSED_VERDICTS,
+        select=f"""
+    SELECT run_id, {SEVERITY} AS severity, {SOURCE} AS detector_source, count(*) AS alerts
+    FROM (SELECT verdicts.*, alert FROM verdicts JOIN alert_walk ON alert_walk.record_id = verdicts.record_id)
+    WHERE alert GROUP BY 1, 2, 3""",
+    ),
+)
+def stored_alerts(spark, sf_dir):
+    """Alerts appended to their table and read back from it."""
+    path = scratch_path(spark, "alerts")
+    append_alerts(detect.alerts_only(detect.fused_pipeline(telemetry(spark, sf_dir), PIPELINE), "details"), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("run_id", "severity", "detector_source").agg(F.count(F.lit(1)).alias("alerts"))
+
+
 @query("fused_alerts_sliced", fused_sql(FUSED_ALERT, "alert"))
 def fused_alerts_sliced(spark, sf_dir):
     """The same alerts with every host cut into slices, as a very large host would be."""

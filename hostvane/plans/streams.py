@@ -64,6 +64,21 @@ def stream_scores(spark, sf_dir):
     return rounded(run_to_table(spark, stream, "scores"))
 
 
+@query(
+    "stream_fused",
+    fused_sql(
+        """run_id, host_id, metric_timestamp, record_id, a_flag, round(a_score, 6) AS a_score, b_ran, b_flag,
+        round(b_score, 6) AS b_score, alert""",
+        f"metric_timestamp <= {WATERMARK}",
+    ),
+)
+def stream_fused(spark, sf_dir):
+    session = jobs.stream_session(spark)
+    stream = fused.stream_fused(event_stream(session, sf_dir), PIPELINE)
+    done = run_to_table(spark, stream.drop("details", "severity", "detector_source", "score", "late_rows"), "fused")
+    return rounded(done.withColumn("metric_timestamp", jobs.zoneless("metric_timestamp")))
+
+
 @query("stream_alerts", fused_sql(FUSED_ALERT, f"alert AND metric_timestamp <= {WATERMARK}"))
 def stream_alerts(spark, sf_dir):
     session = jobs.stream_session(spark)
