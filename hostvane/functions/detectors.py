@@ -223,6 +223,106 @@ def alert_rows(positions, times_us, state: AlertState, cfg: AlertConfig):
     return fired, replace(state, count=count, last_alert=last, last_position=previous)
 
 
+def last_in_chain(following: np.ndarray) -> np.ndarray:
+    """Where each chain ends. ``following[i]`` is the next link after i, or len(following) for none."""
+    n = len(following)
+    end = np.where(following == n, np.arange(n), following)
+    while True:
+        further = end[end]
+        if np.array_equal(further, end):
+            return end
+        end = further
+
+
+@dataclass(frozen=True)
+class GateSummary:
+    """What a slice does to the gate, for any time of the last run before it.
+
+    ``times`` are rows that may be the first to run; the first one a period after the last run is, or
+    else the last one listed, which runs in any case. ``exits`` are the slice's last run that follows.
+    """
+
+    times: list[int]
+    exits: list[int]
+    forced: bool
+
+    def after(self, last_run: int | None, period_ms: int) -> int | None:
+        place = 0 if last_run is None else bisect_left(self.times, last_run + period_ms * 1000)
+        if place == len(self.times):
+            if not self.forced:
+                return last_run
+            place -= 1
+        return self.exits[place]
+
+
+def summarize_gate(times: np.ndarray, flagged: np.ndarray, period_ms: int) -> GateSummary:
+    n = len(times)
+    period = period_ms * 1000
+    rows = np.arange(n)
+    flags = np.append(np.flatnonzero(flagged), n)
+    next_flag = flags[np.searchsorted(flags, rows, side="right").clip(max=len(flags) - 1)]
+    next_flag = np.where(next_flag <= rows, n, next_flag)
+    following = np.minimum(next_flag, np.searchsorted(times, times + period, side="left"))
+    ends = times[last_in_chain(np.maximum(following, rows + 1))]
+    # A last run lies before the slice, so a row one period into it runs at the latest.
+    latest = min(int(flags[0]), int(np.searchsorted(times, times[0] + period, side="left")))
+    forced = latest < n
+    first, out = times[: latest + 1], ends[: latest + 1]
+    keep = np.append(out[1:] != out[:-1], True)
+    return GateSummary(first[keep].tolist(), out[keep].tolist(), forced)
+
+
+@dataclass(frozen=True)
+class AlertSummary:
+    """What a slice of flagged rows does to the alert state, for any state before it.
+
+    A listed row is the first to fire if the cooldown is over at its time and at least ``needs``
+    consecutive flags precede the slice without a gap. ``exits`` and ``counts`` describe the end.
+    """
+
+    first_position: int
+    last_position: int
+    tail: int
+    unbroken: bool
+    times: list[int]
+    needs: list[int]
+    exits: list[int]
+    counts: list[int]
+
+    def after(self, state: AlertState, cooldown_us: int) -> AlertState:
+        before = state.count if self.first_position == state.last_position + 1 else 0
+        at = 0 if state.last_alert is None else bisect_left(self.times, state.last_alert + cooldown_us)
+        while at < len(self.times) and self.needs[at] > before:
+            at += 1
+        if at < len(self.times):
+            return AlertState(self.counts[at], self.exits[at], self.last_position)
+        count = self.tail + before if self.unbroken else self.tail
+        return AlertState(count, state.last_alert, self.last_position)
+
+
+def summarize_alerts(positions: np.ndarray, times: np.ndarray, cfg: AlertConfig) -> AlertSummary:
+    n, needed = len(positions), cfg.consecutive
+    rows = np.arange(n)
+    cooldown = cfg.cooldown_seconds * 1_000_000
+    breaks = np.append(True, np.diff(positions) != 1)
+    run = rows - np.maximum.accumulate(np.where(breaks, rows, 0)) + 1  # flags in a row, up to here
+    enough = np.append(np.flatnonzero(run >= needed), n)
+    next_enough = lambda i: np.where(i < n, enough[np.searchsorted(enough, np.minimum(i, n), side="left")], n)
+    following = next_enough(np.maximum(rows + max(needed, 1), np.searchsorted(times, times + cooldown, side="left")))
+    end = last_in_chain(following)
+    counts = np.minimum(run[-1], n - 1 - end)
+    # The last alert lies before the slice, so no row after this one can be the first to fire.
+    latest = int(next_enough(np.searchsorted(times, times[0] + cooldown, side="left")))
+    opening = int(np.flatnonzero(breaks)[1]) if breaks.sum() > 1 else n  # rows that continue the slice before
+    possible = rows[: latest + 1]
+    possible = possible[(run[possible] >= needed) | (possible < opening)]
+    needs = np.maximum(needed - run[possible], 0)
+    return AlertSummary(
+        int(positions[0]), int(positions[-1]), int(run[-1]), opening == n,
+        times[possible].tolist(), needs.tolist(), times[end[possible]].tolist(), counts[possible].tolist(),
+    )
+
+
 def severity(a_flag: bool, a_score: float, b_flag: bool, b_score: float) -> tuple[str, str, float]:
     """(severity, source, score) of a flagged row."""
     if a_flag and b_flag:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +15,9 @@ from hostvane.functions.detectors import (
     NOT_RUN,
     AlertConfig,
     AlertState,
+    AlertSummary,
     GateConfig,
+    GateSummary,
     OutlierConfig,
     PipelineConfig,
     RobustZ,
@@ -22,13 +25,16 @@ from hostvane.functions.detectors import (
     alert_rows,
     gate,
     severity,
+    summarize_alerts,
+    summarize_gate,
     z_details,
 )
 from hostvane.functions.features import preprocess
-from hostvane.functions.pca import score
+from hostvane.functions.pca import score, score_details
 from hostvane.operators.folds import run_fold
-from hostvane.operators.sequences import POSITION, SLICE_ROWS, HostRows, numbered
+from hostvane.operators.sequences import POSITION, SLICE, SLICE_ROWS, HostRows, numbered
 from hostvane.schemas import FEATURES, HOST_KEYS, TIME_ORDER
+from hostvane.session import materialize
 
 MICROS = "time_us"
 ERROR, MODEL_FLAG = "reconstruction_error", "predicted_is_anomaly"
@@ -89,6 +95,7 @@ class GateFold:
 
     columns = (MICROS, "a_flag", ERROR, MODEL_FLAG)
     result = _fields(*MODEL_FIELDS)
+    matters = "true"
 
     def __init__(self, cfg: GateConfig):
         self.cfg = cfg
@@ -106,6 +113,13 @@ class GateFold:
                 ran[a:b], after[i] = gate(times[a:b].tolist(), flags[a:b], states[i], self.cfg.period_ms)
         return _model_verdicts(rows, ran), after
 
+    def summarize(self, rows):
+        flags = rows["a_flag"].to_numpy(dtype=bool, na_value=False)
+        return json.dumps(vars(summarize_gate(rows[MICROS].to_numpy(), flags, self.cfg.period_ms)))
+
+    def follow(self, state, summary):
+        return GateSummary(**json.loads(summary)).after(state, self.cfg.period_ms)
+
 
 def _model_verdicts(rows: pd.DataFrame, ran: np.ndarray) -> pd.DataFrame:
     flag = rows[MODEL_FLAG].to_numpy(dtype=bool, na_value=False) & ran
@@ -117,6 +131,8 @@ def _model_verdicts(rows: pd.DataFrame, ran: np.ndarray) -> pd.DataFrame:
 class AlertFold:
     """Hysteresis and cooldown over flagged rows. Unflagged rows need not be given."""
 
+    matters = "a_flag OR b_flag"
+
     columns = (MICROS, "a_flag", "a_score", "b_flag", "b_score")
     result = _fields(*ALERT_FIELDS)
 
@@ -132,6 +148,13 @@ class AlertFold:
         )
         return _alerts(rows, flagged, starts, ends, states, self.cfg)
 
+    def summarize(self, rows):
+        found = summarize_alerts(rows[POSITION].to_numpy(), rows[MICROS].to_numpy(), self.cfg)
+        return json.dumps(vars(found))
+
+    def follow(self, state, summary):
+        return AlertSummary(**json.loads(summary)).after(state, self.cfg.cooldown_seconds * 1_000_000)
+
 
 def _alerts(rows: pd.DataFrame, flagged, starts, ends, states, cfg: AlertConfig):
     positions, times = rows[POSITION].to_numpy(), rows[MICROS].to_numpy()
@@ -249,6 +272,30 @@ def fused_input(telemetry: DataFrame, cfg: PipelineConfig) -> DataFrame:
 def fused_pipeline(
     telemetry: DataFrame, cfg: PipelineConfig = PipelineConfig(), slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Every row with both detectors' verdicts and whether it raises an alert."""
+    """Every row with both detectors' verdicts and whether it raises an alert.
+
+    One walk per host does everything. If some host is too large for one task, the three steps run
+    one after the other instead, each over slices of hosts.
+    """
     seq = numbered(fused_input(telemetry, cfg), slice_rows=slice_rows, count_in=telemetry)
-    return run_fold(seq, FusedFold(cfg), IDENTITY)
+    if not seq.split:
+        return run_fold(seq, FusedFold(cfg), IDENTITY)
+
+    def staged(rows: DataFrame) -> HostRows:
+        return HostRows(materialize(rows, "stage"), seq.keys, seq.slice_rows, True)
+
+    base = (*IDENTITY, POSITION, SLICE, MICROS)
+    stats = run_fold(seq, PoisonFold(cfg.window, cfg.outliers), (*base, ERROR, MODEL_FLAG))
+    judged = staged(stats.withColumnRenamed("details", "a_details"))
+    a_columns = ("a_flag", "a_score", "a_details")
+    gated = staged(run_fold(judged, GateFold(cfg.gate), (*base, *a_columns)))
+    b_columns = tuple(n for n, _ in MODEL_FIELDS)
+    alerted = run_fold(gated, AlertFold(cfg.alerts), (*IDENTITY, *a_columns, *b_columns))
+    model_text = F.concat(F.lit("[B:"), score_details(cfg.model.threshold, "b_score"), F.lit("] "))
+    details = F.concat(
+        F.when(F.col("a_flag"), F.concat(F.lit("[A:"), "a_details", F.lit("] "))).otherwise(""),
+        F.when(F.col("b_flag"), model_text).otherwise(""),
+        F.when(F.col("b_ran"), "").otherwise("[B:SKIPPED] "),
+    )
+    shown = alerted.withColumn("details", F.when(F.col("alert"), details))
+    return shown.select(*IDENTITY, *[f.name for f in FusedFold.result])

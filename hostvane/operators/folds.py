@@ -2,17 +2,19 @@
 
 A host's rows are cut into slices of bounded length. Small hosts are one slice and start from the
 initial state. For larger ones the state at the start of a slice is the state at the end of the slice
-before, which is not known while slices run in parallel. So:
+before, which is not known while slices run in parallel. There are two ways to find it, both exact.
 
-1. every slice that has a successor runs once from a guessed start, giving an end state;
-2. each host's chain of (start, end) digests is walked from its exact first slice. Where the start a
-   slice needs was already tried, the walk goes on; otherwise that slice is run from the state it needs;
-3. step 2 repeats until every chain is walked to its end. Then all starts are exact, and one last pass
-   produces the rows.
+Folds whose effect has a short form (``summarize``): every slice is summarized as a function of the state
+before it, all slices at once; then one pass per host follows the summaries from slice to slice.
 
-Detector states forget: after enough rows the end of a slice no longer depends on how it began, so step
-2 usually runs once. Each round completes at least one more slice of every open chain, so it ends in any
-case, and the result never depends on the guesses.
+Other folds: every slice that has a successor runs once from a guessed start, giving an end state. Each
+host's chain of (start, end) digests is walked from its exact first slice. Where the start a slice needs
+was already tried, the walk goes on; otherwise that slice is run from the state it needs. This repeats
+until every chain is walked to its end. A rolling history forgets: after enough rows the end of a slice no
+longer depends on how it began, so one repetition usually suffices. Each completes at least one more slice
+of every open chain, so it ends in any case, and the result never depends on the guesses.
+
+Once all starts are known, one last pass produces the rows.
 """
 
 from __future__ import annotations
@@ -48,6 +50,16 @@ class Fold(Protocol):
         ...
 
 
+class ShortFold(Fold, Protocol):
+    matters: str  # SQL condition for the rows that can change the state
+
+    def summarize(self, rows: pd.DataFrame) -> str:
+        """The effect of one slice's rows on any state before them."""
+        ...
+
+    def follow(self, state: Any, summary: str) -> Any: ...
+
+
 def digest(state: bytes) -> str:
     return hashlib.md5(state).hexdigest()
 
@@ -152,7 +164,8 @@ def run_fold(seq: HostRows, fold: Fold, keep: Sequence[str]) -> DataFrame:
     rows = seq.rows.select(*needed)
     ids = [*keys, SLICE]
     if seq.split:
-        rows = rows.unionByName(_start_rows(rows, fold, keys, needed), allowMissingColumns=True)
+        found = _followed_starts if hasattr(fold, "summarize") else _tried_starts
+        rows = rows.unionByName(_marker_rows(found(rows, fold, keys), rows, keys), allowMissingColumns=True)
     else:
         rows = rows.withColumn(STATE, F.lit(None).cast("binary"))
     schema = T.StructType([rows.schema[c] for c in keep] + list(fold.result))
@@ -163,8 +176,71 @@ def run_fold(seq: HostRows, fold: Fold, keep: Sequence[str]) -> DataFrame:
     return placed.sortWithinPartitions(*ids, POSITION).mapInPandas(_emit_rows(fold, ids, keep), schema)
 
 
-def _start_rows(rows: DataFrame, fold: Fold, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row per later slice of a large host, carrying the exact state it starts from."""
+def _marker_rows(starts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that sort before their slice and carry the state it starts from."""
+    others = [c for c in rows.columns if c not in (*keys, SLICE, POSITION)]
+    return starts.select(
+        *keys,
+        SLICE,
+        STATE,
+        F.lit(-1).cast("long").alias(POSITION),
+        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in others],
+    )
+
+
+def _followed_starts(rows: DataFrame, fold: ShortFold, keys: list[str]) -> DataFrame:
+    """(keys, slice, state) for every slice of a large host, by summaries."""
+    ids = [*keys, SLICE]
+    large = rows.where(F.col(SLICE) > 0).select(*keys).distinct()
+    inner = join_checked(rows.select(*ids, POSITION, *fold.columns).where(fold.matters), large, keys, "left_semi")
+    schema = T.StructType([rows.schema[c] for c in ids] + [T.StructField("summary", T.StringType())])
+    summaries = inner.repartition(*ids).sortWithinPartitions(*ids, POSITION).mapInPandas(_emit_summaries(fold, ids), schema)
+    state = T.StructType([rows.schema[c] for c in ids] + [T.StructField(STATE, T.BinaryType())])
+    return summaries.repartition(*keys).sortWithinPartitions(*ids).mapInPandas(_emit_starts(fold, keys), state)
+
+
+def _emit_summaries(fold: ShortFold, ids: Sequence[str]):
+    """Gathers one slice at a time; a slice has a bounded number of rows."""
+
+    def summary(name: tuple, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
+        return pd.DataFrame([(*name, fold.summarize(rows))], columns=[*ids, "summary"])
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, parts = None, []
+        for batch in batches:
+            for key, rows in batch.groupby(list(ids), sort=False):
+                if key != name and parts:
+                    yield summary(name, parts)
+                    parts = []
+                name = key
+                parts.append(rows)
+        if parts:
+            yield summary(name, parts)
+
+    return emit
+
+
+def _emit_starts(fold: ShortFold, keys: Sequence[str]):
+    """Follows each host from slice to slice, holding nothing but the current state."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch[[*keys, SLICE, "summary"]].itertuples(index=False, name=None):
+                *key, place, text = row
+                if key != host:
+                    host, state = key, fold.initial()
+                out.append((*key, place, pack(state)))
+                state = fold.follow(state, text)
+            yield pd.DataFrame(out, columns=[*keys, SLICE, STATE])
+
+    return emit
+
+
+def _tried_starts(rows: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
+    """(keys, slice, state) for every later slice of a large host, by trying starts."""
     chain = Window.partitionBy(*keys).orderBy(SLICE)
     slices = rows.select(*keys, SLICE).distinct().withColumn("_next", F.lead(SLICE).over(chain))
     slices = materialize(slices.where(F.col("_next").isNotNull()), "slices")
@@ -183,14 +259,7 @@ def _start_rows(rows: DataFrame, fold: Fold, keys: list[str], columns: list[str]
         again = join_checked(rows, wanted, [*keys, SLICE])
         ends = _ends(again, _states(wanted, tried, keys), fold, keys)
         tried = tried.unionByName(materialize(ends, "ends").withColumn("_round", F.lit(turn)))
-    starts = walked.where(~F.col("try")).select(*keys, SLICE, START)
-    filled = _states(starts, tried, keys).drop(START)
-    absent = [c for c in columns if c not in filled.columns and c != POSITION]
-    return filled.select(
-        *filled.columns,
-        F.lit(-1).cast("long").alias(POSITION),
-        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in absent],
-    )
+    return _states(walked.where(~F.col("try")).select(*keys, SLICE, START), tried, keys)
 
 
 def _states(starts: DataFrame, tried: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,6 +19,8 @@ from hostvane.functions.detectors import (
     gate,
     pack,
     severity,
+    summarize_alerts,
+    summarize_gate,
     unpack,
     z_details,
 )
@@ -183,3 +185,40 @@ def test_state_survives_packing():
     assert pack(again) == pack(state)
     assert again[2] == state[2] and again[1] is None
     np.testing.assert_array_equal(again[0][0], state[0][0])
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 9_000), st.booleans()), min_size=1, max_size=60),
+    st.integers(1, 20),
+    st.lists(st.integers(1, 59), max_size=4),
+)
+def test_gate_summaries_chain_to_the_walk(steps, period_ms, cuts):
+    times = np.cumsum([s for s, _ in steps]).astype(int)
+    flags = np.array([f for _, f in steps], dtype=bool)
+    bounds = [0, *sorted({c for c in cuts if c < len(times)}), len(times)]
+    state = walked = None
+    for a, b in zip(bounds, bounds[1:]):
+        state = summarize_gate(times[a:b], flags[a:b], period_ms).after(state, period_ms)
+        _, walked = gate(times[a:b].tolist(), flags[a:b], walked, period_ms)
+        assert state == walked
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 6), st.integers(1, 2)), min_size=1, max_size=60),
+    st.integers(1, 5),
+    st.integers(0, 15),
+    st.lists(st.integers(1, 59), max_size=4),
+)
+def test_alert_summaries_chain_to_the_walk(steps, consecutive, cooldown, cuts):
+    cfg = AlertConfig(consecutive, cooldown)
+    times = np.cumsum([s for s, _ in steps]).astype(int) * SECOND
+    positions = np.cumsum([p for _, p in steps]).astype(int)
+    bounds = [0, *sorted({c for c in cuts if c < len(times)}), len(times)]
+    state = walked = AlertState()
+    for a, b in zip(bounds, bounds[1:]):
+        state = summarize_alerts(positions[a:b], times[a:b], cfg).after(state, cooldown * SECOND)
+        _, walked = alert_rows(positions[a:b], times[a:b], walked, cfg)
+        assert (state.last_alert, state.last_position) == (walked.last_alert, walked.last_position)
+        assert state.count == walked.count
