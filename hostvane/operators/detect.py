@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from hostvane.functions.detectors import (
 from hostvane.functions.features import preprocess
 from hostvane.functions.pca import score, score_details
 from hostvane.operators.folds import run_fold
-from hostvane.operators.sequences import POSITION, SLICE, SLICE_ROWS, HostRows, numbered
+from hostvane.operators.sequences import POSITION, SLICE, SLICE_ROWS, HostRows, for_hosts
 from hostvane.schemas import FEATURES, HOST_KEYS, TIME_ORDER
 from hostvane.session import materialize
 
@@ -228,8 +229,8 @@ def poison_aware_z(
     outliers: OutlierConfig = OutlierConfig(mitigate_poison=True),
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    seq = numbered(telemetry.select(*IDENTITY, *FEATURES), slice_rows=slice_rows)
-    return run_fold(seq, PoisonFold(window, outliers), IDENTITY)
+    fold = PoisonFold(window, outliers)
+    return for_hosts(telemetry.select(*IDENTITY, *FEATURES), lambda seq: run_fold(seq, fold, IDENTITY), slice_rows)
 
 
 def gated_model(
@@ -237,7 +238,7 @@ def gated_model(
 ) -> DataFrame:
     """``verdicts``: one row per reading with ``a_flag``, the model's error and its flag."""
     rows = verdicts.select(*IDENTITY, "a_flag", ERROR, MODEL_FLAG, epoch_micros(verdicts, TIME_ORDER[0]).alias(MICROS))
-    return run_fold(numbered(rows, slice_rows=slice_rows), GateFold(cfg), (*IDENTITY, "a_flag"))
+    return for_hosts(rows, lambda seq: run_fold(seq, GateFold(cfg), (*IDENTITY, "a_flag")), slice_rows, verdicts)
 
 
 def raise_alerts(
@@ -251,9 +252,12 @@ def raise_alerts(
     rows = verdicts.select(
         *IDENTITY, "a_flag", "a_score", "b_flag", "b_score", *carry, epoch_micros(verdicts, TIME_ORDER[0]).alias(MICROS)
     )
-    seq = numbered(rows, slice_rows=slice_rows)
-    flagged = HostRows(seq.rows.where(F.col("a_flag") | F.col("b_flag")), seq.keys, seq.slice_rows, seq.split)
-    return alerts_only(run_fold(flagged, AlertFold(cfg), (*IDENTITY, *carry)), *carry)
+
+    def flagged_only(seq: HostRows) -> DataFrame:
+        flagged = replace(seq, rows=seq.rows.where(F.col("a_flag") | F.col("b_flag")))
+        return run_fold(flagged, AlertFold(cfg), (*IDENTITY, *carry))
+
+    return alerts_only(for_hosts(rows, flagged_only, slice_rows, verdicts), *carry)
 
 
 def alerts_only(verdicts: DataFrame, *carry: str) -> DataFrame:
@@ -274,15 +278,19 @@ def fused_pipeline(
 ) -> DataFrame:
     """Every row with both detectors' verdicts and whether it raises an alert.
 
-    One walk per host does everything. If some host is too large for one task, the three steps run
-    one after the other instead, each over slices of hosts.
+    One walk per host does everything. For hosts too large for one task the three steps run one after
+    the other instead, each over slices of hosts.
     """
-    seq = numbered(fused_input(telemetry, cfg), slice_rows=slice_rows, count_in=telemetry)
-    if not seq.split:
-        return run_fold(seq, FusedFold(cfg), IDENTITY)
 
+    def build(seq: HostRows) -> DataFrame:
+        return _staged(seq, cfg) if seq.split else run_fold(seq, FusedFold(cfg), IDENTITY)
+
+    return for_hosts(fused_input(telemetry, cfg), build, slice_rows, telemetry)
+
+
+def _staged(seq: HostRows, cfg: PipelineConfig) -> DataFrame:
     def staged(rows: DataFrame) -> HostRows:
-        return HostRows(materialize(rows, "stage"), seq.keys, seq.slice_rows, True)
+        return replace(seq, rows=materialize(rows, "stage"))
 
     base = (*IDENTITY, POSITION, SLICE, MICROS)
     stats = run_fold(seq, PoisonFold(cfg.window, cfg.outliers), (*base, ERROR, MODEL_FLAG))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from hostvane.functions.detectors import OutlierConfig, WindowConfig
 from hostvane.functions.pca import fixed_decimals
-from hostvane.operators.sequences import POSITION, SLICE, SLICE_ROWS, numbered, with_lead_in
+from hostvane.operators.sequences import POSITION, SLICE, SLICE_ROWS, HostRows, for_hosts, with_lead_in
 from hostvane.schemas import FEATURES, HOST_KEYS, TIME_ORDER
 
 
@@ -18,15 +18,17 @@ def rolling_stats(
     telemetry: DataFrame, metrics: Sequence[str] = FEATURES, size: int = 60, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Mean and population deviation of each metric over the last ``size`` rows of the host, this one included."""
-    seq = numbered(telemetry.select(*HOST_KEYS, *TIME_ORDER, *metrics), slice_rows=slice_rows)
-    rows = with_lead_in(seq, size - 1)
     last = Window.partitionBy(*HOST_KEYS, SLICE).orderBy(POSITION).rowsBetween(-(size - 1), 0)
-    stats = rows.withColumns(
-        {f"{m}_mean": F.avg(m).over(last) for m in metrics}
-        | {f"{m}_std": F.stddev_pop(m).over(last) for m in metrics}
-    )
-    wanted = [f"{m}_{s}" for m in metrics for s in ("mean", "std")]
-    return stats.where(~F.col("_lead")).select(*HOST_KEYS, *TIME_ORDER, *wanted)
+
+    def build(seq: HostRows) -> DataFrame:
+        stats = with_lead_in(seq, size - 1).withColumns(
+            {f"{m}_mean": F.avg(m).over(last) for m in metrics}
+            | {f"{m}_std": F.stddev_pop(m).over(last) for m in metrics}
+        )
+        wanted = [f"{m}_{s}" for m in metrics for s in ("mean", "std")]
+        return stats.where(~F.col("_lead")).select(*HOST_KEYS, *TIME_ORDER, *wanted)
+
+    return for_hosts(telemetry.select(*HOST_KEYS, *TIME_ORDER, *metrics), build, slice_rows, telemetry)
 
 
 def _upper_median(sorted_values: str) -> str:
@@ -48,8 +50,12 @@ def robust_z(
     window runs over a tenth of the rows. Without poison mitigation nothing depends on earlier
     verdicts; ``operators.detect`` covers mitigation.
     """
+    rows = telemetry.select(*HOST_KEYS, *TIME_ORDER, *metrics)
+    return for_hosts(rows, lambda seq: _robust_z(seq, window, outliers, metrics), slice_rows, telemetry)
+
+
+def _robust_z(seq: HostRows, window: WindowConfig, outliers: OutlierConfig, metrics: Sequence[str]) -> DataFrame:
     every, size, needed = window.recompute_interval, window.size, window.min_history
-    seq = numbered(telemetry.select(*HOST_KEYS, *TIME_ORDER, *metrics), slice_rows=slice_rows)
     rows = with_lead_in(seq, size + every)
     block = [*HOST_KEYS, SLICE, "_block"]
     packed = (

@@ -7,7 +7,7 @@ task; ``slice`` = position div length then bounds what any later task has to hol
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,24 +40,52 @@ def numbered(
     keys: Sequence[str] = HOST_KEYS,
     order: Sequence[str] = TIME_ORDER,
     slice_rows: int = SLICE_ROWS,
-    count_in: DataFrame | None = None,
 ) -> HostRows:
-    """Add ``_pos`` (from 0, per host, in ``order``) and ``_slice``. ``order`` must be total.
+    """Add ``_pos`` (from 0, per host, in ``order``) and ``_slice``. ``order`` must be total."""
+    largest, total = group_sizes(df, keys)
+    if largest <= slice_rows:
+        return _in_one_slice(df, keys, order, slice_rows)
+    return _in_slices(df, keys, order, slice_rows, total)
+
+
+def for_hosts(
+    df: DataFrame,
+    build: Callable[[HostRows], DataFrame],
+    slice_rows: int = SLICE_ROWS,
+    count_in: DataFrame | None = None,
+    keys: Sequence[str] = HOST_KEYS,
+    order: Sequence[str] = TIME_ORDER,
+) -> DataFrame:
+    """``build`` over numbered rows: hosts that fit one task as whole hosts, the others as slices.
 
     ``count_in`` may name a frame with the same rows per host that is cheaper to count.
     """
-    keys = tuple(keys)
-    largest, total = group_sizes(df if count_in is None else count_in, keys)
-    if largest <= slice_rows:
-        in_time = Window.partitionBy(*keys).orderBy(*order)
-        rows = df.withColumn(POSITION, (F.row_number().over(in_time) - 1).cast("long")).withColumn(
-            SLICE, F.lit(0).cast("long")
-        )
-        return HostRows(rows, keys, slice_rows, False)
+    counted = df if count_in is None else count_in
+    if group_sizes(counted, keys)[0] <= slice_rows:
+        return build(_in_one_slice(df, keys, order, slice_rows))
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slice_rows)
+    large = materialize(sizes, "large")
+    rows_in_large = large.agg(F.sum("_n")).first()[0]
+    hosts = large.select(*keys)
+    small_df = join_checked(df, hosts, keys, "left_anti", stored=True)
+    large_df = join_checked(df, hosts, keys, "left_semi", stored=True)
+    whole = build(_in_one_slice(small_df, keys, order, slice_rows))
+    return whole.unionByName(build(_in_slices(large_df, keys, order, slice_rows, rows_in_large)))
+
+
+def _in_one_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int) -> HostRows:
+    in_time = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn(POSITION, (F.row_number().over(in_time) - 1).cast("long")).withColumn(
+        SLICE, F.lit(0).cast("long")
+    )
+    return HostRows(rows, tuple(keys), slice_rows, False)
+
+
+def _in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int, total: int) -> HostRows:
     at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = number_by_ranges(df, keys, order, max(at_least, -(-total // slice_rows)))
     rows = rows.withColumn(SLICE, F.floor(F.col(POSITION) / F.lit(slice_rows)).cast("long"))
-    return HostRows(rows, keys, slice_rows, True)
+    return HostRows(rows, tuple(keys), slice_rows, True)
 
 
 def number_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ranges: int) -> DataFrame:
