@@ -44,8 +44,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/hostvane-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/hostvane/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables. Results that still read them must be written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hostvane.operators.ranks import Quantile, aggregate, group_sizes, values_at_ranks
-from pyspark.sql import functions as F
+from hostvane.session import clear_scratch, materialize
+
 
 WANTED = {
     "median": Quantile("v", 0.5),
@@ -70,3 +72,10 @@ def test_group_sizes(spark):
 def test_quantiles_need_a_group(spark):
     with pytest.raises(ValueError):
         aggregate(frame(spark, {"a": [1]}), [], [], WANTED)
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    kept = materialize(frame(spark, {"a": [1, 2]}), "kept")
+    assert kept.count() == 2
+    assert clear_scratch(spark)
+    assert not clear_scratch(spark)
