@@ -270,12 +270,12 @@ def fused_sql(columns: str, where: str = "true") -> str:
 
 
 @query(
-    "fused_pipeline",
+    "fused_verdicts",
     fused_sql(f"""{ID}, a_flag, round(a_score, 6) AS a_score, b_ran, b_flag, round(b_score, 6) AS b_score,
         CASE WHEN alert THEN {FUSED_DETAILS} END AS details, alert, CASE WHEN alert THEN {SEVERITY} END AS severity,
         CASE WHEN alert THEN {SOURCE} END AS detector_source, round(CASE WHEN alert THEN {ALERT_SCORE} END, 6) AS score"""),
 )
-def fused_pipeline(spark, sf_dir):
+def fused_verdicts(spark, sf_dir):
     return rounded(detect.fused_pipeline(telemetry(spark, sf_dir), PIPELINE))
 
 
