@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,8 +72,8 @@ class PoisonFold:
         return self.detector.initial()
 
     def judge(self, rows, starts, ends, states):
-        values = rows[list(FEATURES)].to_numpy(dtype=float)
-        positions = rows[POSITION].to_numpy()[starts]
+        values = np.column_stack([rows[f] for f in FEATURES])
+        positions = rows[POSITION][starts]
         z, skipped, after = self.detector.advance(values, starts, ends, positions, states)
         above = z > self.detector.outliers.robust_z_threshold
         return z, above, skipped, after
@@ -82,9 +81,9 @@ class PoisonFold:
     def run(self, rows, starts, ends, states):
         z, above, skipped, after = self.judge(rows, starts, ends, states)
         flag = above.any(axis=1)
-        details = np.full(len(rows), None, dtype=object)
+        details = np.full(len(flag), None, dtype=object)
         details[flag] = z_details(z[flag], above[flag], skipped[flag])
-        return pd.DataFrame({"a_flag": flag, "a_score": largest_flagged(z, above), "details": details}), after
+        return {"a_flag": flag, "a_score": largest_flagged(z, above), "details": details}, after
 
 
 def largest_flagged(z, above):
@@ -105,30 +104,23 @@ class GateFold:
         return None
 
     def run(self, rows, starts, ends, states):
-        ran = np.ones(len(rows), dtype=bool)
+        ran = np.ones(len(rows[MICROS]), dtype=bool)
         after = list(states)
         if self.cfg.enabled:
-            times = rows[MICROS].to_numpy()
-            flags = rows["a_flag"].to_numpy(dtype=bool, na_value=False)
+            times, flags = rows[MICROS], rows["a_flag"]
             for i, (a, b) in enumerate(zip(starts, ends)):
                 ran[a:b], after[i] = gate(times[a:b].tolist(), flags[a:b], states[i], self.cfg.period_ms)
-        return _model_verdicts(rows, ran), after
+        flag = rows[MODEL_FLAG] & ran
+        shown = np.where(flag, rows[ERROR], 0.0)
+        return {"b_ran": ran, "b_flag": flag, "b_score": np.where(ran, shown, NOT_RUN)}, after
 
     def summarize(self, rows):
-        flags = rows["a_flag"].to_numpy(dtype=bool, na_value=False)
-        return json.dumps(vars(summarize_gate(rows[MICROS].to_numpy(), flags, self.cfg.period_ms)))
+        return json.dumps(vars(summarize_gate(rows[MICROS], rows["a_flag"], self.cfg.period_ms)))
 
     def follow(self, state, summary):
         return GateSummary(**json.loads(summary)).after(state, self.cfg.period_ms)
 
 
-def _model_verdicts(rows: pd.DataFrame, ran: np.ndarray) -> pd.DataFrame:
-    flag = rows[MODEL_FLAG].to_numpy(dtype=bool, na_value=False) & ran
-    errors = rows[ERROR].to_numpy(dtype=float)
-    shown = np.where(flag, errors, 0.0)
-    return pd.DataFrame({"b_ran": ran, "b_flag": flag, "b_score": np.where(ran, shown, NOT_RUN)})
-
-
 class AlertFold:
     """Hysteresis and cooldown over flagged rows. Unflagged rows need not be given."""
 
@@ -144,41 +136,29 @@ class AlertFold:
         return AlertState()
 
     def run(self, rows, starts, ends, states):
-        flagged = (
-            rows["a_flag"].to_numpy(dtype=bool, na_value=False) | rows["b_flag"].to_numpy(dtype=bool, na_value=False)
-        )
-        return _alerts(rows, flagged, starts, ends, states, self.cfg)
+        positions, times = rows[POSITION], rows[MICROS]
+        flagged = rows["a_flag"] | rows["b_flag"]
+        n = len(flagged)
+        alert = np.zeros(n, dtype=bool)
+        level, source = np.full(n, None, dtype=object), np.full(n, None, dtype=object)
+        points = np.full(n, np.nan)
+        after = list(states)
+        for s, (a, b) in enumerate(zip(starts, ends)):
+            mine = a + np.flatnonzero(flagged[a:b])
+            fired, after[s] = alert_rows(positions[mine], times[mine], states[s], self.cfg)
+            alert[mine[fired]] = True
+        for i in np.flatnonzero(alert):
+            findings = (rows[c][i] for c in ("a_flag", "a_score", "b_flag", "b_score"))
+            level[i], source[i], points[i] = severity(*findings)
+        return {"alert": alert, "severity": level, "detector_source": source, "score": points}, after
 
     def summarize(self, rows):
-        found = summarize_alerts(rows[POSITION].to_numpy(), rows[MICROS].to_numpy(), self.cfg)
-        return json.dumps(vars(found))
+        return json.dumps(vars(summarize_alerts(rows[POSITION], rows[MICROS], self.cfg)))
 
     def follow(self, state, summary):
         return AlertSummary(**json.loads(summary)).after(state, self.cfg.cooldown_seconds * 1_000_000)
 
 
-def _alerts(rows: pd.DataFrame, flagged, starts, ends, states, cfg: AlertConfig):
-    positions, times = rows[POSITION].to_numpy(), rows[MICROS].to_numpy()
-    n = len(rows)
-    alert = np.zeros(n, dtype=bool)
-    level, source = np.full(n, None, dtype=object), np.full(n, None, dtype=object)
-    points = np.full(n, np.nan)
-    after = list(states)
-    a_flag, a_score = rows["a_flag"].to_numpy(), rows["a_score"].to_numpy()
-    b_flag, b_score = rows["b_flag"].to_numpy(), rows["b_score"].to_numpy()
-    for s, (a, b) in enumerate(zip(starts, ends)):
-        mine = a + np.flatnonzero(flagged[a:b])
-        fired, after[s] = alert_rows(positions[mine], times[mine], states[s], cfg)
-        for i in mine[fired]:
-            alert[i] = True
-            level[i], source[i], points[i] = severity(a_flag[i], a_score[i], b_flag[i], b_score[i])
-    scores = pd.Series(points).astype(object).where(alert, None)
-    return (
-        pd.DataFrame({"alert": alert, "severity": level, "detector_source": source, "score": scores}),
-        after,
-    )
-
-
 class FusedFold:
     """Statistics, gated model and alerts in one walk over a host's rows."""
 
@@ -195,19 +175,17 @@ class FusedFold:
         return (self.stats.initial(), self.gate.initial(), self.alerts.initial())
 
     def run(self, rows, starts, ends, states):
-        rows = rows.reset_index(drop=True)
         z, above, skipped, s0 = self.stats.judge(rows, starts, ends, [s[0] for s in states])
-        rows = rows.assign(a_flag=above.any(axis=1), a_score=largest_flagged(z, above))
-        model, s1 = self.gate.run(rows, starts, ends, [s[1] for s in states])
-        rows = rows.assign(b_flag=model["b_flag"], b_score=model["b_score"])
-        alerts, s2 = self.alerts.run(rows, starts, ends, [s[2] for s in states])
-        details = np.full(len(rows), None, dtype=object)
+        stats = {"a_flag": above.any(axis=1), "a_score": largest_flagged(z, above)}
+        model, s1 = self.gate.run({**rows, **stats}, starts, ends, [s[1] for s in states])
+        alerts, s2 = self.alerts.run({**rows, **stats, **model}, starts, ends, [s[2] for s in states])
+        details = np.full(len(z), None, dtype=object)
         fired = np.flatnonzero(alerts["alert"])
-        details[fired] = self._details(z[fired], above[fired], skipped[fired], model.iloc[fired])
-        result = pd.concat([rows[["a_flag", "a_score"]], model, pd.Series(details, name="details"), alerts], axis=1)
-        return result, list(zip(s0, s1, s2))
+        findings = {name: values[fired] for name, values in model.items()}
+        details[fired] = self._details(z[fired], above[fired], skipped[fired], findings)
+        return {**stats, **model, "details": details, **alerts}, list(zip(s0, s1, s2))
 
-    def _details(self, z, above, skipped, model: pd.DataFrame) -> list[str]:
+    def _details(self, z, above, skipped, model) -> list[str]:
         """What an alert says: both detectors' findings, and whether the model was skipped."""
         texts = []
         for a, b, score, ran in zip(z_details(z, above, skipped), model["b_flag"], model["b_score"], model["b_ran"]):

@@ -20,14 +20,17 @@ Once all starts are known, one last pass produces the rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from hostvane.functions.detectors import pack, unpack
@@ -39,13 +42,16 @@ STATE, START = "_state", "_start"
 GUESSED = ""  # digest that stands for the initial state
 
 
+Columns = Mapping[str, np.ndarray]
+
+
 class Fold(Protocol):
     columns: Sequence[str]  # what the step reads, besides keys and position
     result: T.StructType  # what it adds to each row
 
     def initial(self) -> Any: ...
 
-    def run(self, rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, states: list) -> tuple[pd.DataFrame, list]:
+    def run(self, rows: Columns, starts: np.ndarray, ends: np.ndarray, states: list) -> tuple[Columns, list]:
         """Advance the hosts at rows[starts[i]:ends[i]]; results in row order, and the states after."""
         ...
 
@@ -53,7 +59,7 @@ class Fold(Protocol):
 class ShortFold(Fold, Protocol):
     matters: str  # SQL condition for the rows that can change the state
 
-    def summarize(self, rows: pd.DataFrame) -> str:
+    def summarize(self, rows: Columns) -> str:
         """The effect of one slice's rows on any state before them."""
         ...
 
@@ -64,40 +70,58 @@ def digest(state: bytes) -> str:
     return hashlib.md5(state).hexdigest()
 
 
-def _segments(batches: Iterator[pd.DataFrame], ids: Sequence[str], fold: Fold):
-    """Per Arrow batch: (rows, ids of segments, starts, ends, states before). A row with a state
+def _numbers(batch: pa.RecordBatch, names: Sequence[str]) -> Columns:
+    """Numeric columns as numpy arrays. Only marker rows hold NULL, and no fold looks at those."""
+    out = {}
+    for name in names:
+        column = batch.column(name)
+        if column.null_count:
+            column = pc.fill_null(column, pa.scalar(0).cast(column.type))
+        out[name] = column.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _starts_of(batch: pa.RecordBatch, ids: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
+    """Rows at which the ids change, and the ids there."""
+    n = batch.num_rows
+    new = np.zeros(n, dtype=bool)
+    new[0] = True
+    for c in ids:
+        column = batch.column(c)
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new)
+    return starts, list(zip(*(batch.column(c).take(pa.array(starts)).to_pylist() for c in ids)))
+
+
+def _segments(batches: Iterator[pa.RecordBatch], ids: Sequence[str], fold: Fold):
+    """Per Arrow batch: (batch, ids of segments, starts, ends, states before). A row with a state
     precedes its segment and sets where it starts. Call ``send`` with the states after."""
     open_id, open_state = None, None
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
-        new = np.zeros(len(batch), dtype=bool)
-        new[0] = True
-        for c in ids:
-            values = batch[c].to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(batch))
-        names = list(batch[list(ids)].iloc[starts].itertuples(index=False, name=None))
-        markers = batch[STATE].iloc[starts]
-        given = markers.notna().to_numpy()
+        starts, names = _starts_of(batch, ids)
+        ends = np.append(starts[1:], batch.num_rows)
+        markers = batch.column(STATE).take(pa.array(starts)).to_pylist()
         states = []
-        for i, name in enumerate(names):
-            if given[i]:
-                states.append(unpack(markers.iloc[i]))
+        for i, (name, marker) in enumerate(zip(names, markers)):
+            if marker is not None:
+                states.append(unpack(marker))
             elif i == 0 and name == open_id:
                 states.append(open_state)
             else:
                 states.append(fold.initial())
+        given = np.array([m is not None for m in markers], dtype=int)
         after = yield batch, names, starts + given, ends, states
         open_id, open_state = names[-1], after[-1]
 
 
-def _advance(fold: Fold, rows, starts, ends, states):
+def _advance(fold: Fold, batch, starts, ends, states):
     """Run the fold on the segments that have rows in this batch."""
     some = np.flatnonzero(ends > starts)
     if len(some) == 0:
         return None, list(states)
+    rows = _numbers(batch, [POSITION, *fold.columns])
     result, moved = fold.run(rows, starts[some], ends[some], [states[i] for i in some])
     after = list(states)
     for i, state in zip(some, moved):
@@ -105,17 +129,26 @@ def _advance(fold: Fold, rows, starts, ends, states):
     return result, after
 
 
+# Arrow types of the results a fold may have.
+ARROW = {"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+
+
 def _emit_rows(fold: Fold, ids: Sequence[str], keep: Sequence[str]):
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {f.name: ARROW[f.dataType.simpleString()] for f in fold.result}
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = _segments(batches, ids, fold)
         step = next(walk, None)
         while step is not None:
-            rows, _, starts, ends, states = step
-            result, after = _advance(fold, rows, starts, ends, states)
+            batch, _, starts, ends, states = step
+            result, after = _advance(fold, batch, starts, ends, states)
             if result is not None:
-                real = rows[STATE].isna().to_numpy()
-                out = pd.concat([rows[list(keep)].reset_index(drop=True), result.reset_index(drop=True)], axis=1)
-                yield out[real]
+                arrays = [batch.column(c) for c in keep]
+                # NaN stands for "no value" in a result
+                arrays += [pa.array(result[name], type=kind, from_pandas=True) for name, kind in kinds.items()]
+                out = pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds])
+                markers = batch.column(STATE)
+                yield out if markers.null_count == batch.num_rows else out.filter(markers.is_null())
             try:
                 step = walk.send(after)
             except StopIteration:
@@ -124,39 +157,36 @@ def _emit_rows(fold: Fold, ids: Sequence[str], keep: Sequence[str]):
     return emit
 
 
-def _emit_ends(fold: Fold, ids: Sequence[str]):
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _emit_ends(fold: Fold, ids: Sequence[str], schema: pa.Schema):
+    def ends_batch(done: list) -> pa.RecordBatch:
+        packed = [pack(state) for _, state in done]
+        columns = [*zip(*(name for name, _ in done)), [digest(p) for p in packed], packed]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = _segments(batches, ids, fold)
         step = next(walk, None)
         open_name, open_state = None, None
         while step is not None:
-            rows, names, starts, ends, states = step
-            _, after = _advance(fold, rows, starts, ends, states)
+            batch, names, starts, ends, states = step
+            _, after = _advance(fold, batch, starts, ends, states)
             done = []
             if open_name is not None and open_name != names[0]:
                 done.append((open_name, open_state))
             done.extend(zip(names[:-1], after[:-1]))
             open_name, open_state = names[-1], after[-1]
             if done:
-                yield _ends_frame(done, ids)
+                yield ends_batch(done)
             try:
                 step = walk.send(after)
             except StopIteration:
                 step = None
         if open_name is not None:
-            yield _ends_frame([(open_name, open_state)], ids)
+            yield ends_batch([(open_name, open_state)])
 
     return emit
 
 
-def _ends_frame(done: list, ids: Sequence[str]) -> pd.DataFrame:
-    packed = [pack(state) for _, state in done]
-    frame = pd.DataFrame([name for name, _ in done], columns=list(ids))
-    frame["end_id"] = [digest(p) for p in packed]
-    frame["end_state"] = packed
-    return frame
-
-
 def run_fold(seq: HostRows, fold: Fold, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns of every row plus the fold's results, exact for hosts of any size."""
     keys = list(seq.keys)
@@ -173,7 +203,7 @@ def run_fold(seq: HostRows, fold: Fold, keep: Sequence[str]) -> DataFrame:
         f.nullable = True
     # Unsplit rows come out of the numbering window, which has already gathered each host in one task.
     placed = rows.repartition(*ids) if seq.split else rows
-    return placed.sortWithinPartitions(*ids, POSITION).mapInPandas(_emit_rows(fold, ids, keep), schema)
+    return placed.sortWithinPartitions(*ids, POSITION).mapInArrow(_emit_rows(fold, ids, keep), schema)
 
 
 def _marker_rows(starts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,7 +233,7 @@ def _emit_summaries(fold: ShortFold, ids: Sequence[str]):
     """Gathers one slice at a time; a slice has a bounded number of rows."""
 
     def summary(name: tuple, parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(parts, ignore_index=True)
+        rows = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in (POSITION, *fold.columns)}
         return pd.DataFrame([(*name, fold.summarize(rows))], columns=[*ids, "summary"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,7 +309,8 @@ def _ends(rows: DataFrame, starts: DataFrame | None, fold: Fold, keys: list[str]
         [rows.schema[c] for c in ids]
         + [T.StructField("end_id", T.StringType()), T.StructField("end_state", T.BinaryType())]
     )
-    return rows.repartition(*ids).sortWithinPartitions(*ids, POSITION).mapInPandas(_emit_ends(fold, ids), schema)
+    emit = _emit_ends(fold, ids, to_arrow_schema(schema))
+    return rows.repartition(*ids).sortWithinPartitions(*ids, POSITION).mapInArrow(emit, schema)
 
 
 def _walk(tried: DataFrame, slices: DataFrame, keys: list[str], turn: int) -> DataFrame:

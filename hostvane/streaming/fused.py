@@ -97,8 +97,10 @@ class FusedProcessor(StatefulProcessor):
         else:
             self.buffer.clear()
         rows = waiting[due].sort_values([MICROS, "record_id"], ignore_index=True)
-        rows[POSITION] = np.arange(position, position + len(rows), dtype="int64")
-        result, after = self.fold.run(rows, np.array([0]), np.array([len(rows)]), [detectors])
+        columns = {c: rows[c].to_numpy() for c in BUFFERED}
+        columns[POSITION] = np.arange(position, position + len(rows), dtype="int64")
+        columns[MODEL_FLAG] = columns[MODEL_FLAG].astype(bool)
+        result, after = self.fold.run(columns, np.array([0]), np.array([len(rows)]), [detectors])
         released = int(rows[MICROS].iloc[-1])
         self.host.update((pack(after[0]), position + len(rows), released, late))
         if self.idle_ms is not None:
@@ -106,7 +108,7 @@ class FusedProcessor(StatefulProcessor):
         head = pd.DataFrame(
             {"run_id": key[0], "host_id": key[1], MICROS: rows[MICROS], "record_id": rows["record_id"], "late_rows": late}
         )
-        yield pd.concat([head, result.reset_index(drop=True)], axis=1)
+        yield head.assign(**result)
 
     def _wake(self, micros: int, timerValues) -> None:
         """A timer fires when the watermark passes it; round up so the row is due by then."""
