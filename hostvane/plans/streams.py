@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hostvane.functions.pca import DEFAULT_MODEL
 from hostvane.plans.dataset import T, bucket
