@@ -6,8 +6,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_oracles import TABLES, as_rows
+from hostvane.plans import CHECKS, QUERIES
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -23,15 +24,15 @@ def db():
 
 
 def test_every_query_has_a_check():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == CHECKS.keys()
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     mine = as_rows(df.columns, [tuple(r) for r in df.collect()])
-    found = db.execute(oracle_sql()[name])
+    found = db.execute(CHECKS[name])
     columns = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(columns)
     assert mine == as_rows(columns, found.fetchall())
