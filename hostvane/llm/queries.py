@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostvane.llm import exact_dedup
+from hostvane.llm import exact_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,3 +43,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 @query("op1_exact_dedup", EXACT_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_filter", url_filter.ORACLE_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
