@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostvane.llm import exact_dedup, token_files, url_filter
+from hostvane.llm import exact_dedup, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,3 +53,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_files")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
