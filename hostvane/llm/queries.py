@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostvane.llm import exact_dedup, simhash, token_files, url_filter
+from hostvane.llm import exact_dedup, mixing, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
+EVENNESS = 0.5
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
@@ -58,3 +60,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_mixing", mixing.oracle_sql(EVENNESS))
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, evenness=EVENNESS, budget="all")
