@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostvane.llm import huffman
-from hostvane.llm.token_ids import WordEncoder, per_worker
+from hostvane.llm.token_ids import WordEncoder
+from hostvane.llm.workers import per_worker
 from hostvane.operators.joins import join_checked
 from hostvane.session import materialize, scratch_path
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 
 import numpy as np
 
@@ -21,14 +19,6 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 DIGIT = "0-9²³¹¼½¾"
 
 
-def per_worker(name: str, make):
-    """``make()`` once per Python worker: workers serve many tasks, and loading or warming up is not free."""
-    kept = sys.modules.setdefault("hostvane_worker_state", types.ModuleType("hostvane_worker_state")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
-
-
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
