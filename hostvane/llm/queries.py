@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostvane.llm import decontaminate, exact_dedup, langid, mixing, simhash, token_files, url_filter
+from hostvane.llm import decontaminate, exact_dedup, langid, licenses, mixing, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,3 +76,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_decontaminate")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_licenses", licenses.oracle_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
