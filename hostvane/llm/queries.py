@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostvane.llm import decontaminate, exact_dedup, langid, licenses, mixing, simhash, token_files, url_filter
+from hostvane.llm import decontaminate, exact_dedup, langid, licenses, mixing, quality, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,3 +81,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_licenses", licenses.oracle_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
