@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostvane.llm import decontaminate, exact_dedup, langid, licenses, mixing, quality, simhash, token_files, url_filter
+from hostvane.llm import decontaminate, exact_dedup, langid, licenses, mixing, pii, quality, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,3 +86,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
