@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,11 @@ MIN_PROBABILITY = 0.9
 TRAIN_DOCS = 20_000  # documented bounds of the training sample: documents, spots of one document, spots of one pattern
 SPOTS_A_DOC = 20
 SPOTS_A_KIND = 60
-ROUNDS = 40
+SPOTS_WITHOUT = 300
+ROUNDS = 100
 PENALTY = 0.02
 SPOT_CHARS = 400
-SPOTS_AT_ONCE = 2000
+SPOTS_AT_ONCE = 500
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -165,7 +167,9 @@ def _bucket(n: np.ndarray, bounds: list[int]) -> list[np.ndarray]:
 
 
 def segments(texts: list[str]) -> Segments:
-    """All candidate segments of spot texts: up to MAX_TOKENS tokens with a digit or ``@``, or a bracketed "at"."""
+    """All candidate segments of spot texts: up to MAX_TOKENS tokens with a digit or ``@``, or a bracketed "at".
+
+    They begin and end with a mark or a whole run of letters and digits."""
     tokens, starts, ends, offset, spot = [], [], [], [0], []
     for k, text in enumerate(texts):
         for m in TOKEN.finditer(text):
@@ -200,7 +204,10 @@ def segments(texts: list[str]) -> Segments:
     inside = last <= bound[owner[first] + 1] if n else np.zeros(0, dtype=bool)
     first, last = first[inside], last[inside]
     trigger = upto(digits | is_["@"] | (at_word & np.append(bracket[1:] | blank[1:], False)))
-    able = ~blank[first] & ~blank[last - 1] & (trigger[last] > trigger[first])
+    whole = letters | digits
+    inner = np.append(whole[1:] & whole[:-1], False) & np.append(owner[1:] == owner[:-1], False)  # within a run
+    cuts = inner[last - 1] | (inner[np.maximum(first - 1, 0)] & (first > 0))
+    able = ~blank[first] & ~blank[last - 1] & ~cuts & (trigger[last] > trigger[first])
     first, last = first[able], last[able]
 
     def count(values: np.ndarray) -> np.ndarray:
@@ -241,7 +248,7 @@ def segments(texts: list[str]) -> Segments:
         letters[first], letters[last - 1], digits[first], digits[last - 1], is_["."][last - 1], joins[first] & ~is_["+"][first],
         count(loose) > 0, count(opening) * 2 != n_bracket, (bracket & ~opening)[first], n_blank > 0, n_hyphen > 0, n_bracket > 0, n_other > 0, count(at_word) > 0,
         address, checked, only_card, bare, bare & is_["+"][first] & (n_digits >= 10), bare & (n_dots == 3) & (n_digits > 0),
-        ~at_start & (letters | digits)[left], ~at_start & joins[left], ~at_end & (letters | digits)[right],
+        ~at_start & joins[left],
         ~at_end & joins[right] & ~blank[after] & (last + 1 < bound[owner[first] + 1]),
         ~at_end & blank[right] & (letters | digits)[after] & (n_digits > 0) & digits[after],
         *[announced == k for k in range(len(KINDS))],
@@ -250,44 +257,33 @@ def segments(texts: list[str]) -> Segments:
     return Segments(first, last, owner[first], x, np.array(starts), np.array(ends), bound)
 
 
-def _by_end(seg: Segments, spot: int, rows: np.ndarray) -> dict[int, np.ndarray]:
-    """Segments of one spot by their last token."""
-    out: dict[int, list[int]] = {}
-    for r in rows:
-        out.setdefault(int(seg.last[r] - seg.offset[spot]), []).append(int(r))
-    return {k: np.array(v) for k, v in out.items()}
-
-
 def _rows_of(seg: Segments) -> list[np.ndarray]:
     cuts = np.searchsorted(seg.spot, np.arange(len(seg.offset)))
     return [np.arange(cuts[k], cuts[k + 1]) for k in range(len(seg.offset) - 1)]
 
 
-def _logsum(values: np.ndarray) -> float:
-    top = values.max()
-    return float(top + np.log(np.exp(values - top).sum()))
-
-
-def marginals(seg: Segments, spot: int, rows: np.ndarray, scores: np.ndarray) -> tuple[float, np.ndarray]:
-    """(log of the sum over all segmentations, probability of each segment and type). A token outside scores 0."""
-    n = int(seg.offset[spot + 1] - seg.offset[spot])
-    first = seg.first - seg.offset[spot]
-    ends = _by_end(seg, spot, rows)
-    alpha, beta = np.zeros(n + 1), np.full(n + 1, -np.inf)
-    for k in range(1, n + 1):
-        parts = [np.array([alpha[k - 1]])]
-        if k in ends:
-            parts.append((alpha[first[ends[k]]][:, None] + scores[ends[k]]).reshape(-1))
-        alpha[k] = _logsum(np.concatenate(parts))
-    beta[n] = 0.0
-    for k in range(n, 0, -1):
-        beta[k - 1] = np.logaddexp(beta[k - 1], beta[k])
-        if k in ends:
-            each = np.logaddexp.reduce(scores[ends[k]], axis=1) + beta[k]
-            np.logaddexp.at(beta, first[ends[k]], each)
-    last = seg.last[rows] - seg.offset[spot]
-    log_p = alpha[first[rows]][:, None] + scores[rows] + beta[last][:, None] - alpha[n]
-    return float(alpha[n]), np.exp(np.minimum(log_p, 0.0))
+def marginals(seg: Segments, scores: np.ndarray) -> np.ndarray:
+    """Probability of each segment and type among all segmentations of its spot. A token outside segments scores 0."""
+    size = np.diff(seg.offset)
+    longest = int(size.max()) if len(size) else 0
+    first, last = seg.first - seg.offset[seg.spot], seg.last - seg.offset[seg.spot]
+    order = np.argsort(last, kind="stable")
+    cuts = np.searchsorted(last[order], np.arange(longest + 2))
+    any_type = np.logaddexp.reduce(scores, axis=1) if len(scores) else np.zeros(0)
+    alpha = np.full((len(size), longest + 1), -np.inf)
+    beta = alpha.copy()
+    alpha[:, 0] = 0.0
+    for k in range(1, longest + 1):
+        rows = order[cuts[k] : cuts[k + 1]]
+        alpha[:, k] = alpha[:, k - 1]
+        np.logaddexp.at(alpha, (seg.spot[rows], k), alpha[seg.spot[rows], first[rows]] + any_type[rows])
+    beta[np.arange(len(size)), size] = 0.0
+    for k in range(longest, 0, -1):
+        rows = order[cuts[k] : cuts[k + 1]]
+        beta[:, k - 1] = np.logaddexp(beta[:, k - 1], beta[:, k])
+        np.logaddexp.at(beta, (seg.spot[rows], first[rows]), beta[seg.spot[rows], k] + any_type[rows])
+    around = alpha[seg.spot, first] + beta[seg.spot, last] - beta[seg.spot, 0]
+    return np.exp(np.minimum(around[:, None] + scores, 0.0))
 
 
 def best(seg: Segments, spot: int, rows: np.ndarray, scores: np.ndarray) -> list[int]:
@@ -332,13 +328,11 @@ def train_field(texts: list[str], spans: list[list[Span]]) -> np.ndarray:
             busy.append(s)
             for k, kind in known:
                 target[k, kind] = 1.0
+    used = np.isin(seg.spot, busy)
     speed = np.full_like(weights, 1e-6)
     for _ in range(ROUNDS if busy else 0):
-        scores, wanted = seg.x @ weights, target.copy()
-        for s in busy:
-            wanted[rows[s]] -= marginals(seg, s, rows[s], scores)[1]
-        used = np.concatenate([rows[s] for s in busy])
-        gradient = seg.x[used].T @ wanted[used] - PENALTY * weights
+        wanted = (target - marginals(seg, seg.x @ weights))[used]
+        gradient = seg.x[used].T @ wanted - PENALTY * weights
         speed += gradient**2
         weights += gradient / np.sqrt(speed)
     return weights
@@ -367,18 +361,17 @@ class Finder:
 
     def _add(self, texts, part, exact, added) -> None:
         seg = segments([texts[k][a:b] for k, a, b in part])
-        scores = seg.x @ self.weights
+        scores, probable = seg.x @ self.weights, None
         for s, rows in enumerate(_rows_of(seg)):
             k, a, _ = part[s]
-            probable = None
             for r in best(seg, s, rows, scores):
                 start, end = a + int(seg.starts[seg.first[r]]), a + int(seg.ends[seg.last[r] - 1])
                 if any(start < e and b < end for b, _, e in exact[k]):
                     continue
                 if probable is None:
-                    probable = marginals(seg, s, rows, scores)[1]
+                    probable = marginals(seg, scores)
                 kind = int(np.argmax(scores[r]))
-                if probable[r - rows[0], kind] >= self.min_probability:
+                if probable[r, kind] >= self.min_probability:
                     added[k].append((start, kind, end))
 
 
@@ -429,7 +422,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray | None:
     near = slim.mapInArrow(_training_spots, "kinds string, text string, spans array<long>")
     spot = near.dropDuplicates(["text"]).toPandas()
     spot["order"] = [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in spot["text"]]
-    taken = spot.sort_values("order").groupby("kinds").head(SPOTS_A_KIND)
+    spot = spot.sort_values("order")
+    plain = spot["kinds"] == ""
+    taken = pd.concat([spot[~plain].groupby("kinds").head(SPOTS_A_KIND), spot[plain].head(SPOTS_WITHOUT)])
     spans = [[tuple(map(int, s[k : k + 3])) for k in range(0, len(s), 3)] for s in taken["spans"]]
     return train_spots(list(taken["text"]), spans) if any(spans) else None
 
