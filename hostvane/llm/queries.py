@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from hostvane.llm import decontaminate, exact_dedup, langid, licenses, mixing, pii, quality, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +92,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
