@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 
-WORDS_KEPT = 300_000  # per worker and cache; a full cache starts anew
+WORDS_KEPT = 500_000  # per worker and cache; a full cache starts anew
 # White space, and the letters and digits of the Latin blocks.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -47,7 +49,12 @@ class WordEncoder:
         )
         specials = [t["content"] for t in told.get("added_tokens", ())]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        if self.by_word:  # the same merges, without a second cache below ours
+            from tokenizers.models import BPE
+
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
+            self.model, self.letters = BPE(told["model"]["vocab"], merges, cache_capacity=0), byte_letters()
+            self.code = {"<u2": "H", "<u4": "I"}[dtype]
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.pieces = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+"
@@ -61,27 +68,28 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
-            if len(self.known) >= WORDS_KEPT:
-                self.known.clear()
-            self.known[piece] = found
+    def _new_piece(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, [t.id for t in self.model.tokenize(spelled)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        if len(self.known) >= WORDS_KEPT:
+            self.known.clear()
+        found = self.known[piece] = ids.tobytes()
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.beyond.search(chunk):
+        if not chunk.isascii() and self.beyond.search(chunk):
             return self._whole(chunk)
-        return b"".join(map(self._piece, self.pieces.findall(chunk)))
+        pieces = self.pieces.findall(chunk)
+        parts = list(map(self.known.get, pieces))
+        if None in parts:
+            parts = [self._new_piece(p) if ids is None else ids for p, ids in zip(pieces, parts)]
+        return b"".join(parts)
 
     def _new_word(self, word: str) -> bytes | bool:
         """Ids of a word with the space before it; False if white space at its ends ties it to its neighbours."""
-        if not word or self.spaces.match(word[0]) or self.spaces.match(word[-1]):
-            found = False
-        else:
-            found = self._chunk(" " + word)
+        found = bool(word) and word.strip(SPACE) == word and self._chunk(" " + word)
         if len(self.after_space) >= WORDS_KEPT:
             self.after_space.clear()
         self.after_space[word] = found
