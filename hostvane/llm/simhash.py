@@ -30,9 +30,9 @@ SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
 BITS = 64
-CELL = 30_000  # fingerprints that one task compares at once
+CELL = 16_000  # fingerprints that one task compares at once
 FAN = 8
-FRONTIER = 1 << 21  # open (query, node) pairs held at once
+FRONTIER = 1 << 19  # open (query, node) pairs held at once
 BATCH_BYTES = 4 << 20
 
 U = np.uint64
@@ -275,7 +275,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> Da
         "fp", "exact", F.col("value").alias("cell"),
         F.least("own", "other").alias("i"), (F.greatest("own", "other") + 1).alias("j"),
     )
-    return small.unionByName(large).groupBy("exact", "cell", "i", "j").applyInArrow(_cell_links(max_bits), "a long, b long")
+    ids = ["exact", "cell", "i", "j"]
+    dealt = small.unionByName(large).repartition(cells * len(masks), *ids)  # by work, not by bytes
+    return dealt.groupBy(*ids).applyInArrow(_cell_links(max_bits), "a long, b long")
 
 
 def near_duplicates(
