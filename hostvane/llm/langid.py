@@ -6,7 +6,7 @@ a row of log probabilities per n-gram, so that one look-up serves every language
 lowest cross-entropy per character.
 
 A text that no model explains is rejected: its cross-entropy lies further above the usual one of its language than that of any
-calibration document, with a margin, where short texts are allowed more. Calibration documents are kept out of the counts.
+calibration document, with a margin; short texts, and models with few calibration documents, are allowed more. Calibration documents are kept out of the counts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ CALIBRATION = 5  # one labelled document in so many
 SCORED_CHARS = 1 << 19  # characters scored at once
 SPREAD_CHARS = 400  # from this length on, longer texts are not expected to vary less
 MARGIN = 1.5
+SLACK = 4.0  # nats allowed besides when one document calibrates; less with more of them
 UNKNOWN = "und"
 
 U = np.uint64
@@ -296,7 +297,7 @@ def _calibrated(spark: SparkSession, model: Model, rows: DataFrame) -> Model:
         mine = own[truth == j]
         model.usual[j] = np.median(mine) if len(mine) else np.median(own)
     excess = (own - model.usual[truth]) * np.sqrt(np.minimum(n, SPREAD_CHARS) / SPREAD_CHARS)
-    model.limit = float(max(excess.max(), 0.0) * MARGIN + 0.1)
+    model.limit = float(max(excess.max(), 0.0) * MARGIN + SLACK / np.sqrt(len(excess)))
     tried = 2.0 ** np.arange(-2, 8)
     gap = h - own[:, None]
     loss = [np.log(np.exp(np.minimum(-s * gap, 700)).sum(axis=1)).mean() for s in tried]

@@ -137,9 +137,10 @@ def plan(
         least = _evaluated(shares, [a])[0][2]
         size = budget if budget is not None else math.ceil(total / least - 1e-6)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(a)) / F.lit(z))
-    # Rounding must not cost the source that sets a full budget its last token.
-    quota = F.floor(weight * F.lit(float(size)) + F.lit(1e-6 if budget is not None else 0.5))
-    full = F.floor(F.col("quota") / F.col("tokens"))
+    quota = F.floor(weight * F.lit(float(size)) + F.lit(1e-6))
+    full = F.expr("quota div tokens")
+    if budget is None:  # rounding must not cost the source that sets the budget its last token
+        quota = F.greatest(quota, F.col("tokens"))
     weighed = sources.withColumn("weight", F.coalesce(weight, F.lit(0.0))).withColumn("quota", F.coalesce(quota, F.lit(0)))
     weighed = weighed.withColumn("full", F.when(F.col("tokens") > 0, full).otherwise(F.lit(1)).cast("long"))
     weighed = materialize(weighed.withColumn("rest", F.greatest(F.col("quota") - F.col("full") * F.col("tokens"), F.lit(0))), "mix-weights")

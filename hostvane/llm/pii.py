@@ -120,30 +120,37 @@ def exact_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _word_start(text: str, at: int, least: int) -> int:
+    while at > least and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _word_end(text: str, at: int, most: int) -> int:
+    while at < most and not text[at].isspace():
+        at += 1
+    return at
+
+
 def spots(text: str) -> list[tuple[int, int]]:
-    """Stretches of words with a trigger, with one word before and after; long ones are cut at white space."""
+    """Stretches of words with a trigger, and one word before and after; long ones are cut."""
     out: list[list[int]] = []
-    at = 0
-    while True:
-        hit = TRIGGER.search(text, at)
-        if not hit:
-            break
-        a, b = hit.start(), hit.end()
-        for _ in range(2):  # to the start of the word, then of the word before
-            while a > 0 and text[a - 1].isspace():
-                a -= 1
-            while a > 0 and not text[a - 1].isspace() and hit.start() - a < SPOT_CHARS:
-                a -= 1
-        for _ in range(2):
-            while b < len(text) and text[b].isspace():
-                b += 1
-            while b < len(text) and not text[b].isspace() and b - hit.start() < SPOT_CHARS:
-                b += 1
-        at = max(hit.end(), b)
+    hit = TRIGGER.search(text)
+    while hit:
+        least, most = max(0, hit.start() - SPOT_CHARS), min(len(text), hit.end() + SPOT_CHARS)
+        a, end = _word_start(text, hit.start(), least), _word_end(text, hit.end(), most)
+        while a > least and text[a - 1].isspace():
+            a -= 1
+        a = _word_start(text, a, least)
+        b = end
+        while b < most and text[b].isspace():
+            b += 1
+        b = _word_end(text, b, most)
         if out and a <= out[-1][1] and b - out[-1][0] <= SPOT_CHARS:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([max(a, out[-1][1] if out else 0), b])
+        hit = TRIGGER.search(text, max(end, hit.end()))
     return [(a, b) for a, b in out if a < b]
 
 
