@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvane.llm.workers import per_worker, shared
+from hostvane.llm.workers import per_worker, shared, text_batches
 
 WINDOW = 80  # characters
 STEP = 40
@@ -29,7 +29,7 @@ Q = 8
 MAX_ERROR = 0.1  # edits per character of a window
 MIN_CHARS = 40  # items shorter than this are too short to be told from chance, and never count as leaks
 BAND = 16
-PIECE = 1 << 19  # characters of documents looked at at once
+PIECE = 1 << 18  # characters of documents looked at at once
 ALIGNED = 4096  # bands aligned at once
 BLOCK_CHARS = 20_000_000  # benchmark characters held by a task at once; a larger benchmark is searched in blocks
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -208,6 +208,7 @@ class Windows:
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **shape) -> Iterator[Windows]:
     """Indexes of ``benchmark`` (item_id, text), each over a bounded number of characters."""
     slim = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    text_batches(benchmark.sparkSession)
     total = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = total // block_chars + 1
     for k in range(n):

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvane.llm.workers import per_worker, shared
+from hostvane.llm.workers import per_worker, shared, text_batches
 
 ORDER = 4
 TRAIN_CHARS = 16_000_000  # documented bound of the labelled sample: characters, shared evenly by the languages
 CALIBRATION = 5  # one labelled document in so many
-SCORED_CHARS = 1 << 19  # characters scored at once
+SCORED_CHARS = 1 << 18  # characters scored at once
 SPREAD_CHARS = 400  # from this length on, longer texts are not expected to vary less
 MARGIN = 1.5
 SLACK = 4.0  # nats allowed besides when one document calibrates; less with more of them
@@ -249,6 +249,7 @@ def train(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model | None:
     their id. Whole texts are used. Without labelled rows there is no model.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
     if not sizes:
@@ -308,6 +309,7 @@ def _calibrated(spark: SparkSession, model: Model, rows: DataFrame) -> Model:
 def predictor(spark: SparkSession, model: Model | None):
     """A column function: struct(lang, score, rejected) of a text column. Without a model every text is ``und``,
     and only texts without letters are rejected."""
+    text_batches(spark)
     given = shared(spark, model)
 
     @F.pandas_udf("lang string, score double, rejected boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostvane.llm.workers import shared
+from hostvane.llm.workers import shared, text_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 MAX_TOKENS = 20
@@ -441,6 +441,7 @@ def find_spans(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_probability: f
 
     Places are code points of the whole text, ends exclusive, in order of start and kind. Null texts are empty.
     """
+    text_batches(docs.sparkSession)
     given = shared(docs.sparkSession, Finder(train(docs, train_docs), min_probability))
     one = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 

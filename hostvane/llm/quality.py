@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostvane.llm.langid import in_fold
-from hostvane.llm.workers import per_worker, shared
+from hostvane.llm.workers import per_worker, shared, text_batches
 
 COLUMNS = 1 << 18
 TRAIN_DOCS = 20_000  # documented bound of the labelled sample
@@ -215,6 +215,7 @@ def rate(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, thres
     Null texts count as empty; empty texts get a score like any other. Without labels every score is 0.5.
     A null doc_id is in no fold and has no label.
     """
+    text_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = F.coalesce(in_fold(F.col("doc_id"), 5, 0), F.lit(False))
     score = scorer(docs.sparkSession, train(slim, labels.where(~out), train_docs))

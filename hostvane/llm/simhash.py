@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostvane.llm.components import components
+from hostvane.llm.workers import text_batches
 from hostvane.operators.joins import join_checked
 from hostvane.session import materialize
 
@@ -33,7 +34,7 @@ BITS = 64
 CELL = 16_000  # fingerprints that one task compares at once
 FAN = 8
 FRONTIER = 1 << 19  # open (query, node) pairs held at once
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 U = np.uint64
 # The primes of XXH64.
@@ -145,6 +146,7 @@ def _fingerprint(shingle_words: int):
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp) of whole texts; ``fp`` has the 64 bits as a signed long. A null text is empty."""
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_fingerprint(shingle_words), "doc_id long, fp long")
 

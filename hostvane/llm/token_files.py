@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hostvane.llm import huffman
 from hostvane.llm.token_ids import WordEncoder
-from hostvane.llm.workers import per_worker
+from hostvane.llm.workers import per_worker, text_batches
 from hostvane.operators.joins import join_checked
 from hostvane.session import materialize, scratch_path
 
@@ -57,6 +57,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
     """((doc_id, packed ids), number type, size of the id space) of whole texts; null texts are empty."""
     from tokenizers import Tokenizer
 
+    text_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     space = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if space <= 1 << 16 else "<u4"

@@ -13,6 +13,20 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
+TEXTS_A_BATCH = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of a few hundred: ten thousand, the usual number, may be gigabytes of long texts.
+
+    Holds for the session, as Spark has no such setting for one query. A smaller number is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TEXTS_A_BATCH:
+        spark.conf.set(name, str(TEXTS_A_BATCH))
+
+
 def per_worker(name: str, make: Callable[[], Any]) -> Any:
     """``make()`` once per Python worker: workers serve many tasks, and loading or warming up is not free."""
     kept = sys.modules.setdefault("hostvane_worker_state", types.ModuleType("hostvane_worker_state")).__dict__
