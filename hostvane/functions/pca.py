@@ -205,17 +205,22 @@ def fixed_decimals(value: Column, digits: int) -> Column:
     return F.translate(F.format_number(value, digits), ",", "")
 
 
-def score_details(threshold: float, error: str = "reconstruction_error") -> Column:
-    """Text for anomalous rows, numbers to six significant digits; NULL otherwise."""
-    value = F.col(error)
-    text = F.format_string("%.5e", value)
+def six_digits(value: Column) -> Column:
+    """Text of a non-negative number with six significant digits, as ``%g`` writes it."""
+    text = F.regexp_replace(F.format_string("%.5e", value), r"\.?0+e", "e")
     for magnitude in range(5, -5, -1):
         plain = fixed_decimals(value, 5 - magnitude)
         if magnitude < 5:
             plain = F.regexp_replace(plain, r"\.?0+$", "")
-        in_range = (value < F.lit(float(f"9.999995e{magnitude}"))) & (value >= F.lit(0.0))
+        in_range = (value < F.lit(float(f"9.999995e{magnitude}"))) & (value >= F.lit(float(f"9.999995e{magnitude - 1}")))
         text = F.when(in_range, plain).otherwise(text)
-    message = F.concat(F.lit("PCA_RECON_ERR="), text, F.lit(f" > {threshold:g}"))
+    return F.when(value == 0, "0").otherwise(text)
+
+
+def score_details(threshold: float, error: str = "reconstruction_error") -> Column:
+    """Text for anomalous rows, numbers to six significant digits; NULL otherwise."""
+    value = F.col(error)
+    message = F.concat(F.lit("PCA_RECON_ERR="), six_digits(value), F.lit(f" > {threshold:g}"))
     return F.when(value > F.lit(threshold), message)
 
 

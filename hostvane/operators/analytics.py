@@ -16,7 +16,6 @@ from hostvane.operators.toprows import top_rows
 from hostvane.schemas import FEATURES
 from hostvane.session import materialize
 
-MAX_BINS = 500  # fixed value: requests for more bins are served with this many
 RUN = "run_id"
 LAG_POINTS = {"lag_p50": Quantile("lag", 0.5), "lag_p95": Quantile("lag", 0.95)}
 
@@ -167,10 +166,10 @@ def histogram(
     """Zero-filled counts per run and bin, with the bin's edges.
 
     ``high <= low`` means each run's own range, taken before the filters. Rows outside
-    ``[low, high)`` are dropped; ``include_upper`` closes the last bin.
+    ``[low, high)`` are dropped; ``include_upper`` closes the last bin. As many bins are returned as are asked for.
     """
     checks.metric(metric)
-    bins = min(checks.at_least(bins, 1, "bins"), MAX_BINS)
+    checks.at_least(bins, 1, "bins")
     if high > low:
         edges = telemetry.select(RUN).distinct().select(
             RUN, F.lit(float(low)).alias("_lo"), F.lit(float(high)).alias("_hi")

@@ -160,13 +160,12 @@ class AlertFold:
 
 
 class FusedFold:
-    """Statistics, gated model and alerts in one walk over a host's rows."""
+    """Statistics, gated model and alerts in one walk over a host's rows. ``a_details`` is set for rows that raise an alert."""
 
     columns = (*FEATURES, MICROS, ERROR, MODEL_FLAG)
-    result = _fields(*STATS_FIELDS, *MODEL_FIELDS, ("details", T.StringType()), *ALERT_FIELDS)
+    result = _fields(*STATS_FIELDS, *MODEL_FIELDS, ("a_details", T.StringType()), *ALERT_FIELDS)
 
     def __init__(self, cfg: PipelineConfig):
-        self.threshold = cfg.model.threshold
         self.stats = PoisonFold(cfg.window, cfg.outliers)
         self.gate = GateFold(cfg.gate)
         self.alerts = AlertFold(cfg.alerts)
@@ -181,21 +180,22 @@ class FusedFold:
         alerts, s2 = self.alerts.run({**rows, **stats, **model}, starts, ends, [s[2] for s in states])
         details = np.full(len(z), None, dtype=object)
         fired = np.flatnonzero(alerts["alert"])
-        findings = {name: values[fired] for name, values in model.items()}
-        details[fired] = self._details(z[fired], above[fired], skipped[fired], findings)
-        return {**stats, **model, "details": details, **alerts}, list(zip(s0, s1, s2))
-
-    def _details(self, z, above, skipped, model) -> list[str]:
-        """What an alert says: both detectors' findings, and whether the model was skipped."""
-        texts = []
-        for a, b, score, ran in zip(z_details(z, above, skipped), model["b_flag"], model["b_score"], model["b_ran"]):
-            parts = [f"[A:{a}] "] if a else []
-            if b:
-                parts.append(f"[B:PCA_RECON_ERR={score:g} > {self.threshold:g}] ")
-            if not ran:
-                parts.append("[B:SKIPPED] ")
-            texts.append("".join(parts))
-        return texts
+        details[fired] = z_details(z[fired], above[fired], skipped[fired])
+        return {**stats, **model, "a_details": details, **alerts}, list(zip(s0, s1, s2))
+
+
+FUSED_COLUMNS = tuple("details" if f.name == "a_details" else f.name for f in FusedFold.result)
+
+
+def with_details(verdicts: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """What each alert says: both detectors' findings, and whether the model was skipped. One text for hosts of any size."""
+    model_text = F.concat(F.lit("[B:"), score_details(cfg.model.threshold, "b_score"), F.lit("] "))
+    details = F.concat(
+        F.when(F.col("a_details") != "", F.concat(F.lit("[A:"), "a_details", F.lit("] "))).otherwise(""),
+        F.when(F.col("b_flag"), model_text).otherwise(""),
+        F.when(F.col("b_ran"), "").otherwise("[B:SKIPPED] "),
+    )
+    return verdicts.withColumn("details", F.when(F.col("alert"), details))
 
 
 IDENTITY = (*HOST_KEYS, *TIME_ORDER)
@@ -261,7 +261,8 @@ def fused_pipeline(
     """
 
     def build(seq: HostRows) -> DataFrame:
-        return _staged(seq, cfg) if seq.split else run_fold(seq, FusedFold(cfg), IDENTITY)
+        verdicts = _staged(seq, cfg) if seq.split else run_fold(seq, FusedFold(cfg), IDENTITY)
+        return with_details(verdicts, cfg).select(*IDENTITY, *FUSED_COLUMNS)
 
     return for_hosts(fused_input(telemetry, cfg), build, slice_rows, telemetry)
 
@@ -276,12 +277,4 @@ def _staged(seq: HostRows, cfg: PipelineConfig) -> DataFrame:
     a_columns = ("a_flag", "a_score", "a_details")
     gated = staged(run_fold(judged, GateFold(cfg.gate), (*base, *a_columns)))
     b_columns = tuple(n for n, _ in MODEL_FIELDS)
-    alerted = run_fold(gated, AlertFold(cfg.alerts), (*IDENTITY, *a_columns, *b_columns))
-    model_text = F.concat(F.lit("[B:"), score_details(cfg.model.threshold, "b_score"), F.lit("] "))
-    details = F.concat(
-        F.when(F.col("a_flag"), F.concat(F.lit("[A:"), "a_details", F.lit("] "))).otherwise(""),
-        F.when(F.col("b_flag"), model_text).otherwise(""),
-        F.when(F.col("b_ran"), "").otherwise("[B:SKIPPED] "),
-    )
-    shown = alerted.withColumn("details", F.when(F.col("alert"), details))
-    return shown.select(*IDENTITY, *[f.name for f in FusedFold.result])
+    return run_fold(gated, AlertFold(cfg.alerts), (*IDENTITY, *a_columns, *b_columns))

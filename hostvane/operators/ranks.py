@@ -1,9 +1,10 @@
 """Exact order statistics that stay distributed however large a group is.
 
-A group whose size has been checked goes through Spark's own exact aggregate. Larger
-groups are narrowed instead: each pass counts rows per slice of the value range that
-still holds a wanted rank, with map-side partial counts, and keeps only that slice.
-Row values never gather in one task, and the answers are exact order statistics.
+A group whose size has been checked goes through Spark's own exact aggregate. Of larger groups, the columns that
+need quantiles are written once as a narrow table, and all of their ranks in all columns are narrowed together: each
+pass over that table counts rows per slice of the value ranges that still hold a wanted rank, with map-side
+partial counts, and keeps only those slices. Row values never gather in one task, the source is read a fixed
+number of times, and the answers are exact order statistics.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hostvane.operators.joins import BROADCAST_ROWS
 from hostvane.session import materialize
 
 GROUP_ROWS = 250_000
-HOT_GROUPS = 200_000
 SLICES = 16_384
 
 
@@ -57,6 +58,14 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return (row["top"] or 0, row["total"] or 0)
 
 
+def hot_groups(df: DataFrame, keys: Sequence[str], group_rows: int) -> tuple[DataFrame | None, bool]:
+    """(keys of groups above ``group_rows`` as a written table, or None; whether there are other groups)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(sizes.where(F.col("_n") > group_rows).select(*keys), "hot")
+    n_hot = hot.count()
+    return (hot if n_hot else None), n_hot < sizes.count()
+
+
 def aggregate(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,26 +76,23 @@ def aggregate(
 ) -> DataFrame:
     """``groupBy(keys)`` with ordinary aggregates plus exact quantiles named by ``quantiles``.
 
-    ``count_in`` may name a frame with the same rows per group that is cheaper to count.
+    ``count_in`` may name a frame with the same rows per group that is cheaper to count. A quantile of a column without
+    values is NULL, in groups of any size.
     """
     if not quantiles:
         return df.groupBy(*keys).agg(*plain)
     if not keys:
         raise ValueError("quantiles need at least one grouping column")
-    largest, total = group_sizes(df if count_in is None else count_in, keys)
-    if largest <= group_rows:
+    counted = df if count_in is None else count_in
+    if group_sizes(counted, keys)[0] <= group_rows:
         return _in_groups(df, keys, plain, quantiles)
-    hot_rows = max(group_rows, total // HOT_GROUPS)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = materialize(sizes.where(F.col("_n") > hot_rows).select(*keys), "hot")
-    cold = _keyed_join(df, hot, keys, "left_anti")
-    result = _in_groups(cold, keys, plain, quantiles)
-    hot_df = _keyed_join(df, hot, keys, "left_semi")
+    hot, others = hot_groups(counted, keys, group_rows)
+    hot_df = keyed_join(df, hot, keys, "left_semi") if others else df
     hot_part = hot_df.groupBy(*keys).agg(*plain) if plain else hot
-    for column in dict.fromkeys(q.column for q in quantiles.values()):
-        named = {n: q for n, q in quantiles.items() if q.column == column}
-        found = _hot_quantiles(hot_df, keys, column, named)
-        hot_part = _keyed_join(hot_part, found, keys, "inner")
+    hot_part = keyed_join(hot_part, _hot_quantiles(hot_df, keys, quantiles), keys, "left")
+    if not others:
+        return hot_part
+    result = _in_groups(keyed_join(df, hot, keys, "left_anti"), keys, plain, quantiles)
     return result.unionByName(hot_part.select(*result.columns))
 
 
@@ -96,25 +102,33 @@ def _in_groups(df: DataFrame, keys: Sequence[str], plain: Sequence[Column], quan
     return grouped.select(*[c for c in grouped.columns if not c.startswith("_q")], *picks)
 
 
-def _keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe join on ``keys``. ``right`` has at most HOT_GROUPS rows, so it is broadcast."""
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Null-safe join on ``keys``. ``right`` is a written table or cheap to count; it is broadcast only up to a limit."""
     renamed = right.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
     condition = F.lit(True)
     for k in keys:
         condition = condition & left[k].eqNullSafe(renamed[f"_k_{k}"])
-    joined = left.join(F.broadcast(renamed), condition, how)
+    joined = left.join(_small(renamed), condition, how)
     return joined.drop(*[f"_k_{k}" for k in keys])
 
 
-def _hot_quantiles(df: DataFrame, keys: Sequence[str], column: str, named: Mapping[str, Quantile]) -> DataFrame:
-    """One row per hot group: keys and the quantiles of ``column`` in ``named``."""
-    rows = df.where(F.col(column).isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _hot_quantiles(df: DataFrame, keys: Sequence[str], quantiles: Mapping[str, Quantile]) -> DataFrame:
+    """One row per group: keys and all ``quantiles``, of whatever columns."""
+    columns = list(dict.fromkeys(q.column for q in quantiles.values()))
+    narrow = materialize(df.select(*keys, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]), "values")
+    pairs = F.array(*[F.struct(F.lit(i).alias("_col"), F.col(f"_c{i}").alias("_v")) for i in range(len(columns))])
+    rows = narrow.select(*keys, F.inline(pairs)).where(F.col("_v").isNotNull())
+    inner = [*keys, "_col"]
+    bounds = rows.groupBy(*inner).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     n = F.col("_n")
     wanted = []
-    for name, q in named.items():
+    for name, q in quantiles.items():
         if q.nearest:
             low = F.greatest(F.ceil(n * F.lit(q.p)) - 1, F.lit(0))
             high, weight = low, F.lit(0.0)
@@ -125,30 +139,33 @@ def _hot_quantiles(df: DataFrame, keys: Sequence[str], column: str, named: Mappi
         for side, rank in (("lo", low), ("hi", high)):
             wanted.append(
                 F.struct(
+                    F.lit(columns.index(q.column)).alias("_of"),
                     F.lit(f"{name}:{side}").alias("_tag"),
                     F.least(rank, n - 1).cast("long").alias("_rank"),
                     weight.cast("double").alias("_w"),
                 )
             )
-    targets = sizes.select(*keys, F.inline(F.array(*wanted)))
-    found = values_at_ranks(rows, targets, keys, column)
+    own = F.filter(F.array(*wanted), lambda s: s["_of"] == F.col("_col"))
+    found = _narrowed(rows, bounds.select(*inner, "_lo", "_hi", F.inline(own)).drop("_of"), inner)
     aggs = []
-    for name in named:
+    for name in quantiles:
         lo = F.max(F.when(F.col("_tag") == f"{name}:lo", F.col("_value")))
         hi = F.max(F.when(F.col("_tag") == f"{name}:hi", F.col("_value")))
         w = F.max(F.when(F.col("_tag") == f"{name}:lo", F.col("_w")))
         aggs.append((lo + (hi - lo) * w).alias(name))
-    return found.groupBy(*keys).agg(*aggs)
+    return materialize(found.groupBy(*keys).agg(*aggs), "quantiles")
 
 
 def values_at_ranks(rows: DataFrame, targets: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """``targets`` (keys, _tag, _rank zero-based ascending, ...) with the value at each rank as ``_value``.
-
-    ``targets`` must be small: a fixed number of ranks for each of at most HOT_GROUPS groups.
-    """
+    """``targets`` (keys, _tag, _rank zero-based ascending, ...) with the value at each rank as ``_value``."""
     values = rows.select(*keys, F.col(column).alias("_v")).where(F.col("_v").isNotNull())
-    bounds = values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    open_ranks = materialize(_keyed_join(targets, bounds, keys, "inner"), "ranks")
+    bounds = materialize(values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "bounds")
+    return _narrowed(values, keyed_join(targets, bounds, keys, "inner"), keys)
+
+
+def _narrowed(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Follow every target's range (_lo, _hi) down to the one value at its rank. One pass over ``values`` per round."""
+    open_ranks = materialize(targets, "ranks")
     closed: list[DataFrame] = []
     while True:
         closed.append(
@@ -177,7 +194,7 @@ def _narrow(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataF
     condition = (v >= lo) & (v <= hi)
     for k in keys:
         condition = condition & values[k].eqNullSafe(renamed[f"_k_{k}"])
-    inside = values.join(F.broadcast(renamed), condition).drop(*[f"_k_{k}" for k in keys])
+    inside = values.join(_small(renamed), condition).drop(*[f"_k_{k}" for k in keys])
     share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
     infinite = (lo == float("-inf")) | (hi >= float("inf"))
     part = (

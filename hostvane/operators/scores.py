@@ -9,7 +9,15 @@ from pyspark.sql.window import Window
 from hostvane.functions import checks
 from hostvane.operators.joins import join_checked
 from hostvane.operators.paging import page
-from hostvane.operators.ranks import GROUP_ROWS, Quantile, aggregate, group_sizes, values_at_ranks
+from hostvane.operators.ranks import (
+    GROUP_ROWS,
+    Quantile,
+    aggregate,
+    group_sizes,
+    hot_groups,
+    keyed_join,
+    values_at_ranks,
+)
 from hostvane.schemas import ERROR_DIMENSIONS, SCORE_KEYS
 from hostvane.session import materialize
 
@@ -17,7 +25,7 @@ ERROR = "reconstruction_error"
 
 # Score range reported for a model that has no scores, and curve resolution.
 EMPTY_RANGE = (0.0, 10.0)
-DEFAULT_POINTS, FEWEST_POINTS, MOST_POINTS = 50, 10, 200
+DEFAULT_POINTS, FEWEST_POINTS, MOST_POINTS = 50, 2, 1000
 
 
 def with_telemetry(scores: DataFrame, telemetry: DataFrame, *columns: str | Column) -> DataFrame:
@@ -131,7 +139,12 @@ def labelled_scores(scores: DataFrame, telemetry: DataFrame) -> DataFrame:
 
 
 def curve_points(points: int) -> int:
-    return min(max(points if points > 0 else DEFAULT_POINTS, FEWEST_POINTS), MOST_POINTS)
+    """0 asks for the usual number; other numbers are honoured or refused."""
+    if points == 0:
+        return DEFAULT_POINTS
+    if not FEWEST_POINTS <= points <= MOST_POINTS:
+        raise ValueError(f"points must be between {FEWEST_POINTS} and {MOST_POINTS}, got {points}")
+    return points
 
 
 def _first_reached(points: int) -> Column:
@@ -154,22 +167,28 @@ def _curve_cuts(labelled: DataFrame, points: int, group_rows: int) -> DataFrame:
     keys = list(SCORE_KEYS)
     # rank from the top, as a share of the last index
     shares = [i / (points - 1) for i in range(points)]
-    largest, _ = group_sizes(labelled, keys)
-    if largest <= group_rows:
-        ordered = labelled.groupBy(*keys).agg(F.sort_array(F.collect_list(ERROR), asc=False).alias("_all"))
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        ordered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(ERROR), asc=False).alias("_all"))
         last = F.size("_all") - 1
         wanted = F.expr("array(" + ", ".join(f"{s!r}D" for s in shares) + ")")
         picks = F.transform(wanted, lambda s: F.get(F.col("_all"), F.floor(s * last).cast("int")))
         return ordered.select(*keys, picks.alias("_cuts"))
-    sizes = labelled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+    if group_sizes(labelled, keys)[0] <= group_rows:
+        return gathered(labelled)
+    hot, others = hot_groups(labelled, keys, group_rows)
+    rows = keyed_join(labelled, hot, keys, "left_semi") if others else labelled
     last = F.col("_n") - 1
     wanted = [
         F.struct(F.lit(i).alias("_tag"), (last - F.floor(F.lit(s) * last)).cast("long").alias("_rank"))
         for i, s in enumerate(shares)
     ]
-    found = values_at_ranks(labelled, sizes.select(*keys, F.inline(F.array(*wanted))), keys, ERROR)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found = values_at_ranks(rows, sizes.select(*keys, F.inline(F.array(*wanted))), keys, ERROR)
     pairs = F.sort_array(F.collect_list(F.struct("_tag", "_value")))
-    return found.groupBy(*keys).agg(F.transform(pairs, lambda p: p["_value"]).alias("_cuts"))
+    cuts = found.groupBy(*keys).agg(F.transform(pairs, lambda p: p["_value"]).alias("_cuts"))
+    return cuts.unionByName(gathered(keyed_join(labelled, hot, keys, "left_anti"))) if others else cuts
 
 
 def curves(labelled: DataFrame, points: int = DEFAULT_POINTS, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Hyper-parameter sweeps: any number of trials in the two passes one training takes."""
+"""Hyper-parameter sweeps: all trials share the passes that one training takes.
+
+A grid runs whole or is refused; it is never cut.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import json
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from hostvane.operators.training import (
 # Limits of a sweep.
 GRID_LIMIT = 100
 MAX_TRIALS = 50
-MAX_CONCURRENCY = 10
+RANDOM_TRIALS = 10
 
 
 @dataclass(frozen=True)
@@ -31,8 +32,7 @@ class Sweep:
     algorithm: str = "grid"
     n_components: tuple[int, ...] = ()
     percentile: tuple[float, ...] = ()
-    max_trials: int = 10
-    max_concurrency: int = 2
+    max_trials: int | None = None
     seed: int | None = None
 
     def space(self) -> tuple[Sequence[int], Sequence[float]]:
@@ -43,10 +43,8 @@ class Sweep:
         found = []
         if self.algorithm not in ("grid", "random"):
             found.append(("algorithm", "must be grid or random"))
-        if not 1 <= self.max_trials <= MAX_TRIALS:
+        if self.max_trials is not None and not 1 <= self.max_trials <= MAX_TRIALS:
             found.append(("max_trials", f"must be between 1 and {MAX_TRIALS}"))
-        if not 1 <= self.max_concurrency <= MAX_CONCURRENCY:
-            found.append(("max_concurrency", f"must be between 1 and {MAX_CONCURRENCY}"))
         if not self.n_components and not self.percentile:
             found.append(("search_space", "must not be empty"))
         if any(not 1 <= k <= 5 for k in self.n_components):
@@ -54,41 +52,18 @@ class Sweep:
         if any(not 50.0 <= p < 100.0 for p in self.percentile):
             found.append(("search_space.percentile", "must be at least 50 and below 100"))
         ks, ps = self.space()
-        if self.algorithm == "grid" and len(ks) * len(ps) > GRID_LIMIT:
-            found.append(("search_space", f"grid must not exceed {GRID_LIMIT} combinations"))
+        most = min(self.max_trials or GRID_LIMIT, GRID_LIMIT)
+        if self.algorithm == "grid" and len(ks) * len(ps) > most:
+            found.append(("search_space", f"grid must not exceed {most} combinations"))
         return found
 
-    def preflight(self) -> tuple[int, int, str]:
-        """(candidates, trials that would run, what capped them)."""
-        if self.algorithm != "grid":
-            return self.max_trials, self.max_trials, "NONE"
-        ks, ps = self.space()
-        candidates = len(ks) * len(ps)
-        if candidates > GRID_LIMIT:
-            return candidates, GRID_LIMIT, "GRID_CAP"
-        if candidates > self.max_trials:
-            return candidates, self.max_trials, "MAX_TRIALS"
-        return candidates, candidates, "NONE"
-
     def trials(self) -> list[tuple[int, float]]:
         """(components, percentile) in trial order. Random draws repeat for a given seed."""
         ks, ps = self.space()
         if self.algorithm == "grid":
-            return [(k, p) for k in ks for p in ps][: self.max_trials]
+            return [(k, p) for k in ks for p in ps]
         draw = random.Random(self.seed)
-        return [(draw.choice(ks), draw.choice(ps)) for _ in range(self.max_trials)]
-
-    def fingerprint(self) -> str:
-        """Equal for requests that differ only in the order of their search space."""
-        same = {
-            "algorithm": self.algorithm,
-            "max_trials": self.max_trials,
-            "max_concurrency": min(max(self.max_concurrency, 1), MAX_CONCURRENCY),
-            "seed": self.seed,
-            "n_components": sorted(self.n_components),
-            "percentile": sorted(self.percentile),
-        }
-        return hashlib.sha256(json.dumps(same, sort_keys=True).encode()).hexdigest()[:16]
+        return [(draw.choice(ks), draw.choice(ps)) for _ in range(self.max_trials or RANDOM_TRIALS)]
 
 
 def run_sweep(

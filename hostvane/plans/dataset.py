@@ -8,9 +8,10 @@ from hostvane.functions.features import preprocess, select_features
 from hostvane.functions.filters import Filters, apply_filters
 from hostvane.functions.timerules import bucket_seconds
 from hostvane.operators import analytics, compare, paging
+from hostvane.operators.ranks import Quantile, aggregate
 from hostvane.operators.runs import latest_per
-from hostvane.plans.registry import query, rounded, with_ctes
-from hostvane.plans.tables import TELEMETRY_SQL, telemetry
+from hostvane.plans.registry import CHECKS, HOT_BUCKET_ROWS, HOT_ROWS, query, rounded, with_ctes
+from hostvane.plans.tables import TELEMETRY_SQL, table, telemetry
 from hostvane.schemas import FEATURES
 from hostvane.session import scratch_path
 from hostvane.sources.telemetry import append_telemetry, read_telemetry
@@ -270,6 +271,14 @@ def histogram_cpu(spark, sf_dir):
     return rounded(analytics.histogram(telemetry(spark, sf_dir), "cpu_usage", 40))
 
 
+@query(
+    "histogram_cpu_fine",
+    histogram_sql("cpu_usage", 800, "SELECT DISTINCT run_id, 0.0e0 AS lo, 100.0e0 AS hi FROM telemetry"),
+)
+def histogram_cpu_fine(spark, sf_dir):
+    return rounded(analytics.histogram(telemetry(spark, sf_dir), "cpu_usage", 800, 0.0, 100.0))
+
+
 @query(
     "histogram_filtered",
     histogram_sql(
@@ -299,6 +308,40 @@ def metric_stats(spark, sf_dir):
     return rounded(analytics.metric_stats(telemetry(spark, sf_dir)))
 
 
+@query("metric_stats_hot", CHECKS["metric_stats"])
+def metric_stats_hot(spark, sf_dir):
+    """As if every run were too large for a task."""
+    return rounded(analytics.metric_stats(telemetry(spark, sf_dir), group_rows=HOT_ROWS))
+
+
+@query("timeseries_hot", CHECKS["timeseries_hourly"])
+def timeseries_hot(spark, sf_dir):
+    """Some buckets are above the limit, others are not."""
+    hourly = analytics.time_series(telemetry(spark, sf_dir), ["cpu_usage"], ["mean", "p95"], 3600, group_rows=HOT_BUCKET_ROWS)
+    return rounded(hourly)
+
+
+BLANKED = "CASE WHEN user_id % 2 = 1 THEN NULL ELSE value END"
+
+
+@query(
+    "quantiles_of_blank_groups",
+    f"""
+    SELECT 'run-' || user_id % 2 AS run_id, count(*) AS count, count({BLANKED}) AS known,
+           round(quantile_cont({BLANKED}, 0.95), 6) AS p95, round(quantile_cont(event_id, 0.5), 6) AS mid
+    FROM events GROUP BY 1""",
+)
+def quantiles_of_blank_groups(spark, sf_dir):
+    """A large group without any value stays, with NULL quantiles."""
+    rows = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("run-"), (F.col("user_id") % 2).cast("string")).alias("run_id"),
+        F.when(F.col("user_id") % 2 == 0, F.col("value")).alias("v"),
+        F.col("event_id").cast("double").alias("w"),
+    )
+    plain = [F.count(F.lit(1)).alias("count"), F.count("v").alias("known")]
+    return rounded(aggregate(rows, ["run_id"], plain, {"p95": Quantile("v", 0.95), "mid": Quantile("w", 0.5)}, HOT_ROWS))
+
+
 @query(
     "variance_rank",
     sql(

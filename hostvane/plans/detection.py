@@ -260,9 +260,9 @@ FUSED_DETAILS = """CASE WHEN a_flag THEN '[A:' || a_details || '] ' ELSE '' END
   CASE WHEN NOT b_ran THEN '[B:SKIPPED] ' ELSE '' END"""
 
 
-def fused_sql(columns: str, where: str = "true") -> str:
+def fused_sql(columns: str, where: str = "true", source: str = T) -> str:
     return with_ctes(
-        T,
+        source,
         *FUSED_VERDICTS,
         "fused AS (SELECT verdicts.*, alert FROM verdicts JOIN alert_walk ON alert_walk.record_id = verdicts.record_id)",
         select=f"SELECT {columns} FROM fused WHERE {where}",
@@ -313,3 +313,17 @@ def fused_alerts_sliced(spark, sf_dir):
     """The same alerts with every host cut into slices, as a very large host would be."""
     fused = detect.fused_pipeline(telemetry(spark, sf_dir), PIPELINE, slice_rows=40)
     return rounded(detect.alerts_only(fused, "details"))
+
+
+LARGE = 1e6
+LARGE_T = T.replace("telemetry AS (", "usual AS (", 1) + f""",
+telemetry AS (SELECT * REPLACE (network_rx_rate * {LARGE!r} AS network_rx_rate) FROM usual)"""
+LARGE_ALERT = f"""host_id, run_id, metric_timestamp AS timestamp, record_id, {SEVERITY} AS severity,
+    {SOURCE} AS detector_source, {FUSED_DETAILS} AS details"""
+
+
+@query("fused_alerts_large", fused_sql(LARGE_ALERT, "alert", LARGE_T))
+def fused_alerts_large(spark, sf_dir):
+    """Errors of seven digits and more, from hosts cut into slices."""
+    rows = telemetry(spark, sf_dir).withColumn("network_rx_rate", F.col("network_rx_rate") * LARGE)
+    return detect.alerts_only(detect.fused_pipeline(rows, PIPELINE, slice_rows=40), "details").drop("score")

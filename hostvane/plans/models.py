@@ -13,7 +13,7 @@ from hostvane.operators.ranks import Quantile, aggregate
 from hostvane.operators.runs import latest_per
 from hostvane.operators.tuning import Sweep, run_sweep
 from hostvane.plans.dataset import T
-from hostvane.plans.registry import query, rounded, with_ctes
+from hostvane.plans.registry import CHECKS, HOT_ROWS, query, rounded, with_ctes
 from hostvane.plans.tables import GENERATION_RUNS_SQL, SCORE_HISTORY_SQL, generation_runs, score_history, telemetry
 from hostvane.schemas import FEATURES
 from hostvane.session import scratch_path
@@ -236,7 +236,7 @@ def pca_train(spark, sf_dir):
     )
 
 
-SWEEP = Sweep("grid", (1, 2, 3, 4), (95.0, 99.0, 99.5), max_trials=10)
+SWEEP = Sweep("grid", (1, 2, 3, 4), (95.0, 99.0, 99.5))
 
 
 @query(
@@ -261,6 +261,12 @@ def tuning_sweep(spark, sf_dir):
     return rounded(run_sweep(telemetry(spark, sf_dir), SWEEP))
 
 
+@query("tuning_sweep_hot", CHECKS["tuning_sweep"])
+def tuning_sweep_hot(spark, sf_dir):
+    """As if every run were too large for a task."""
+    return rounded(run_sweep(telemetry(spark, sf_dir), SWEEP, group_rows=HOT_ROWS))
+
+
 @query(
     "artifact_round_trip",
     sql("SELECT dataset_id, round(avg(reconstruction_error), 6) AS mean_error, count_if(predicted_is_anomaly) AS flagged "
@@ -421,6 +427,13 @@ def roc_pr(spark, sf_dir):
     return rounded(score_ops.curves(labelled, 50))
 
 
+@query("roc_pr_hot", CHECKS["roc_pr"])
+def roc_pr_hot(spark, sf_dir):
+    """As if every scored dataset were too large for a task."""
+    labelled = score_ops.labelled_scores(scored(spark, sf_dir), telemetry(spark, sf_dir))
+    return rounded(score_ops.curves(labelled, 50, HOT_ROWS))
+
+
 @query(
     "scored_datasets",
     with_ctes(

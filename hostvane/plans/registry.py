@@ -13,6 +13,9 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 DIGITS = 6
+# Group sizes from which the _hot queries treat a group as too large for a task.
+HOT_ROWS = 100
+HOT_BUCKET_ROWS = 3
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

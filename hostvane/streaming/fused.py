@@ -12,11 +12,22 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hostvane.functions.detectors import PipelineConfig, pack, unpack
-from hostvane.operators.detect import ERROR, IDENTITY, MICROS, MODEL_FLAG, FusedFold, alerts_only, fused_input
+from hostvane.operators.detect import (
+    ERROR,
+    FUSED_COLUMNS,
+    IDENTITY,
+    MICROS,
+    MODEL_FLAG,
+    FusedFold,
+    alerts_only,
+    fused_input,
+    with_details,
+)
 from hostvane.operators.sequences import POSITION
 from hostvane.schemas import FEATURES, HOST_KEYS
 from hostvane.streaming.jobs import DELAY
 
+IDLE_MS = 30 * 24 * 3600 * 1000  # a host is forgotten after 30 silent days, so state does not grow for ever
 BUFFERED = ("record_id", MICROS, *FEATURES, ERROR, MODEL_FLAG)
 BUFFER_SCHEMA = T.StructType(
     [T.StructField("record_id", T.LongType()), T.StructField(MICROS, T.LongType())]
@@ -28,7 +39,6 @@ HOST_SCHEMA = T.StructType(
         T.StructField("detectors", T.BinaryType()),
         T.StructField("position", T.LongType()),
         T.StructField("released", T.LongType()),
-        T.StructField("late", T.LongType()),
     ]
 )
 RESULT_SCHEMA = T.StructType(
@@ -37,7 +47,6 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("host_id", T.StringType()),
         T.StructField(MICROS, T.LongType()),
         T.StructField("record_id", T.LongType()),
-        T.StructField("late_rows", T.LongType()),
         *FusedFold.result,
     ]
 )
@@ -46,8 +55,8 @@ RESULT_SCHEMA = T.StructType(
 class FusedProcessor(StatefulProcessor):
     """One host. Rows wait until the watermark passes them, then advance the detectors in time order.
 
-    Rows at or before what was already released are dropped and counted. With ``idle_ms`` set, a host
-    that stays silent that long in event time is forgotten.
+    Rows behind the watermark never get here: Spark drops and counts them (``jobs.finish_counting``). With ``idle_ms``
+    set, a host that stays silent that long in event time is forgotten.
     """
 
     def __init__(self, cfg: PipelineConfig, idle_ms: int | None = None):
@@ -61,29 +70,27 @@ class FusedProcessor(StatefulProcessor):
 
     def _load(self):
         if self.host.exists():
-            detectors, position, released, late = self.host.get()
-            return unpack(bytes(detectors)), position, released, late
-        return self.fold.initial(), 0, -1, 0
+            detectors, position, released = self.host.get()
+            return unpack(bytes(detectors)), position, released
+        return self.fold.initial(), 0, -1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        detectors, position, released, late = self._load()
+        detectors, position, released = self._load()
         earliest = None
         for frame in rows:
-            in_time = frame[MICROS] > released
-            late += int((~in_time).sum())
-            fresh = frame.loc[in_time, list(BUFFERED)]
+            fresh = frame[list(BUFFERED)]
             if len(fresh):
                 self.buffer.appendList(list(fresh.itertuples(index=False, name=None)))
                 first = int(fresh[MICROS].min())
                 earliest = first if earliest is None else min(earliest, first)
-        self.host.update((pack(detectors), position, released, late))
+        self.host.update((pack(detectors), position, released))
         if earliest is not None:
             self._wake(earliest, timerValues)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        detectors, position, released, late = self._load()
+        detectors, position, released = self._load()
         waiting = pd.DataFrame(list(self.buffer.get()), columns=list(BUFFERED))
         due = waiting[MICROS].to_numpy(dtype="int64") <= watermark if len(waiting) else np.zeros(0, dtype=bool)
         if not due.any():
@@ -102,11 +109,11 @@ class FusedProcessor(StatefulProcessor):
         columns[MODEL_FLAG] = columns[MODEL_FLAG].astype(bool)
         result, after = self.fold.run(columns, np.array([0]), np.array([len(rows)]), [detectors])
         released = int(rows[MICROS].iloc[-1])
-        self.host.update((pack(after[0]), position + len(rows), released, late))
+        self.host.update((pack(after[0]), position + len(rows), released))
         if self.idle_ms is not None:
             self.handle.registerTimer(released // 1000 + self.idle_ms)
         head = pd.DataFrame(
-            {"run_id": key[0], "host_id": key[1], MICROS: rows[MICROS], "record_id": rows["record_id"], "late_rows": late}
+            {"run_id": key[0], "host_id": key[1], MICROS: rows[MICROS], "record_id": rows["record_id"]}
         )
         yield head.assign(**result)
 
@@ -122,7 +129,7 @@ def stream_fused(
     telemetry: DataFrame,
     cfg: PipelineConfig = PipelineConfig(),
     delay: str = DELAY,
-    idle_ms: int | None = None,
+    idle_ms: int | None = IDLE_MS,
 ) -> DataFrame:
     """Every row's verdicts, emitted once the watermark has passed it. Run it in a ``stream_session``."""
     rows = fused_input(telemetry, cfg)
@@ -137,12 +144,13 @@ def stream_fused(
             timeMode="EventTime",
         )
     )
-    return out.withColumn("metric_timestamp", F.timestamp_micros(MICROS)).select(
-        *IDENTITY, *[f.name for f in FusedFold.result], "late_rows"
+    real = out.where("run_id IS NOT NULL OR record_id IS NOT NULL")  # not the row that closes the input
+    return with_details(real, cfg).withColumn("metric_timestamp", F.timestamp_micros(MICROS)).select(
+        *IDENTITY, *FUSED_COLUMNS
     )
 
 
 def stream_alerts(
-    telemetry: DataFrame, cfg: PipelineConfig = PipelineConfig(), delay: str = DELAY, idle_ms: int | None = None
+    telemetry: DataFrame, cfg: PipelineConfig = PipelineConfig(), delay: str = DELAY, idle_ms: int | None = IDLE_MS
 ) -> DataFrame:
     return alerts_only(stream_fused(telemetry, cfg, delay, idle_ms), "details")

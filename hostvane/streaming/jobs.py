@@ -92,11 +92,15 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def alerts_to_table(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch of alerts to its own folder, so a replayed batch replaces what it wrote before."""
+def alerts_to_table(alerts: DataFrame, path: str, checkpoint: str, sink: str) -> StreamingQuery:
+    """Write each batch of alerts to a folder of its own under the stable name of this stream.
+
+    A replayed batch replaces what it wrote before, and streams with other names are left alone. After a lost
+    checkpoint the same alerts may come in other batches: read the table with ``read_alerts``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/sink={sink}/batch={batch_id}")
 
     return (
         alerts.writeStream.foreachBatch(write)
@@ -107,7 +111,56 @@ def alerts_to_table(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
+def read_alerts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The alerts of all streams into ``path``, each once."""
+    return spark.read.schema(schema).parquet(f"{path}/sink=*/batch=*").dropDuplicates(["run_id", "record_id"])
+
+
+def with_closing(telemetry: DataFrame, folder: str) -> DataFrame:
+    """``telemetry`` and the closing row that ``close_input`` may write to ``folder`` later."""
+    spark = telemetry.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return telemetry.unionByName(spark.readStream.schema(telemetry.schema).parquet(folder))
+
+
+def close_input(spark: SparkSession, folder: str, schema: T.StructType) -> None:
+    """Say that no more rows will come: a row of no run, far in the future, moves the watermark past all others.
+
+    Run the query once more with its checkpoint: everything that was waiting for later rows comes out. The closing row itself
+    never does.
+    """
+    at = F.lit("2200-01-01 00:00:00").cast(schema["metric_timestamp"].dataType)
+    fields = [at.alias(f.name) if f.name == "metric_timestamp" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*fields).coalesce(1).write.mode("append").parquet(folder)
+
+
 def finish(query: StreamingQuery, timeout_seconds: int | None = None) -> StreamingQuery:
-    """Wait until everything available was processed; a failure in the stream is raised here."""
-    query.awaitTermination(timeout_seconds)
+    """Wait until everything available was processed; a failure or a timeout is raised here."""
+    ended = query.awaitTermination(timeout_seconds)
+    if timeout_seconds is not None and not ended:
+        query.stop()
+        raise TimeoutError(f"stream did not finish in {timeout_seconds} seconds")
     return query
+
+
+def finish_counting(query: StreamingQuery, timeout_seconds: int = 86_400) -> int:
+    """Wait like ``finish``; the number of rows that came too late and were dropped by stateful steps."""
+    dropped: dict[int, int] = {}
+
+    def note() -> None:
+        for progress in query.recentProgress:
+            steps = progress["stateOperators"] if isinstance(progress, dict) else progress.stateOperators
+            late = sum(s["numRowsDroppedByWatermark"] if isinstance(s, dict) else s.numRowsDroppedByWatermark for s in steps)
+            batch = progress["batchId"] if isinstance(progress, dict) else progress.batchId
+            dropped[batch] = max(late, dropped.get(batch, 0))
+
+    waited = 0
+    while not query.awaitTermination(1):  # only the latest progress reports are kept
+        note()
+        waited += 1
+        if waited >= timeout_seconds:
+            query.stop()
+            raise TimeoutError(f"stream did not finish in {timeout_seconds} seconds")
+    note()
+    return sum(dropped.values())

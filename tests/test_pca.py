@@ -57,11 +57,18 @@ def test_residuals_and_top_contributor(telemetry):
 
 
 def test_details_text(spark):
-    errors = [1.0, 1.5, 26.65281565458167, 123456.7, 2.0, 999999.5]
+    draw = np.random.default_rng(0)
+    errors = [1.0, 1.5, 26.65281565458167, 123456.7, 2.0, 999999.5, 999999.4, 1e6, 1.2e6, 2.5951e7, 1e300]
+    errors += [float(x) for x in 10 ** draw.uniform(0.1, 12, 200)]
     df = spark.createDataFrame([(i, e) for i, e in enumerate(errors)], "record_id int, reconstruction_error double")
     texts = by_record(df.select("record_id", score_details(1.1971291001486588).alias("d")), "d")
-    want = [None] + [f"PCA_RECON_ERR={e:g} > 1.19713" for e in errors[1:5]]
-    assert [texts[i] for i in range(5)] == want
+    want = [None] + [f"PCA_RECON_ERR={e:g} > 1.19713" for e in errors[1:]]
+    assert [texts[i] for i in range(len(errors))] == want
+    small = [0.0, 3e-5, 3.4e-5, 1e-15, 1.2e-15, 1e-4, 9.999995e-5, 9.99999e-5, 0.00012345678, 0.5, 1.0]
+    small += [float(x) for x in 10 ** draw.uniform(-20, 0, 200)]
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(small)], "record_id int, reconstruction_error double")
+    texts = by_record(df.select("record_id", score_details(-1.0).alias("d")), "d")
+    assert [texts[i] for i in range(len(small))] == [f"PCA_RECON_ERR={e:g} > -1" for e in small]
 
 
 def test_filters_reach_the_scan_and_scores_are_computed_once(spark, tmp_path, telemetry):

@@ -64,6 +64,47 @@ def test_null_keys_and_values(spark):
     assert built_in == narrowed == {None: 14.5, "b": 19.5}
 
 
+@pytest.mark.parametrize("counted", [False, True])
+def test_large_groups_without_values_stay(spark, counted):
+    plain = [F.count(F.lit(1)).alias("n")] if counted else []
+    rows = [("a", float(i), float(i)) for i in range(20)] + [("b", None, float(i)) for i in range(20)] + [("c", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    wanted = {"m": Quantile("v", 0.5), "x": Quantile("w", 0.5)}
+    few = sorted(map(tuple, aggregate(df, ["g"], plain, wanted).collect()))
+    many = sorted(map(tuple, aggregate(df, ["g"], plain, wanted, group_rows=8).collect()))
+    assert few == many and [r[0] for r in many] == ["a", "b", "c"]
+    assert many[1][-2:] == (None, 9.5)
+
+
+def test_scans_do_not_grow_with_columns(spark, tmp_path):
+    """The source is read a fixed number of times, however many columns, ranks and rounds there are."""
+    draw = np.random.default_rng(0)
+    rows = [("a" if i % 3 else "b", *map(float, draw.lognormal(0, 3, 5))) for i in range(600)] + [("c", *[1.0] * 5)]
+    spark.createDataFrame(rows, "g string, v0 double, v1 double, v2 double, v3 double, v4 double").write.parquet(f"{tmp_path}/t")
+    reads: list = []
+    source = spark.read.parquet(f"{tmp_path}/t")
+    names = {f"q{c}_{int(p * 10)}": Quantile(f"v{c}", p) for c in range(5) for p in (0.5, 0.9)}
+    from hostvane.operators import ranks
+
+    kept, count = ranks.materialize, [0]
+
+    def noted(df, label):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        reads.append(plan.count("v0#") > 0 and label)
+        count[0] += 1
+        return kept(df, label)
+
+    ranks.materialize = noted
+    try:
+        out = aggregate(source, ["g"], [F.count(F.lit(1)).alias("n")], names, group_rows=50)
+    finally:
+        ranks.materialize = kept
+    assert [r for r in reads if r] == ["hot", "values"]  # sizes and the narrow table; rounds read only that
+    final = out._jdf.queryExecution().optimizedPlan().toString()
+    assert final.count("v0#") and sum("parquet" in line and "v0#" in line for line in final.splitlines()) <= 2
+    assert out.count() == 3 and count[0] <= 12
+
+
 def test_group_sizes(spark):
     assert group_sizes(frame(spark, {"a": [1, 2, 3], "b": [1]}), ["g"]) == (3, 4)
     assert group_sizes(frame(spark, {"a": [1]}).where("false"), ["g"]) == (0, 0)

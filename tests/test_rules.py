@@ -75,7 +75,7 @@ def test_names_pass():
 def test_grid_trials_in_order():
     sweep = Sweep("grid", (2, 3), (99.0, 99.5))
     assert sweep.trials() == [(2, 99.0), (2, 99.5), (3, 99.0), (3, 99.5)]
-    assert Sweep("grid", (2, 3), (99.0, 99.5), max_trials=3).trials() == [(2, 99.0), (2, 99.5), (3, 99.0)]
+    assert len(Sweep("grid", (1, 2, 3, 4), (95.0, 99.0, 99.5)).trials()) == 12
     assert Sweep("grid", percentile=(99.0,)).trials() == [(3, 99.0)]
     assert Sweep("grid", n_components=(2,)).trials() == [(2, 99.5)]
 
@@ -86,28 +86,14 @@ def test_random_trials_repeat():
     assert sweep.trials() == sweep.trials()
 
 
-def test_preflight():
-    assert Sweep("grid", (2, 3, 4), (99.0, 99.5), max_trials=10).preflight() == (6, 6, "NONE")
-    assert Sweep("grid", (2, 3, 4), (99.0, 99.5), max_trials=4).preflight() == (6, 4, "MAX_TRIALS")
-    many = tuple(90.0 + i * 0.1 for i in range(30))
-    assert Sweep("grid", (1, 2, 3, 4, 5), many, max_trials=4).preflight() == (150, 100, "GRID_CAP")
-    assert Sweep("random", (1,), (99.0,), max_trials=7).preflight() == (7, 7, "NONE")
-
-
-def test_fingerprint_ignores_order_of_space():
-    one = Sweep("random", (2, 4), (99.0,), 10, seed=123)
-    assert one.fingerprint() == Sweep("random", (4, 2), (99.0,), 10, seed=123).fingerprint()
-    assert one.fingerprint() != Sweep("random", (2, 4), (99.0,), 11, seed=123).fingerprint()
-
-
 def test_sweep_problems():
     fields = lambda s: [f for f, _ in s.problems()]
     assert fields(Sweep("grid", (2,), (99.0,))) == []
     assert fields(Sweep("bayes", (2,), (99.0,))) == ["algorithm"]
     assert fields(Sweep("grid", (2,), max_trials=0)) == ["max_trials"]
     assert fields(Sweep("grid", (2,), max_trials=51)) == ["max_trials"]
-    assert fields(Sweep("grid", (2,), max_concurrency=0)) == ["max_concurrency"]
-    assert fields(Sweep("grid", (2,), max_concurrency=11)) == ["max_concurrency"]
+    assert fields(Sweep("grid", (2, 3), (99.0, 99.5), max_trials=3)) == ["search_space"]  # refused, never cut
+    assert fields(Sweep("grid", (2, 3), (99.0, 99.5), max_trials=4)) == []
     assert fields(Sweep("grid")) == ["search_space"]
     assert fields(Sweep("grid", (6,))) == ["search_space.n_components"]
     assert fields(Sweep("grid", percentile=(100.0,))) == ["search_space.percentile"]

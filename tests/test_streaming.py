@@ -108,15 +108,60 @@ def test_idle_hosts_are_forgotten(feed, telemetry):
     assert all(remembered[500 + i] for i in range(6))
 
 
-def test_alert_batches_are_replaced_not_repeated(feed, spark):
+def test_alerts_of_two_streams_and_of_other_cuts_count_once(feed, telemetry):
+    rows = noisy(60)
+    for part in (rows[:80], rows[80:], [reading(END, seconds=END, host="late")]):
+        feed.add(part)
+    path = str(feed.folder / "alerts")
+
+    def run(log, sink, runs, files=1):
+        stream = jobs.read_telemetry_stream(feed.session, str(feed.folder / "in"), files, feed.kind).where(runs)
+        alerts = fused.stream_alerts(stream, CONFIG, delay="1 hour")
+        jobs.finish(jobs.alerts_to_table(alerts, path, str(feed.folder / log), sink))
+        return alerts.schema
+
+    even, odd = "record_id % 2 = 0 OR record_id = 1000000", "record_id % 2 = 1 OR record_id = 1000000"
+    run("log1", "even", even)
+    schema = run("log2", "odd", odd)
+    first = sorted(map(tuple, jobs.read_alerts(feed.spark, path, schema).collect()))
+    run("log3", "even", even, files=2)  # a lost checkpoint, and other batches
+    run("log4", "odd", odd, files=3)
+    assert sorted(map(tuple, jobs.read_alerts(feed.spark, path, schema).collect())) == first
+    want = []
+    for part in (even, odd):
+        batch = detect.fused_pipeline(telemetry(rows).where(part), CONFIG)
+        want += [r["record_id"] for r in detect.alerts_only(batch).collect()]
+    assert sorted(r[3] for r in first) == sorted(want) and want
+
+
+def test_late_rows_are_counted_and_input_can_be_closed(feed, telemetry):
+    rows = noisy(40, hosts=1)
+    closing, path, log = str(feed.folder / "closing"), str(feed.folder / "out"), str(feed.folder / "log")
+    late = []
+
+    def run():
+        stream = jobs.with_closing(feed.stream(), closing)
+        out = fused.stream_fused(stream, CONFIG, delay="0 seconds")
+        late.append(jobs.finish_counting(jobs.to_table(out, path, log)))
+        return stream.schema, out.schema
+
+    feed.add(rows[:20])
+    run()
+    feed.add([reading(900, seconds=5, host="h0"), reading(901, seconds=7, host="h0"), *rows[20:]])
+    schema, made = run()
+    jobs.close_input(feed.session, closing, schema)
+    run()
+    assert late == [0, 2, 0]
+    out = by_record(feed.spark.read.schema(made).parquet(path), *VERDICT)
+    assert out == by_record(detect.fused_pipeline(telemetry(rows), CONFIG), *VERDICT)
+
+
+def test_a_timeout_is_raised(feed):
     feed.add(noisy(60))
-    feed.add([reading(END, seconds=END, host="late")])
-    path = feed.folder / "alerts"
-    for log in ("log1", "log2"):  # a lost checkpoint replays every batch
-        alerts = fused.stream_alerts(feed.stream(), CONFIG, delay="1 hour")
-        jobs.finish(jobs.alerts_to_table(alerts, str(path), str(feed.folder / log)))
-    stored = spark.read.parquet(str(path))
-    assert counted(stored) == counted(stored.dropDuplicates(["record_id"])) > 0
+    alerts = fused.stream_fused(feed.stream(), CONFIG)
+    query = jobs.to_table(alerts, str(feed.folder / "o"), str(feed.folder / "l"))
+    with pytest.raises(TimeoutError):
+        jobs.finish(query, 0.001)
 
 
 def test_series_stream(feed, telemetry):
