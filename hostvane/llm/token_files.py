@@ -8,6 +8,7 @@ of which is decoded by itself; bit offsets of every 256th id let a reader start
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,11 @@ def _encode(tokenizer: str, end_id: int, dtype: str):
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 texts = batch.column(1).slice(k, TEXTS_AT_ONCE).to_pylist()
-                packed = [pack(encoder.encode(t or "") + end) for t in texts]
+                gc.disable()  # encoding makes many objects and no cycles
+                try:
+                    packed = [pack(encoder.encode(t or "") + end) for t in texts]
+                finally:
+                    gc.enable()
                 ids = pa.array(packed, pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, TEXTS_AT_ONCE), ids], ["doc_id", "packed"])
 
