@@ -76,9 +76,15 @@ def anomaly_types(telemetry: DataFrame, k: int = 5) -> DataFrame:
 
 def anomaly_trend(telemetry: DataFrame, hours: int = 24) -> DataFrame:
     """Hourly anomaly rate over the last ``hours`` of each run's data, lower bound included."""
-    newest = telemetry.groupBy(RUN).agg(F.max("metric_timestamp").alias("_newest"))
-    since = F.col("_newest") - F.make_dt_interval(hours=F.lit(hours))
-    recent = join_checked(telemetry.select(RUN, "metric_timestamp", "is_anomaly"), newest, [RUN])
+    newest = materialize(telemetry.groupBy(RUN).agg(F.max("metric_timestamp").alias("_newest")), "newest")
+    span = F.make_dt_interval(hours=F.lit(hours))
+    since = F.col("_newest") - span
+    rows = telemetry.select(RUN, "metric_timestamp", "is_anomaly")
+    # What is too old for every run is left out by the scan.
+    oldest = newest.agg((F.min("_newest") - span).cast("string")).first()[0]
+    if oldest is not None:
+        rows = rows.where(F.col("metric_timestamp") >= F.lit(oldest).cast(rows.schema["metric_timestamp"].dataType))
+    recent = join_checked(rows, newest, [RUN], stored=True)
     return (
         recent.where(F.col("metric_timestamp") >= since)
         .groupBy(RUN, bucket_start("metric_timestamp", 3600).alias("ts"))

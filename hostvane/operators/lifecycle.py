@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from hostvane.functions import checks
 from hostvane.functions.filters import time_literal
+from hostvane.operators.joins import join_checked
 from hostvane.schemas import SCORE_KEYS
+from hostvane.session import materialize
 from hostvane.sources.telemetry import write_telemetry
 
 # The column that names the dataset in each dependent table.
@@ -54,12 +56,13 @@ def without_datasets(tables: Mapping[str, DataFrame], deleted: DataFrame) -> dic
 
     Inference runs hang off models, so they go with the models of a deleted dataset.
     """
-    gone = deleted.select("dataset_id").distinct()
+    gone = materialize(deleted.select("dataset_id").distinct(), "deleted")
     kept = {}
     for name, column in DATASET_COLUMN.items():
         if name in tables:
-            kept[name] = tables[name].join(gone.withColumnRenamed("dataset_id", column), column, "left_anti")
+            named = gone.withColumnRenamed("dataset_id", column)
+            kept[name] = join_checked(tables[name], named, [column], "left_anti", stored=True)
     if "inference_runs" in tables:
-        models = tables["model_runs"].join(gone, "dataset_id", "left_semi").select("model_run_id")
-        kept["inference_runs"] = tables["inference_runs"].join(models, "model_run_id", "left_anti")
+        models = join_checked(tables["model_runs"], gone, ["dataset_id"], "left_semi", stored=True).select("model_run_id")
+        kept["inference_runs"] = join_checked(tables["inference_runs"], models, ["model_run_id"], "left_anti")
     return kept

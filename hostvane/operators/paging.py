@@ -13,7 +13,7 @@ from hostvane.operators.joins import join_checked
 from hostvane.operators.sequences import POSITION, number_by_ranges
 from hostvane.schemas import FEATURES
 
-SHALLOW = 100_000
+SHALLOW = 5_000
 RECORD_COLUMNS = (
     "record_id", "host_id", "metric_timestamp", *FEATURES,
     "is_anomaly", "anomaly_type", "region", "project_id", "labels",

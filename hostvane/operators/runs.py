@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hostvane.functions import checks
 from hostvane.functions.filters import between_times
+from hostvane.operators.joins import join_checked
 from hostvane.operators.paging import page
 from hostvane.operators.toprows import RANK, top_rows
 
@@ -76,7 +77,7 @@ def trials_of(models: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     if parents is None:
         return trials
     wanted = parents.select(F.col("model_run_id").alias("parent_run_id"))
-    return trials.join(wanted, "parent_run_id", "left_semi")
+    return join_checked(trials, wanted.distinct(), ["parent_run_id"], "left_semi")
 
 
 def list_trials(models: DataFrame, parent_run_id: str, limit: int = 1000, offset: int = 0) -> DataFrame:

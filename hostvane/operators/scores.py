@@ -107,13 +107,18 @@ def error_distribution(
     """Error statistics per value of a dimension; a missing value is shown as ''."""
     checks.one_of(group_by, ERROR_DIMENSIONS, "group_by")
     label = F.coalesce(F.col(group_by), F.lit("")).alias("label")
-    rows = materialize(with_telemetry(scores, telemetry, group_by).select(*SCORE_KEYS, label, ERROR), "joined")
+    rows = with_telemetry(scores, telemetry, group_by).select(*SCORE_KEYS, label, ERROR)
+    # A group is no larger than its model's scores; only if those are large is the join written for several passes.
+    counted = scores.select(*SCORE_KEYS, F.lit("").alias("label"))
+    if group_sizes(counted, SCORE_KEYS)[0] > group_rows:
+        rows, counted = materialize(rows, "joined"), None
     return aggregate(
         rows,
         [*SCORE_KEYS, "label"],
         [F.count(F.lit(1)).alias("count"), F.avg(ERROR).alias("mean")],
         {"p50": Quantile(ERROR, 0.5), "p95": Quantile(ERROR, 0.95)},
         group_rows,
+        counted,
     )
 
 
