@@ -27,12 +27,21 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXTS_A_BATCH))
 
 
+THINGS_KEPT = 2
+
+
 def per_worker(name: str, make: Callable[[], Any]) -> Any:
-    """``make()`` once per Python worker: workers serve many tasks, and loading or warming up is not free."""
-    kept = sys.modules.setdefault("hostvane_worker_state", types.ModuleType("hostvane_worker_state")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    """``make()`` once per Python worker: workers serve many tasks, and loading or warming up is not free.
+
+    Only the things used last stay, so a worker does not gather the models of all jobs it has served.
+    """
+    state = sys.modules.setdefault("hostvane_worker_state", types.ModuleType("hostvane_worker_state"))
+    kept = state.__dict__.setdefault("kept", {})
+    thing = kept.pop(name) if name in kept else make()
+    kept[name] = thing
+    while len(kept) > THINGS_KEPT:
+        kept.pop(next(iter(kept)))
+    return thing
 
 
 def shared(spark: SparkSession, model: Any) -> Callable[[], Any]:
