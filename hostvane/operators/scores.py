@@ -59,10 +59,17 @@ def browse_scores(
     min_score: float | None = None,
     max_score: float | None = None,
 ) -> DataFrame:
-    """A page of scores with their records, worst first, ties by newest record."""
+    """A page of scores with their records, worst first, ties by newest record.
+
+    The page is cut among scores whose record exists, by key alone; only its rows meet the records' columns.
+    """
+    order, keys = [F.desc(ERROR), F.desc("record_id")], ["dataset_id", "record_id"]
     wanted = score_filter(scores, only_anomalies, min_score, max_score)
-    rows = with_telemetry(wanted, telemetry, "metric_timestamp", "host_id", F.col("is_anomaly").alias("label"))
-    return page(rows, [F.desc(ERROR), F.desc("record_id")], limit, offset)
+    records = telemetry.withColumnRenamed("run_id", "dataset_id")
+    cut = page(wanted.join(records.select(*keys), keys, "left_semi"), order, limit, offset)
+    columns = [*keys, "metric_timestamp", "host_id", F.col("is_anomaly").alias("label")]
+    rows = join_checked(records.select(*columns), cut, keys)
+    return rows.select(*wanted.columns, "metric_timestamp", "host_id", "label").orderBy(*order)
 
 
 def orphaned_scores(scores: DataFrame, telemetry: DataFrame) -> DataFrame:

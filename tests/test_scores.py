@@ -38,7 +38,7 @@ def brute_curves(samples, points):
     return out
 
 
-@pytest.mark.parametrize("points, used", [(0, 50), (3, 10), (25, 25), (999, 200)])
+@pytest.mark.parametrize("points, used", [(0, 50), (3, 3), (25, 25), (400, 400)])
 @pytest.mark.parametrize("group_rows", [1000, 5])
 def test_curves_equal_brute_force(scored, points, used, group_rows):
     labelled = scores.labelled_scores(*scored)
@@ -52,6 +52,13 @@ def test_curves_equal_brute_force(scored, points, used, group_rows):
     assert all(a["tpr"] <= b["tpr"] and a["fpr"] <= b["fpr"] for a, b in zip(got, got[1:]))
 
 
+def test_points_are_honoured_or_refused():
+    assert [scores.curve_points(n) for n in (0, 2, 5, 1000)] == [50, 2, 5, 1000]
+    for n in (-1, 1, 1001):
+        with pytest.raises(ValueError):
+            scores.curve_points(n)
+
+
 def test_curves_without_positives(scored):
     labelled = scores.labelled_scores(*scored).withColumn("label", F.lit(False))
     got = scores.curves(labelled, 10).collect()
