@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvane.llm.workers import per_worker, shared, text_batches
+from hostvane.llm.workers import per_worker, shared, slices, texts_of
 
 ORDER = 4
 TRAIN_CHARS = 16_000_000  # documented bound of the labelled sample: characters, shared evenly by the languages
@@ -226,7 +226,7 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in set(langs):
             chars, first = characters([t for t, own in zip(texts, langs) if own == lang])
@@ -249,7 +249,6 @@ def train(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model | None:
     their id. Whole texts are used. Without labelled rows there is no model.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
     if not sizes:
@@ -281,7 +280,7 @@ def _calibrated(spark: SparkSession, model: Model, rows: DataFrame) -> Model:
     given, names = shared(spark, model), model.languages
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             h, n = given().entropies(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], ["lang", "h", "n"]
@@ -309,18 +308,18 @@ def _calibrated(spark: SparkSession, model: Model, rows: DataFrame) -> Model:
 def predictor(spark: SparkSession, model: Model | None):
     """A column function: struct(lang, score, rejected) of a text column. Without a model every text is ``und``,
     and only texts without letters are rejected."""
-    text_batches(spark)
     given = shared(spark, model)
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [t if isinstance(t, str) else "" for t in texts]
-            if given() is None:
-                empty = [not any(map(str.isalpha, t)) for t in rows]
-                yield pd.DataFrame({"lang": UNKNOWN, "score": 0.0, "rejected": empty}, index=range(len(rows)))
-            else:
-                yield given().predict(rows)
+        for series in batches:
+            yield pd.concat([told([t or "" for t in part]) for part in texts_of(series)] or [told([])], ignore_index=True)
+
+    def told(rows: list[str]) -> pd.DataFrame:
+        if given() is None:
+            empty = [not any(map(str.isalpha, t)) for t in rows]
+            return pd.DataFrame({"lang": UNKNOWN, "score": 0.0, "rejected": empty}, index=range(len(rows)))
+        return given().predict(rows)
 
     return predict
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostvane.llm.langid import in_fold
-from hostvane.llm.workers import per_worker, shared, text_batches
+from hostvane.llm.workers import per_worker, shared, slices, texts_of
 
 COLUMNS = 1 << 18
 TRAIN_DOCS = 20_000  # documented bound of the labelled sample
@@ -171,7 +171,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         columns = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns, pa.list_(pa.int32()))], ["good", "columns"])
 
@@ -204,7 +204,8 @@ def scorer(spark, model: Model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(given().scores([t if isinstance(t, str) else None for t in texts]), index=texts.index)
+            parts = [given().scores(part) for part in texts_of(texts)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0), index=texts.index)
 
     return score
 
@@ -215,7 +216,6 @@ def rate(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, thres
     Null texts count as empty; empty texts get a score like any other. Without labels every score is 0.5.
     A null doc_id is in no fold and has no label.
     """
-    text_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = F.coalesce(in_fold(F.col("doc_id"), 5, 0), F.lit(False))
     score = scorer(docs.sparkSession, train(slim, labels.where(~out), train_docs))

@@ -6,25 +6,28 @@ import pickle
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
-TEXTS_A_BATCH = 500
+TEXTS_AT_ONCE = 500
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Send texts to Python in batches of a few hundred: ten thousand, the usual number, may be gigabytes of long texts.
+def slices(batch: pa.RecordBatch, rows: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch``, of which Spark bounds the bytes: Python objects are made of one part at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
-    Holds for the session, as Spark has no such setting for one query. A smaller number is left alone.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > TEXTS_A_BATCH:
-        spark.conf.set(name, str(TEXTS_A_BATCH))
+
+def texts_of(series: pd.Series, rows: int = TEXTS_AT_ONCE) -> Iterator[list[str | None]]:
+    """The texts of a column, a part at a time; nulls as None."""
+    for at in range(0, len(series), rows):
+        yield [t if isinstance(t, str) else None for t in series.iloc[at : at + rows]]
 
 
 THINGS_KEPT = 2
