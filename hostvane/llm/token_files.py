@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from hostvane.llm import huffman
 from hostvane.llm.token_ids import WordEncoder
-from hostvane.llm.workers import per_worker, text_batches
+from hostvane.llm.workers import per_worker, slices
 from hostvane.operators.joins import join_checked
 from hostvane.session import materialize, scratch_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
 MAX_BITS = 16
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1000
 
 BLOCK_SCHEMA = (
     "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, checkpoints array<long>, bits binary"
@@ -44,16 +44,14 @@ def _encode(tokenizer: str, end_id: int, dtype: str):
 
         encoder = per_worker(f"words {tokenizer} {dtype}", lambda: WordEncoder(tokenizer, dtype))
         end, pack = np.array([end_id], dtype=dtype).tobytes(), zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                texts = batch.column(1).slice(k, TEXTS_AT_ONCE).to_pylist()
-                gc.disable()  # encoding makes many objects and no cycles
-                try:
-                    packed = [pack(encoder.encode(t or "") + end) for t in texts]
-                finally:
-                    gc.enable()
-                ids = pa.array(packed, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, TEXTS_AT_ONCE), ids], ["doc_id", "packed"])
+        for batch in (part for whole in batches for part in slices(whole, TEXTS_AT_ONCE)):
+            texts = batch.column(1).to_pylist()
+            gc.disable()  # encoding makes many objects and no cycles
+            try:
+                packed = [pack(ids + end) for ids in encoder.encode([t or "" for t in texts])]
+            finally:
+                gc.enable()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
     return emit
 
@@ -62,7 +60,6 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
     """((doc_id, packed ids), number type, size of the id space) of whole texts; null texts are empty."""
     from tokenizers import Tokenizer
 
-    text_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     space = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if space <= 1 << 16 else "<u4"
@@ -80,7 +77,7 @@ def _unpacked(column: pa.Array, dtype: str) -> list[np.ndarray]:
 def _count(dtype: str, space: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(space, dtype=np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for ids in _unpacked(batch.column(0), dtype):
                 counts += np.bincount(ids, minlength=space)
         used = np.flatnonzero(counts)
@@ -106,7 +103,7 @@ def _blocks(dtype: str, lengths: np.ndarray, codes: np.ndarray, block_ids: int):
             names = ["part", "block", "n_ids", "doc_ids", "lengths", "checkpoints", "bits"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for doc, ids in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1), dtype)):
                 docs.append(doc)
                 held.append(ids)

@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer file, remembering the ids of words already met.
 
 A byte-level pre-tokenizer never joins text across the space in front of a word, so the ids of a text are the ids
-of its words put together. Words met before are looked up; the tokenizer itself runs on new ones. Texts with the
-name of a special token, and other kinds of tokenizers, are always given to the tokenizer whole.
+of its words put together. The different words of a batch are looked up; the tokenizer's merges run on new pieces of new
+words. Texts with the name of a special token, and other kinds of tokenizers, are always given to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-WORDS_KEPT = 500_000  # per worker and cache; a full cache starts anew
+PIECES_KEPT = 800_000  # per worker
 # White space, and the letters and digits of the Latin blocks.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -28,8 +30,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Known(dict):
+    """What was made of keys met lately. A full half makes way for a new one, which takes over what is asked for again."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        if len(self) >= PIECES_KEPT // 2:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
 class WordEncoder:
-    """``encode(text)`` gives the ids as little-endian bytes of ``dtype``."""
+    """``encode(texts)`` gives the ids of each text as little-endian bytes of ``dtype``."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
@@ -52,8 +72,9 @@ class WordEncoder:
         if self.by_word:  # the same merges, without a second cache below ours
             from tokenizers.models import BPE
 
+            vocab = told["model"]["vocab"]
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
-            self.model, self.letters = BPE(told["model"]["vocab"], merges, cache_capacity=0), byte_letters()
+            self.model, self.letters = BPE(vocab, merges, cache_capacity=0), byte_letters()
             self.code = {"<u2": "H", "<u4": "I"}[dtype]
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.pieces = re.compile(
@@ -62,46 +83,79 @@ class WordEncoder:
         )
         self.beyond = re.compile("[^\x00-ɏ]")
         self.spaces = re.compile(f"[{SPACE}]")
-        self.after_space: dict[str, bytes | bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes | None] = {}  # None: white space at its ends ties the word to its neighbours
+        self.odd_spaces = re.compile(f"(?! )[{SPACE}]")
+        self.known = Known(self._new_piece)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _new_piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isprintable():  # such letters stand for themselves, but for spaces
+            spelled = piece.replace(" ", self.letters[32])
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
         ids = array(self.code, [t.id for t in self.model.tokenize(spelled)])
         if sys.byteorder == "big":
             ids.byteswap()
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
-        found = self.known[piece] = ids.tobytes()
-        return found
+        return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk.isascii() and self.beyond.search(chunk):
             return self._whole(chunk)
-        pieces = self.pieces.findall(chunk)
-        parts = list(map(self.known.get, pieces))
-        if None in parts:
-            parts = [self._new_piece(p) if ids is None else ids for p, ids in zip(pieces, parts)]
-        return b"".join(parts)
-
-    def _new_word(self, word: str) -> bytes | bool:
-        """Ids of a word with the space before it; False if white space at its ends ties it to its neighbours."""
-        found = bool(word) and word.strip(SPACE) == word and self._chunk(" " + word)
-        if len(self.after_space) >= WORDS_KEPT:
-            self.after_space.clear()
-        self.after_space[word] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or (self.special and self.special.search(text)):
-            return self._whole(text)
-        first, *words = text.split(" ")
-        parts = list(map(self.after_space.get, words))
-        if None in parts:
-            parts = [self._new_word(w) if p is None else p for w, p in zip(words, parts)]
-        if False in parts or (first and self.spaces.match(first[-1])) or (words and not first):
-            return b"".join(map(self._chunk, self.chunks.findall(text)))
-        return self._chunk(first) + b"".join(parts)
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(chunk)))
+
+    def _after_space(self, words: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """(ids, the row of each word with the space before it). Row -1: white space at its ends ties it to its neighbours."""
+        joined, row = " " + " ".join(words), np.zeros(len(words), np.int64)
+        if not all(words) or self.odd_spaces.search(joined):
+            row[[k for k, w in enumerate(words) if w.strip(SPACE) != w or not w]] = -1
+        if self.beyond.search(joined):
+            row[[k for k, w in enumerate(words) if row[k] == 0 and self.beyond.search(w)]] = 1
+        plain, strange = np.flatnonzero(row == 0), np.flatnonzero(row == 1)
+        if len(plain) < len(words):
+            joined = " " + " ".join([words[k] for k in plain])
+        pieces = self.pieces.findall(joined) if len(plain) else []
+        ids = pa.array(list(map(self.known.__getitem__, pieces)), pa.large_binary())
+        cuts = np.frombuffer(ids.buffers()[1], np.int64)[: len(pieces) + 1] if pieces else np.zeros(1, np.int64)
+        begin = np.array([k for k, piece in enumerate(pieces) if piece[0] == " "], dtype=np.int64)
+        row[plain], row[strange] = np.arange(len(plain)), len(plain) + np.arange(len(strange))
+        bounds = pa.py_buffer(cuts[np.append(begin, len(pieces))])
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, bounds, ids.buffers()[2]])
+        if len(begin) != len(plain):
+            raise RuntimeError("the tokenizer's words do not begin with a space")
+        rest = pa.array([self._whole(" " + words[k]) for k in strange], pa.large_binary())
+        return pa.concat_arrays([whole, rest]), row
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        able = [self.by_word and not (self.special and self.special.search(t)) for t in texts]
+        out = [b"" if a else self._whole(t) for t, a in zip(texts, able)]
+        some = [k for k, a in enumerate(able) if a]
+        if some:
+            for k, ids in zip(some, self._by_words([texts[k] for k in some])):
+                out[k] = ids
+        return out
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Every different word of all texts is looked up once; texts are put together from the numbers of their words."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = split.offsets.to_numpy()
+        words = split.values.dictionary_encode()
+        different = words.dictionary.to_pylist()
+        ids, row = self._after_space(different)
+        number = words.indices.to_numpy().astype(np.int64)
+        # The first word of a text has no space before it: a row of its own, behind the others.
+        begin = bounds[:-1]
+        heads = [different[k] for k in number[begin]]
+        rows = row[number]
+        rows[begin] = [-1 if (self.spaces.match(h[-1]) if h else n > 1) else 0 for h, n in zip(heads, np.diff(bounds))]
+        loose = np.minimum.reduceat(rows, begin) < 0
+        rows[begin] = len(ids) + np.arange(len(texts))
+        first = pa.array([b"" if x else self._chunk(h) for h, x in zip(heads, loose)], pa.large_binary())
+        joined = pa.concat_arrays([ids, first]).take(pa.array(np.maximum(rows, 0)))
+        cuts = np.frombuffer(joined.buffers()[1], np.int64)[bounds]
+        raw = memoryview(joined.buffers()[2] or b"")
+        return [
+            b"".join(map(self._chunk, self.chunks.findall(t))) if x else bytes(raw[a:b])
+            for t, x, a, b in zip(texts, loose, cuts, cuts[1:])
+        ]

@@ -33,8 +33,10 @@ TRICKY = [
 def test_words_give_the_ids_of_the_whole_text(library):
     encoder = WordEncoder(token_files.default_tokenizer(), "<u4")
     assert encoder.by_word
-    for text in TRICKY + [" ".join(TRICKY)]:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(library, text), repr(text)
+    texts = TRICKY + [" ".join(TRICKY)]
+    for batch in [texts, [], texts[::-1], *[[t] for t in texts]]:
+        for text, ids in zip(batch, encoder.encode(batch), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole(library, text), repr(text)
 
 
 ENCODER = []
@@ -46,7 +48,7 @@ def test_words_against_the_library(text):
     if not ENCODER:
         ENCODER.append(WordEncoder(token_files.default_tokenizer(), "<u4"))
     encoder = ENCODER[0]
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(encoder.tokenizer, text)
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole(encoder.tokenizer, text)
 
 
 def kraft(lengths):
