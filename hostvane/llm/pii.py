@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostvane.llm.workers import shared, text_batches
+from hostvane.llm.workers import shared, slices
 
 KINDS = ["email", "ip", "card", "phone"]
 MAX_TOKENS = 20
@@ -97,7 +97,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
             if empty:
                 k += empty[-1] + 1
                 continue
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(own := p.lstrip("0")) <= 3 and int(own or "0") <= 255 for p in four):
                 yield places[k], places[k + 3] + len(parts[k + 3])
             k += 4
 
@@ -387,7 +387,7 @@ def written(spans: list[Span]) -> str:
 
 
 def _training_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out: dict[str, list] = {"kinds": [], "text": [], "spans": []}
         for text in batch.column(0).to_pylist():
             exact = exact_spans(text or "")
@@ -441,12 +441,11 @@ def find_spans(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_probability: f
 
     Places are code points of the whole text, ends exclusive, in order of start and kind. Null texts are empty.
     """
-    text_batches(docs.sparkSession)
     given = shared(docs.sparkSession, Finder(train(docs, train_docs), min_probability))
     one = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             pairs = given().find([t or "" for t in batch.column(1).to_pylist()])
             lists = [
                 pa.array([[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in sorted(p[i])] for p in pairs], one)

@@ -5,8 +5,9 @@ words joined by spaces, repeats included; every shingle votes with the bits of i
 fingerprint is set if it is set in over half of the shingles. A text with fewer words than a shingle is one
 shingle; a text without words has fingerprint zero and links like any other.
 
-Linking: two fingerprints within ``max_bits`` agree in at least one of ``max_bits + 1`` bands of bits. For every
-band, fingerprints are dealt out by their value of it, so that pairs meet without comparing all. Inside such a
+Linking: of ``max_bits + 1`` bands of bits, two fingerprints within ``max_bits`` agree in at least one; for very many
+fingerprints there are more bands, and every choice of enough of them is one mask, so that a mask value stays rare. For every
+mask, fingerprints are dealt out by their value of it, so that pairs meet without comparing all. Inside such a
 cell they are sorted by Gray rank, which puts similar ones next to each other, and factored into a tree: a node holds the
 bits that all fingerprints below share and that no node above it holds. A search adds up differences from the
 root down and drops whole groups as soon as the sum passes the limit. Cells give a spanning set of links, never
@@ -15,7 +16,9 @@ all pairs, so a group of n similar texts costs n links.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostvane.llm.components import components
-from hostvane.llm.workers import text_batches
+from hostvane.llm.workers import slices
 from hostvane.operators.joins import join_checked
 from hostvane.session import materialize
 
@@ -36,6 +39,8 @@ FAN = 8
 FRONTIER = 1 << 19  # open (query, node) pairs held at once
 BATCH_BYTES = 1 << 20
 
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
 U = np.uint64
 # The primes of XXH64.
 P1 = U(0x9E3779B185EBCA87)
@@ -96,16 +101,16 @@ def xxh64(raw: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) ->
         return h ^ (h >> U(32))
 
 
-def fingerprints_of(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Fingerprints of UTF-8 texts."""
+def votes_of(texts: list[bytes], shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that set each bit, shingles) of each text."""
     joined = [b" ".join(t.lower().split()) for t in texts]
     raw = b"\n".join(joined)
-    out = np.zeros(len(texts), U)
+    votes, shingles = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
     sizes = np.array([len(j) for j in joined], dtype=np.int64)
     doc_start = np.cumsum(sizes + 1) - sizes - 1
     some = np.flatnonzero(sizes)
     if not len(some):
-        return out
+        return votes, shingles
     chars = np.frombuffer(raw, np.uint8)
     breaks = np.flatnonzero((chars == 32) | (chars == 10))
     starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(raw)]])
@@ -113,21 +118,46 @@ def fingerprints_of(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> n
     starts, ends = starts[real], ends[real]
     first = np.searchsorted(starts, doc_start[some])
     words = np.diff(np.append(first, len(starts)))
-    shingles = np.maximum(words - shingle_words + 1, 1)
-    offset = np.cumsum(shingles) - shingles
-    word = np.arange(int(shingles.sum())) - np.repeat(offset - first, shingles)
-    last = word + np.repeat(np.minimum(words, shingle_words), shingles) - 1
+    many = np.maximum(words - shingle_words + 1, 1)
+    offset = np.cumsum(many) - many
+    word = np.arange(int(many.sum())) - np.repeat(offset - first, many)
+    last = word + np.repeat(np.minimum(words, shingle_words), many) - 1
     hashes = xxh64(raw, starts[word], ends[last])
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    votes = np.add.reduceat(bits, offset, axis=0, dtype=np.int64)
-    wins = votes * 2 > shingles[:, None]
-    out[some] = np.packbits(wins, axis=1).view(">u8").reshape(-1)
-    return out
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    votes[some] = np.add.reduceat(bits, offset, axis=0, dtype=np.int64)
+    shingles[some] = many
+    return votes, shingles
+
+
+def votes_in_pieces(text: bytes, shingle_words: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """``votes_of`` one long text, cut at white space; words that a shingle still needs are carried on."""
+    votes, shingles = np.zeros((1, BITS), np.int64), np.zeros(1, np.int64)
+    held: list[bytes] = []
+    at = 0
+    while at < len(text):
+        cut = BLANK.search(text, at + piece)
+        end = cut.end() if cut else len(text)
+        held += text[at:end].split()
+        at = end
+        if len(held) >= shingle_words:
+            more, n = votes_of([b" ".join(held)], shingle_words)
+            votes, shingles = votes + more, shingles + n
+            held = held[len(held) - shingle_words + 1 :]
+    return (votes, shingles) if shingles[0] else votes_of([b" ".join(held)], shingle_words)
+
+
+def fingerprints_of(texts: list[bytes], shingle_words: int = SHINGLE_WORDS, piece: int = BATCH_BYTES) -> np.ndarray:
+    """Fingerprints of UTF-8 texts. Votes of a text longer than ``piece`` are added up in parts."""
+    votes, shingles = votes_of([t if len(t) <= piece else b"" for t in texts], shingle_words)
+    for k in (k for k, t in enumerate(texts) if len(t) > piece):
+        more, n = votes_in_pieces(texts[k], shingle_words, piece)
+        votes[k], shingles[k] = more[0], n[0]
+    return np.packbits(votes * 2 > shingles[:, None], axis=1).view(">u8").reshape(-1).astype(U)
 
 
 def _fingerprint(shingle_words: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             k = 0
             while k < len(texts):
@@ -146,7 +176,6 @@ def _fingerprint(shingle_words: int):
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp) of whole texts; ``fp`` has the 64 bits as a signed long. A null text is empty."""
-    text_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_fingerprint(shingle_words), "doc_id long, fp long")
 
@@ -242,27 +271,40 @@ def _cell_links(max_bits: int):
     return emit
 
 
-def band_masks(max_bits: int) -> list[int]:
-    """``max_bits + 1`` masks that cut 64 bits into bands."""
-    cuts = [BITS * k // (max_bits + 1) for k in range(max_bits + 2)]
-    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:])]
+def band_masks(max_bits: int, bands: int | None = None) -> list[int]:
+    """Masks of which any two fingerprints within ``max_bits`` agree on at least one.
+
+    The 64 bits are cut into ``bands``; differing bits fall into ``max_bits`` of them at most, so every choice of the others is a mask.
+    """
+    n = bands or max_bits + 1
+    cuts = [BITS * k // n for k in range(n + 1)]
+    own = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:])]
+    return [sum(kept) for kept in combinations(own, n - max_bits)]
+
+
+def bands_for(n: int, max_bits: int, cell: int) -> int:
+    """The least number of bands that leaves a usual mask value a small part of a cell among ``n`` fingerprints."""
+    bands = max_bits + 1
+    while bands < 2 * max_bits + 2 and n > (cell << (BITS * (bands - max_bits) // bands)) // 4:
+        bands += 1
+    return bands
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL, bands: int | None = None) -> DataFrame:
     """(a, b) links that connect the same fingerprints as all pairs of ``distinct`` (fp) within ``max_bits``.
 
     Band values are gathered into cells of about ``cell`` fingerprints. A band value that alone has more is cut
     into shares, and every pair of shares meets in a cell of its own.
     """
-    masks = [_signed(m) for m in band_masks(max_bits)]
+    n = distinct.count()
+    masks = [_signed(m) for m in band_masks(max_bits, bands or bands_for(n, max_bits, cell))]
     exploded = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("exact")).withColumn(
         "value", F.col("fp").bitwiseAND(F.col("exact"))
     )
-    n = distinct.count()
     cells = max(1, -(-n // cell))
     sizes = exploded.groupBy("exact", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
     shares = F.ceil(F.col("n") / cell).cast("int").alias("shares")
