@@ -5,8 +5,10 @@ non-letters is one space. Counts of all languages are put into one sorted array
 a row of log probabilities per n-gram, so that one look-up serves every language. A text gets the language of the
 lowest cross-entropy per character.
 
-A text that no model explains is rejected: its cross-entropy lies further above the usual one of its language than that of any
-calibration document, with a margin; short texts, and models with few calibration documents, are allowed more. Calibration documents are kept out of the counts.
+A text that no model explains is rejected: its cross-entropy lies too far above the usual one of its language. How far is too far
+is set per language, by a high quantile and the robust spread of calibration documents that are predicted as labelled, so that a
+mislabelled or garbled one moves nothing; short texts, and languages with few such documents, are allowed more.
+Calibration documents are kept out of the counts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ TRAIN_CHARS = 16_000_000  # documented bound of the labelled sample: characters,
 CALIBRATION = 5  # one labelled document in so many
 SCORED_CHARS = 1 << 18  # characters scored at once
 SPREAD_CHARS = 400  # from this length on, longer texts are not expected to vary less
-MARGIN = 1.5
+QUANTILE = 0.99
+SPREADS = 60  # robust standard deviations allowed above the quantile: texts of one language differ by topic and style
+LEAST_SPREAD = 0.01  # nats
 SLACK = 4.0  # nats allowed besides when one document calibrates; less with more of them
 UNKNOWN = "und"
 
@@ -110,7 +114,7 @@ class Model:
     backoffs: dict[int, np.ndarray]
     unseen: np.ndarray
     usual: np.ndarray
-    limit: float
+    limit: np.ndarray
     sharpness: float
 
     def log_rows(self, chars: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -167,7 +171,7 @@ class Model:
         names = np.array(self.languages, dtype=object)[best]
         names[none] = UNKNOWN
         return pd.DataFrame(
-            {"lang": names, "score": np.where(none, 0.0, score), "rejected": none | (excess > self.limit)}
+            {"lang": names, "score": np.where(none, 0.0, score), "rejected": none | (excess > self.limit[best])}
         )
 
 
@@ -219,7 +223,7 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         {n: backoffs[n][contexts[n].order].astype(np.float32) for n in backoffs},
         unseen,
         np.zeros(len(languages)),
-        np.inf,
+        np.full(len(languages), np.inf),
         1.0,
     )
 
@@ -275,6 +279,14 @@ def train(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model | None:
     return _calibrated(spark, model, taken.where(held_back))
 
 
+def allowed(excess: np.ndarray) -> float:
+    """The excess up to which a text is kept, given that of calibration documents of one language."""
+    if not len(excess):
+        return SLACK
+    spread = 1.4826 * np.median(np.abs(excess - np.median(excess)))
+    return float(max(np.quantile(excess, QUANTILE), 0.0) + SPREADS * max(spread, LEAST_SPREAD) + SLACK / np.sqrt(len(excess)))
+
+
 def _calibrated(spark: SparkSession, model: Model, rows: DataFrame) -> Model:
     """Set what is usual, the limit of rejection and the sharpness of scores on documents the counts do not hold."""
     given, names = shared(spark, model), model.languages
@@ -297,7 +309,8 @@ def _calibrated(spark: SparkSession, model: Model, rows: DataFrame) -> Model:
         mine = own[truth == j]
         model.usual[j] = np.median(mine) if len(mine) else np.median(own)
     excess = (own - model.usual[truth]) * np.sqrt(np.minimum(n, SPREAD_CHARS) / SPREAD_CHARS)
-    model.limit = float(max(excess.max(), 0.0) * MARGIN + SLACK / np.sqrt(len(excess)))
+    right = np.argmin(h, axis=1) == truth
+    model.limit = np.array([allowed(excess[right & (truth == j)]) for j in range(len(names))])
     tried = 2.0 ** np.arange(-2, 8)
     gap = h - own[:, None]
     loss = [np.log(np.exp(np.minimum(-s * gap, 700)).sum(axis=1)).mean() for s in tried]

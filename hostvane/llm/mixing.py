@@ -25,7 +25,8 @@ BLOCK_DOCS = 256
 SLICE_DIGITS = 2  # leading hex digits of a block's place: 256 slices of a pass
 POINTS = 15  # exponents tried in one pass over the sources: four bisections at once
 PASSES = 9
-HIGHEST = 16.0
+HIGHEST = 16.0  # exponents are looked for up to here, and up to LAST if that is not enough
+LAST = 1024.0
 DIGITS = 6  # decimals of the exponent
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -100,7 +101,7 @@ def plan(
     (1); or ``max_repeats``, the most even weights that repeat no source more often. ``budget`` is in tokens, or "all"
     for as many as the corpus has; without it the budget is the least at which every document appears at least once.
 
-    Null and empty sources are one source. Sources without tokens stay as they are. Rows repeating a doc_id share their
+    An entropy that no exponent up to LAST reaches is refused. Null and empty sources are one source. Sources without tokens stay as they are. Rows repeating a doc_id share their
     fate, so a cut may pass the budget by such rows. An empty table gives an empty plan.
     """
     if sum(x is not None for x in (evenness, entropy, max_repeats)) != 1:
@@ -130,7 +131,13 @@ def plan(
         if evenness is not None:
             own = _evaluated(shares, [1.0])[0][0]
             wanted = own + evenness * (math.log(busy) - own)
-        a = _bisected(shares, lambda h, most, least: h > wanted, 0.0, HIGHEST)
+        high = HIGHEST
+        while high < LAST and _evaluated(shares, [high])[0][0] > wanted:
+            high *= 2
+        reach = [_evaluated(shares, [x])[0][0] for x in (high, 0.0)]
+        if entropy is not None and not reach[0] - 1e-9 <= wanted <= reach[1] + 1e-9:
+            raise ValueError(f"entropy must be between {reach[0]} and {reach[1]} for these sources, got {wanted}")
+        a = _bisected(shares, lambda h, most, least: h > wanted, 0.0, high)
     z, size = 1.0, 0
     if busy:
         z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0]

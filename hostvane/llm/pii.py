@@ -16,12 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostvane.llm.workers import shared, slices
+from hostvane.operators.toprows import top_rows
+from hostvane.session import materialize
 
 KINDS = ["email", "ip", "card", "phone"]
 MAX_TOKENS = 20
@@ -32,7 +33,8 @@ SPOTS_A_KIND = 60
 SPOTS_WITHOUT = 300
 ROUNDS = 100
 PENALTY = 0.02
-SPOT_CHARS = 400
+SPOT_CHARS = 400  # how far a word is followed at once
+SPOT_TOKENS = 8 * MAX_TOKENS  # longer stretches are looked at in overlapping windows
 SPOTS_AT_ONCE = 500
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -132,8 +134,8 @@ def _word_end(text: str, at: int, most: int) -> int:
     return at
 
 
-def spots(text: str) -> list[tuple[int, int]]:
-    """Stretches of words with a trigger, and one word before and after; long ones are cut."""
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Stretches of words with a trigger, and one word before and after."""
     out: list[list[int]] = []
     hit = TRIGGER.search(text)
     while hit:
@@ -146,14 +148,36 @@ def spots(text: str) -> list[tuple[int, int]]:
         while b < most and text[b].isspace():
             b += 1
         b = _word_end(text, b, most)
-        if out and a <= out[-1][1] and b - out[-1][0] <= SPOT_CHARS:
+        if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
-            out.append([max(a, out[-1][1] if out else 0), b])
+            out.append([a, b])
         hit = TRIGGER.search(text, max(end, hit.end()))
     return [(a, b) for a, b in out if a < b]
 
 
+def spots(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, from, to): windows over all stretches, and where segments of theirs may begin.
+
+    Windows of one stretch overlap so far that every segment lies whole in the window in whose part it begins, with
+    MAX_TOKENS tokens before it.
+    """
+    out = []
+    for a, b in stretches(text):
+        if b - a <= SPOT_TOKENS:
+            out.append((a, b, a, b))
+            continue
+        begin = [m.start() for m in TOKEN.finditer(text, a, b)]
+        step = SPOT_TOKENS - 2 * MAX_TOKENS
+        for k in range(0, max(1, len(begin) - 2 * MAX_TOKENS), step):
+            last = k + SPOT_TOKENS >= len(begin)
+            end, to = (b, b) if last else (begin[k + SPOT_TOKENS], begin[k + SPOT_TOKENS - MAX_TOKENS])
+            out.append((begin[k], end, begin[k + MAX_TOKENS] if k else a, to))
+            if last:
+                break
+    return out
+
+
 @dataclass
 class Segments:
     """Candidate segments of many spots: token bounds, spot, and a row of features each."""
@@ -361,18 +385,20 @@ class Finder:
         exact = [exact_spans(t) for t in texts]
         added: list[list[Span]] = [[] for _ in texts]
         if self.weights is not None:
-            every = [(k, a, b) for k, t in enumerate(texts) for a, b in spots(t)]
+            every = [(k, *spot) for k, t in enumerate(texts) for spot in spots(t)]
             for at in range(0, len(every), SPOTS_AT_ONCE):
                 self._add(texts, every[at : at + SPOTS_AT_ONCE], exact, added)
         return list(zip(exact, added))
 
     def _add(self, texts, part, exact, added) -> None:
-        seg = segments([texts[k][a:b] for k, a, b in part])
+        seg = segments([texts[k][a:b] for k, a, b, _, _ in part])
         scores, probable = seg.x @ self.weights, None
         for s, rows in enumerate(_rows_of(seg)):
-            k, a, _ = part[s]
+            k, a, _, least, most = part[s]
             for r in best(seg, s, rows, scores):
                 start, end = a + int(seg.starts[seg.first[r]]), a + int(seg.ends[seg.last[r] - 1])
+                if not least <= start < most or (added[k] and start < added[k][-1][2]):
+                    continue  # another window decides, or has decided
                 if any(start < e and b < end for b, _, e in exact[k]):
                     continue
                 if probable is None:
@@ -392,7 +418,7 @@ def _training_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for text in batch.column(0).to_pylist():
             exact = exact_spans(text or "")
             near = sorted(spots(text or ""), key=lambda ab: hashlib.md5(text[ab[0] : ab[1]].encode("utf-8", "replace")).digest())
-            for a, b in near[:SPOTS_A_DOC]:
+            for a, b, _, _ in near[:SPOTS_A_DOC]:
                 mine, end = [], a
                 for s, kind, e in exact:
                     if end <= s and e <= b:  # without overlap
@@ -427,11 +453,13 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray | None:
     if n > train_docs:
         slim = slim.where(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1_000_000)) / F.lit(1e6) < train_docs / n)
     near = slim.mapInArrow(_training_spots, "kinds string, text string, spans array<long>")
-    spot = near.dropDuplicates(["text"]).toPandas()
-    spot["order"] = [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in spot["text"]]
-    spot = spot.sort_values("order")
-    plain = spot["kinds"] == ""
-    taken = pd.concat([spot[~plain].groupby("kinds").head(SPOTS_A_KIND), spot[plain].head(SPOTS_WITHOUT)])
+    near = materialize(near.dropDuplicates(["text"]).withColumn("order", F.md5("text")), "pii-spots")
+    order = [F.col("order"), F.col("text")]
+    some = top_rows(near.where("kinds != ''"), ["kinds"], order, SPOTS_A_KIND).unionByName(
+        top_rows(near.where("kinds = ''"), ["kinds"], order, SPOTS_WITHOUT)
+    )
+    taken = some.toPandas()  # at most SPOTS_A_KIND of every set of kinds, and SPOTS_WITHOUT
+    taken = taken.iloc[np.lexsort((taken["order"], taken["kinds"] == ""))]
     spans = [[tuple(map(int, s[k : k + 3])) for k in range(0, len(s), 3)] for s in taken["spans"]]
     return train_spots(list(taken["text"]), spans) if any(spans) else None
 

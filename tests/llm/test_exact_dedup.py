@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from corpus_fixtures import make  # noqa: F401
+from hostvane.llm import exact_dedup as E
 from hostvane.llm.exact_dedup import build, exact_duplicates
 
 ROWS = [
@@ -47,3 +48,18 @@ def test_directory_covers_every_key_and_bounds_buckets(make):  # noqa: F811
     # a bucket is the leading bits of its keys, and half its range would not do
     for p in pages:
         assert (p["key"] % (1 << 64)) >> (64 - p["depth"]) == p["bucket"]
+
+
+def test_a_large_index_has_larger_buckets(make, monkeypatch):  # noqa: F811
+    """No bucket stays overfull when there are more keys than the directory has room for."""
+    monkeypatch.setattr(E, "BUCKET_KEYS", 5)
+    rows = [(i, f"text {i}") for i in range(1000)]
+    index = build(make(rows), max_depth=5)  # 32 cells of about 31 keys
+    held = {(r["depth"], r["bucket"]): r["count"] for r in index.pages.groupBy("depth", "bucket").count().collect()}
+    assert sum(held.values()) == 1000 and max(held.values()) <= 125
+    assert sorted(map(tuple, exact_duplicates(make(rows), max_depth=5).collect()), key=str) == brute(rows)
+
+
+def test_lookup_stays_inside_the_bucket(make):  # noqa: F811
+    plan = exact_duplicates(make(ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "depth#" in plan.split("Join Inner", 1)[1].split("\n")[0] and "bucket#" in plan.split("Join Inner", 1)[1].split("\n")[0]

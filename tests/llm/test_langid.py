@@ -125,3 +125,39 @@ def test_held_out_accuracy(spark, tables):  # noqa: F811
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
     held = [r for r in QUERIES["op9_language_id"](spark, tables).collect() if r.held_out]
     assert len(held) > 20 and sum(docs[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.97
+
+
+def test_limits_by_language():
+    """Wrongly labelled calibration documents, and those of other languages, move no limit."""
+    rng = np.random.default_rng(5)
+    usual = np.abs(rng.normal(0, 0.02, 400))
+    alone = L.allowed(usual)
+    assert 0.5 < alone < 2 and L.allowed(np.append(usual, 7.0)) == pytest.approx(alone, abs=0.05)
+    assert L.allowed(usual[:1]) > L.allowed(usual[:10]) > alone and L.allowed(usual[:0]) == L.SLACK
+
+
+def test_unlearned_languages_are_rejected_despite_wrong_labels(make):  # noqa: F811
+    rng = random.Random(2)
+    words = {
+        "de": "der die und nicht das ist ein eine mit auf für sich dem den von werden haben auch nach wie über".split(),
+        "en": "the and of was that have with this from they which would their there about other into than them".split(),
+    }
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for i, lang in enumerate(["de", "en"] * 400)]
+    wrong = [(5000 + i, " ".join(rng.choice(words["de"]) for _ in range(60)), "en") for i in range(12)]
+    strange = ["Questo è un testo scritto in italiano che parla di cose normali. " * 5, "xqzv kjwh pqrtz bvxk zzqp wkjx qqv " * 12]
+    asked = [(9000 + k, t, None) for k, t in enumerate(strange)]
+    for extra in ([], wrong):
+        docs = make([*rows, *extra, *asked])
+        model = L.train(docs.where("doc_id < 9000"))
+        got = {r.doc_id: r for r in L.identify(docs).collect()}
+        assert [got[i].rejected for i, _, _ in asked] == [True, True]
+        assert not any(got[i].rejected for i, _, _ in rows)
+        # the answer is that of the model's own entropies
+        h, n = model.entropies([t for _, t, _ in rows[:40]])
+        best = h.argmin(axis=1)
+        assert [model.languages[j] for j in best] == [lang for _, _, lang in rows[:40]]
+        told = model.predict([t for _, t, _ in rows[:40]])
+        share = np.exp(-model.sharpness * h)
+        assert np.allclose(told["score"], share.max(axis=1) / share.sum(axis=1))
+        excess = (h.min(axis=1) - model.usual[best]) * np.sqrt(np.minimum(n, L.SPREAD_CHARS) / L.SPREAD_CHARS)
+        assert (told["rejected"] == (excess > model.limit[best])).all()

@@ -60,7 +60,9 @@ def test_every_document_appears_and_none_too_often(make):  # noqa: F811
     assert {(i, t) for i, t, _, _ in corpus()} == set(seen)
     told = weights_of(mix)
     repeats = {s: r["quota"] / r["tokens"] for s, r in told.items() if r["tokens"]}
-    assert repeats["small0"] == pytest.approx(2.5, abs=0.02) and max(repeats.values()) <= 2.5
+    smallest = min((s for s in repeats), key=lambda s: told[s]["tokens"])  # the one that hits the limit
+    p = {s: told[s]["weight"] / told[s]["tokens"] for s in repeats}
+    assert p[smallest] / min(p.values()) == pytest.approx(2.5, abs=0.02) and max(repeats.values()) <= 2.5
     assert max(seen.values()) <= 3 and told["big"]["full"] == 1
 
 
@@ -80,3 +82,15 @@ def test_one_source_empty_table_and_bad_calls(make):  # noqa: F811
     assert M.mixed(blank, max_repeats=2.0).count() == 2
     with pytest.raises(ValueError):
         M.plan(one, evenness=0.5, entropy=1.0)
+
+
+def test_entropies_out_of_reach_are_refused(make):  # noqa: F811
+    two = make([(i, "a b", "en", "s" if i % 11 else "t") for i in range(2100)])
+    near = make([(i, "a b", "en", "s" if i < 52 else "t") for i in range(100)])
+    for docs, entropy in ((two, 0.001), (near, 0.1)):  # the second needs an exponent beyond the first bracket
+        told = weights_of(M.plan(docs, entropy=entropy, budget="all"))
+        p = [r["weight"] for r in told.values()]
+        assert -sum(x * math.log(x) for x in p if x) == pytest.approx(entropy, abs=1e-3)
+    for entropy in (-0.1, 0.8):
+        with pytest.raises(ValueError, match="entropy must be between"):
+            M.plan(two, entropy=entropy)

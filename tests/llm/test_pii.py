@@ -48,6 +48,47 @@ def test_long_runs_are_fast():
         P.Finder(None).find([text])
 
 
+def test_long_runs_of_zeros():
+    zeros = "0" * 10_000
+    for text in (f"{zeros}.1.2.3", f"1.{zeros}.2.3", f"1.2.3.{zeros}7", f"1.2.3.{zeros}256 x", f"{zeros}999.1.2.3"):
+        spans = [s for s in P.exact_spans(text) if s[1] == 1]
+        value = re.search("[1-9][0-9]*", text.split(".")[0] if text.startswith("0") else text.split(".")[-1].split()[0])
+        assert spans == ([] if value and int(value.group()) > 255 else [(0, 1, len(text.split()[0]))])
+
+
+def test_windows_of_a_stretch_hold_every_segment_whole():
+    rng = random.Random(8)
+    for _ in range(30):
+        text = " ".join(rng.choice(["12", "a@b.c", "(30)", "0049", "1.2.3.4", "x"]) for _ in range(rng.randrange(1, 400)))
+        parts = P.spots(text)
+        begin = [m.start() for m in P.TOKEN.finditer(text)]
+        for a, b in P.stretches(text):
+            mine = [p for p in parts if a <= p[0] and p[1] <= b]
+            assert mine[0][2] == a and mine[-1][3] == b and all(x[3] == y[2] for x, y in zip(mine, mine[1:]))
+            for start, end, least, most in mine:
+                assert start <= least < most <= end
+                last = [k for k in begin if least <= k < most][-1]
+                after = [*[k for k in begin if k > last], len(text)]
+                assert after[min(P.MAX_TOKENS, len(after)) - 1] <= end or end == b  # the longest segment from there
+
+
+def test_no_number_is_split_in_a_long_row_of_them(make):  # noqa: F811
+    """The field finds numbers it was shown rewritten; in a row of 200, no window cuts one."""
+    rng = random.Random(3)
+    number = lambda: f"({rng.randrange(10, 99)}) {rng.randrange(1000, 9999)} {rng.randrange(1000, 9999)}"
+    known = [f"call +49 {number()} today or write" for _ in range(80)] + [f"in {rng.randrange(1000)} of {rng.randrange(99)} cases" for _ in range(300)]
+    row, places, at = [], [], 0
+    for _ in range(200):
+        one = f"0049 {number()}"
+        row.append(one)
+        places.append((at, at + len(one)))
+        at += len(one) + len(" and ")
+    weights = P.train(make(list(enumerate(known))))
+    (_, added), = P.Finder(weights).find([" and ".join(row)])
+    got = {(a, b) for a, _, b in added}
+    assert got <= set(places) and len(got) >= 0.9 * len(places)
+
+
 def test_marginals_and_best_against_enumeration():
     seg = P.segments(["a 1.2 @b", "x 12", "no"])
     scores = np.random.default_rng(0).normal(size=(len(seg.x), len(P.KINDS)))

@@ -91,4 +91,25 @@ def test_odd_rows(spark, make, tables):  # noqa: F811
             docs = materialize(stage(spark, docs, tables), "odd")
             assert docs.columns == columns
         out = C.STAGES[-1][1](spark, docs, tables).collect()
-        assert {r["doc_id"] for r in out} == ({1, None, 4, 5} if n else set())
+        # row 1 stays of its equals, rows None and 6 as the texts of their own that they are
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == ([(False, 1), (False, 1), (False, 5), (True, 0)] if n else [])
+
+
+def test_rows_that_share_an_id_or_have_none_are_documents(spark, make, tables):  # noqa: F811
+    """Rows, not ids: every group of near-duplicates keeps one row, and no text is lost without a link."""
+    rng = np.random.default_rng(4)
+    base = [" ".join(rng.choice(["a", "bb", "ccc", "dd", "e", "ff"], 40)) + f" {k} {k * 7} z{k}" for k in range(12)]
+    rows = [(i, base[k], "en", s) for k in range(12) for i, s in ((1, "a"), (None, "b"), (k % 3, "c"), (1, "a"))]
+    rows += [(None, None, "en", "a"), (7, "", "en", "a"), (None, "same without a name", None, None)] * 2
+    docs = make(rows)
+    kept = C.near_duplicates(spark, docs, tables)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    label = linked_within([fingerprint(r[1]) for r in rows], 3)
+    assert len(got) == len(set(label))
+    place = {}
+    for row, l in zip(rows, label):
+        place.setdefault(l, []).append((row[0] is None, row[0] or 0))
+    of = {(r[0], r[1]): l for r, l in zip(rows, label)}
+    assert sorted(of[g] for g in got) == sorted(set(label))
+    assert all((g[0] is None, g[0] or 0) == min(place[of[g]]) for g in got)
