@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 The tables beside ``documents`` are read from ``sf_dir``. Stages judge rows by their own text or doc_id; other
-columns are passed on untouched. Rows with a null doc_id are kept by the near-duplicate stage, and an empty
+columns are passed on untouched. Rows that share a doc_id or have none are separate documents, and an empty
 table stays empty throughout.
 """
 
@@ -26,24 +26,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(~predict(F.col("text").cast("string"))["rejected"])
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """Of rows that repeat a doc_id, the least stays. Null doc_ids are not compared."""
-    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return docs
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    again = join_checked(docs, repeated, ["doc_id"], "left_semi", stored=True)
-    least = again.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("least")).select("least.*")
-    rest = join_checked(docs, repeated, ["doc_id"], "left_anti", stored=True)
-    return materialize(rest.select(*names).unionByName(least), "single-ids")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """(``docs`` with a number for each row, its column, whether that is the doc_id itself).
+
+    Rows that share a doc_id, or have none, are rows of their own: only then all rows are written with new numbers.
+    """
+    name = "row_number"
+    while name in docs.columns:
+        name += "_"
+    unnamed = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    if unnamed.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name, True
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name, False
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id."""
-    single = one_row_per_id(docs)
-    grouped = simhash.near_duplicates(single)
-    dropped = grouped.where("doc_id != component_id").select("doc_id")
-    return join_checked(single, dropped, ["doc_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near-duplicates, the row with the smallest doc_id; of several, and without one, any one of the least text."""
+    rows, number, named = numbered(docs)
+    grouped = simhash.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
+    if not named:
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(number))
+        member = grouped.select(F.col("doc_id").alias(number), "component_id")
+        member = rows.select(number, order.alias("place")).join(member, number)
+        least = member.groupBy("component_id").agg(F.min("place").getField(number).alias("stays"))
+        grouped = member.join(least, "component_id").select(F.col(number).alias("doc_id"), F.col("stays").alias("component_id"))
+    dropped = grouped.where("doc_id != component_id").select(F.col("doc_id").alias(number))
+    return join_checked(rows, dropped, [number], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
