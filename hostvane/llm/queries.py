@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from hostvane.llm import decontaminate, exact_dedup, langid, licenses, mixing, pii, quality, simhash, token_files, url_filter
+from hostvane.llm import (
+    decontaminate,
+    exact_dedup,
+    langid,
+    licenses,
+    mixing,
+    phrases,
+    pii,
+    quality,
+    simhash,
+    token_files,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +106,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+@query("op11_phrases", phrases.oracle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
