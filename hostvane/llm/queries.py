@@ -10,6 +10,7 @@ import corpus_pipeline
 from hostvane.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     langid,
     licenses,
     mixing,
@@ -18,6 +19,7 @@ from hostvane.llm import (
     quality,
     simhash,
     token_files,
+    toxicity,
     url_filter,
 )
 
@@ -111,6 +113,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_hard_negatives", hard_negatives.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.from_embeddings(table(spark, sf_dir, "embeddings")))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
