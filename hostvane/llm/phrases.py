@@ -11,10 +11,12 @@ and tabs. Everything is counted per language.
    the reversed transform inside a phrase's interval are the words that follow it, so counting them gives all longer phrases
    at once, with their intervals in both indexes. The symbols before and after a phrase tell how often it extends at
    all. Depth is limited, so sorting by that many words is enough.
-3. Counts are summed across shards. Every phrase is scored by its worst cut into two known phrases.
+3. Every shard deals its phrases out to buckets by hash, packed as sorted columns; a bucket's counts are summed across
+shards. Every phrase is scored by its worst cut into two known phrases.
 
 Only the numbers of words and phrases are shuffled, each once per shard; a word that fills a third of the
-corpus is one dictionary entry per shard. No count is dropped before it is summed.
+corpus is one dictionary entry per shard. No count is dropped before it is summed. There are as many buckets as the
+corpus has words for, so none grows with it.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ TOP = 2000
 CONTAINED_PERCENT = 50
 SCALE = 1_000_000
 UNKNOWN = "und"
-BLOCK_BYTES = 12 << 20  # text held by a task at once; a block has at most as many words
+BLOCK_BYTES = 8 << 20  # text held by a task at once; a block has at most as many words
+BUCKET_PHRASES = 2_000_000  # counts of phrases that are summed at once, at most
 LOCAL_BITS = 32
 # What ends a piece, and what stands between words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -92,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local = pa.array(np.arange(len(found)), pa.int64())
             text = found.cast(pa.large_string()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), shard)), local, spoken, text, pa.array(n), none], names)
-            whole = [[shard], [-1], [lang], [None], [None], [pack(sequence.tobytes())]]
+            whole = [[shard], [-1], [lang], [None], [len(numbers)], [pack(sequence.tobytes())]]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(whole, kinds)], names)
             shard += 1
@@ -201,50 +204,106 @@ def enumerate_phrases(symbols: np.ndarray, depth: int) -> Iterator[tuple[np.ndar
         low, back, size = low[parent] + inner[longer], rank[row[first[longer]]], many[longer]
 
 
-def _count_phrases(max_words: int):
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+def _planes(column: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: most are alike."""
+    return column.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def packed(columns: list[np.ndarray], compress) -> bytes:
+    return compress(b"".join(_planes(c) for c in columns))
+
+
+def unpacked(blob, columns: int, decompress) -> np.ndarray:
+    """What was ``packed`` (columns x rows)."""
+    planes = np.frombuffer(decompress(blob), np.uint8).reshape(columns, 4, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(columns, -1)
+
+
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = np.zeros(len(ids), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ids.shape[1]):
+            mixed = (mixed ^ ids[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
+def _count_phrases(max_words: int, buckets: int):
+    kinds, names = [pa.int64(), pa.int32(), pa.binary()], ["bucket", "words", "counts"]
 
     def counted(sequences: pa.Table, numbers: pa.Table) -> pa.Table:
         import zstandard
 
-        empty = pa.table([pa.array([], k) for k in kinds], names=["phrase", "n", "after_word", "before_word"])
-        if not sequences.num_rows or not numbers.num_rows:
-            return empty
-        sequence = np.frombuffer(zstandard.ZstdDecompressor().decompress(sequences.column("numbers")[0].as_buffer()), np.uint32)
-        local, ids = numbers.column("local").to_numpy(), numbers.column("word_id").to_numpy()
-        symbol = np.full(int(sequence.max()) + 1, RARE, np.int64)
-        symbol[0] = BORDER
-        symbol[local + 1] = RARE + 1 + np.arange(len(local))
-        symbols = symbol[sequence]
-        again = np.zeros(len(symbols), dtype=bool)
-        again[1:] = (symbols[1:] == symbols[:-1]) & (symbols[1:] <= RARE)
-        symbols = np.append(symbols[~again], BORDER)
-        parts = []
-        for phrase, n, after_word, before_word in enumerate_phrases(symbols, max_words):
-            if phrase.shape[1] > 1:
-                spelled = np.ascontiguousarray(ids[phrase - RARE - 1].astype(">u4"))
-                width = 4 * phrase.shape[1]
-                bounds = pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32))
-                keys = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, bounds, pa.py_buffer(spelled.tobytes())])
-                parts.append(pa.table([keys, pa.array(n), pa.array(after_word), pa.array(before_word)], names=empty.column_names))
-        return pa.concat_tables(parts) if parts else empty
+        out = [[], [], []]
+        if sequences.num_rows and numbers.num_rows:
+            compress = zstandard.ZstdCompressor(level=1).compress
+            sequence = np.frombuffer(zstandard.ZstdDecompressor().decompress(sequences.column("numbers")[0].as_buffer()), np.uint32)
+            local, ids = numbers.column("local").to_numpy(), numbers.column("word_id").to_numpy()
+            order = np.argsort(ids)  # symbols in the order of words everywhere, so phrases come sorted
+            local, ids = local[order], ids[order]
+            symbol = np.full(int(sequence.max()) + 1, RARE, np.int64)
+            symbol[0] = BORDER
+            symbol[local + 1] = RARE + 1 + np.arange(len(local))
+            symbols = symbol[sequence]
+            again = np.zeros(len(symbols), dtype=bool)
+            again[1:] = (symbols[1:] == symbols[:-1]) & (symbols[1:] <= RARE)
+            symbols = np.append(symbols[~again], BORDER)
+            for phrase, n, after_word, before_word in enumerate_phrases(symbols, max_words):
+                if phrase.shape[1] < 2:
+                    continue
+                spelled = ids[phrase - RARE - 1]
+                where = _bucket(spelled, buckets)
+                dealt = np.argsort(where, kind="stable")
+                bounds = np.searchsorted(where[dealt], np.arange(buckets + 1))
+                columns = [*spelled[dealt].T, n[dealt], after_word[dealt], before_word[dealt]]
+                for k in np.flatnonzero(np.diff(bounds)):
+                    out[0].append(k)
+                    out[1].append(phrase.shape[1])
+                    out[2].append(packed([c[bounds[k] : bounds[k + 1]] for c in columns], compress))
+        return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
     return counted
 
 
+def _sum_counts(min_count: int):
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def summed(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        decompress, words = zstandard.ZstdDecompressor().decompress, table.column("words")[0].as_py()
+        every = np.hstack([unpacked(b.as_buffer(), words + 3, decompress) for b in table.column("counts")])
+        ids, numbers = every[:words], every[words:]
+        order = np.lexsort(ids[::-1])
+        ids = ids[:, order]
+        first = np.flatnonzero(np.append(True, (ids[:, 1:] != ids[:, :-1]).any(axis=0)))
+        sums = np.add.reduceat(numbers[:, order].astype(np.int64), first, axis=1)
+        kept = sums[0] >= min_count
+        ids, sums = np.ascontiguousarray(ids[:, first[kept]].T.astype(">u4")), sums[:, kept]
+        bounds = pa.py_buffer((np.arange(len(ids) + 1) * 4 * words).astype(np.int32))
+        keys = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, bounds, pa.py_buffer(ids.tobytes())])
+        return pa.table([keys, *map(pa.array, sums)], schema=pa.schema(list(zip(["phrase", "n", "after_word", "before_word"], kinds))))
+
+    return summed
+
+
 def phrase_counts(written: DataFrame, numbers: DataFrame, max_words: int, min_count: int) -> DataFrame:
     """(phrase, n, after_word, before_word): phrases of 2 to ``max_words`` words with their counts over all shards.
 
     ``phrase`` holds the numbers of its words, four bytes each. ``after_word`` and ``before_word``: occurrences that follow a word
     of their piece, and that one follows.
     """
-    sequences = written.where("numbers IS NOT NULL").select("shard", "numbers")
-    schema = "phrase binary, n long, after_word long, before_word long"
-    parts = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = sequences.repartition(max(parts, 64), "shard").groupBy("shard")
-    counted = own.cogroup(numbers.repartition(max(parts, 64), "shard").groupBy("shard")).applyInArrow(_count_phrases(max_words), schema)
-    summed = counted.groupBy("phrase").agg(*[F.sum(c).alias(c) for c in ("n", "after_word", "before_word")])
-    return materialize(summed.where(F.col("n") >= min_count), "phrase-counts")
+    sequences = written.where("numbers IS NOT NULL").select("shard", "numbers", "n")
+    shards, words = sequences.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    buckets = max(1, -(-words // BUCKET_PHRASES))  # phrases of one length are at most as many as words
+    tasks = max(int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // 4))
+    own = sequences.select("shard", "numbers").repartition(tasks, "shard").groupBy("shard")
+    counted = own.cogroup(numbers.repartition(tasks, "shard").groupBy("shard")).applyInArrow(
+        _count_phrases(max_words, buckets), "bucket long, words int, counts binary"
+    )
+    placed = counted.repartition(buckets * (max_words - 1), "bucket", "words").groupBy("bucket", "words")
+    summed = placed.applyInArrow(_sum_counts(min_count), "phrase binary, n long, after_word long, before_word long")
+    return materialize(summed, "phrase-counts")
 
 
 def word_at(phrase: Column, k: int) -> Column:

@@ -64,9 +64,10 @@ def test_other_parameters(make, options):  # noqa: F811
     assert sorted(map(tuple, P.collocations(make(rows), **options).collect())) == brute(rows, **own)
 
 
-def test_many_small_shards_give_the_same(make, monkeypatch):  # noqa: F811
+def test_many_small_shards_and_buckets_give_the_same(make, monkeypatch):  # noqa: F811
     rows = rows_of(random.Random(3), 100)
     monkeypatch.setattr(P, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(P, "BUCKET_PHRASES", 300)
     assert sorted(map(tuple, P.collocations(make(rows)).collect())) == brute(rows)
 
 
@@ -114,6 +115,17 @@ def test_sort_keys_of_wide_alphabets():
     assert [suffix(i) for i in order] == sorted(suffix(i) for i in range(300))
 
 
+def test_packed_columns_come_back():
+    import zstandard
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        columns = [rng.integers(0, 1 << 32, n, dtype=np.uint64) for _ in range(5)]
+        blob = P.packed(columns, zstandard.ZstdCompressor().compress)
+        back = P.unpacked(blob, 5, zstandard.ZstdDecompressor().decompress)
+        assert back.shape == (5, n) and all((a == b).all() for a, b in zip(columns, back))
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, l, r = 987_654_321_012, 987_654_321_013, 1_987_654_321_017
     df = spark.createDataFrame([(a, l, r), (10, 10, 10), (3, 7, 9)], "a long, l long, r long").select(P.floor_score("a", "l", "r").alias("s"))
