@@ -38,7 +38,7 @@ TOP = 2000
 CONTAINED_PERCENT = 50
 SCALE = 1_000_000
 UNKNOWN = "und"
-BLOCK_BYTES = 8 << 20  # text held by a task at once; a block has at most as many words
+BLOCK_BYTES = 3 << 20  # text held by a task at once; a block has at most as many words
 BUCKET_PHRASES = 2_000_000  # counts of phrases that are summed at once, at most
 LOCAL_BITS = 32
 # What ends a piece, and what stands between words.
