@@ -36,3 +36,9 @@ def at_least(value: int, low: int, what: str) -> int:
     if value < low:
         raise ValueError(f"{what} must be at least {low}, got {value}")
     return value
+
+
+def at_most(value: int, high: int, what: str) -> int:
+    if value > high:
+        raise ValueError(f"{what} must be at most {high}, got {value}")
+    return value

@@ -20,6 +20,9 @@ RUN = "run_id"
 LAG_POINTS = {"lag_p50": Quantile("lag", 0.5), "lag_p95": Quantile("lag", 0.95)}
 
 
+MAX_BINS = 100_000  # every run gets a row per bin
+
+
 def bucket_start(column: str, seconds: int):
     """Start of the epoch-aligned bucket of ``seconds`` that holds the timestamp."""
     return F.window(F.col(column), f"{seconds} seconds")["start"]
@@ -172,10 +175,12 @@ def histogram(
     """Zero-filled counts per run and bin, with the bin's edges.
 
     ``high <= low`` means each run's own range, taken before the filters. Rows outside
-    ``[low, high)`` are dropped; ``include_upper`` closes the last bin. As many bins are returned as are asked for.
+    ``[low, high)`` are dropped; ``include_upper`` closes the last bin. As many bins are returned as are asked for, and more
+    than MAX_BINS are refused.
     """
     checks.metric(metric)
     checks.at_least(bins, 1, "bins")
+    checks.at_most(bins, MAX_BINS, "bins")
     if high > low:
         edges = telemetry.select(RUN).distinct().select(
             RUN, F.lit(float(low)).alias("_lo"), F.lit(float(high)).alias("_hi")

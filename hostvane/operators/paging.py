@@ -12,8 +12,10 @@ from hostvane.functions.filters import Filters, apply_filters, time_literal
 from hostvane.operators.joins import join_checked
 from hostvane.operators.sequences import POSITION, number_by_ranges
 from hostvane.schemas import FEATURES
+from hostvane.session import materialize
 
 SHALLOW = 5_000
+POSITIONS_NAMED = 32
 RECORD_COLUMNS = (
     "record_id", "host_id", "metric_timestamp", *FEATURES,
     "is_anomaly", "anomaly_type", "region", "project_id", "labels",
@@ -129,7 +131,24 @@ def after_record(telemetry: DataFrame, last_record_id: int) -> DataFrame:
     return telemetry.where(F.col("record_id") > F.lit(last_record_id))
 
 
-def after_positions(telemetry: DataFrame, positions: DataFrame) -> DataFrame:
-    """Rows of every run past that run's saved ``last_record_id``; runs without one are read from the start."""
-    joined = join_checked(telemetry, positions.select("run_id", "last_record_id"), ["run_id"], "left")
-    return joined.where(F.col("record_id") > F.coalesce("last_record_id", F.lit(-1))).drop("last_record_id")
+def after_positions(telemetry: DataFrame, positions: DataFrame, named: int = POSITIONS_NAMED) -> DataFrame:
+    """Rows of every run past that run's saved ``last_record_id``; runs without one are read from the start.
+
+    The scan itself skips what was read before: up to ``named`` runs with a position are read by a scan of their own with
+    that bound, so finished partitions and row groups are not opened. Of more runs, the least position bounds one scan, and the others
+    are joined.
+    """
+    saved = positions.where("last_record_id IS NOT NULL").groupBy("run_id").agg(F.max("last_record_id").alias("last_record_id"))
+    saved = materialize(saved, "positions")
+    known, least = saved.agg(F.count(F.lit(1)), F.min("last_record_id")).first()
+    record, run = F.col("record_id"), F.col("run_id")
+    if known <= named:
+        rows = saved.collect()
+        out = telemetry.where(~run.isin([r["run_id"] for r in rows]) | run.isNull()) if rows else telemetry
+        for r in rows:
+            out = out.unionAll(telemetry.where((run == F.lit(r["run_id"])) & (record > F.lit(r["last_record_id"]))))
+        return out
+    everywhere = join_checked(telemetry.select("run_id").distinct(), saved, ["run_id"], "left_anti", stored=True).isEmpty()
+    rows = telemetry.where(record > F.lit(least)) if everywhere else telemetry
+    joined = join_checked(rows, saved, ["run_id"], "left", stored=True)
+    return joined.where(F.col("last_record_id").isNull() | (record > F.col("last_record_id"))).select(*telemetry.columns)

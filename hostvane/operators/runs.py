@@ -40,6 +40,25 @@ def list_runs(runs: DataFrame, id_column: str, limit: int = 50, offset: int = 0,
     return page(matching_runs(runs, **filters), [F.desc("created_at"), F.asc(id_column)], limit, offset)
 
 
+JOB_COLUMNS = ("job_id", "dataset_id", "model_run_id", "status", "total_rows", "processed_rows", "created_at")
+
+
+def list_score_jobs(jobs: DataFrame, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
+    """Score jobs newest first, with their progress counts. ``filters`` as in ``matching_runs``."""
+    return list_runs(jobs, "job_id", limit, offset, **filters).select(*JOB_COLUMNS)
+
+
+def score_job_progress(jobs: DataFrame, **filters) -> DataFrame:
+    """Per dataset and model: jobs, unfinished ones, rows scored of all, and their share (NULL without rows)."""
+    return matching_runs(jobs, **filters).groupBy("dataset_id", "model_run_id").agg(
+        F.count(F.lit(1)).alias("jobs"),
+        F.count_if(F.col("status").isin(*UNFINISHED)).alias("unfinished"),
+        F.sum("processed_rows").alias("processed_rows"),
+        F.sum("total_rows").alias("total_rows"),
+        F.try_divide(F.sum("processed_rows"), F.sum("total_rows")).alias("progress"),
+    )
+
+
 def list_inference_runs(
     inferences: DataFrame,
     models: DataFrame,

@@ -109,10 +109,14 @@ def fit_all_components(
     rows = df.select(*keys, *FEATURES)
     if preprocessed:
         rows = preprocess(rows, log1p_network)
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("fit", MODEL_SCHEMA)])
+    return rows, models_of(moments(rows, keys), keys, preprocessed, log1p_network)
+
+
+def models_of(found: DataFrame, keys: Sequence[str], preprocessed: bool = False, log1p_network: bool = False) -> DataFrame:
+    """(keys, ``fit``): one full-rank model per row of ``moments``, however these were found."""
+    schema = T.StructType([found.schema[k] for k in keys] + [T.StructField("fit", MODEL_SCHEMA)])
     options = {"preprocessed": preprocessed, "log1p_network": log1p_network}
-    usable = moments(rows, keys).where(F.col("n") >= 2)
-    return rows, materialize(usable.mapInPandas(_model_rows(keys, options), schema), "models")
+    return materialize(found.where(F.col("n") >= 2).mapInPandas(_model_rows(keys, options), schema), "models")
 
 
 def errors_by_components(rows: DataFrame, models: DataFrame, keys: Sequence[str], ks: Sequence[int]) -> DataFrame:
@@ -161,13 +165,21 @@ def train_models(
     preprocessed: bool = False,
     log1p_network: bool = False,
     group_rows: int = GROUP_ROWS,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """One model per group: keys and struct ``model``. All groups train in the same two passes."""
+    """One model per group: keys and struct ``model``. All groups train in the same two passes.
+
+    ``known`` moments of exactly these rows, such as ``rollups.merged_moments``, save the first pass.
+    """
     check_components(k)
     if not 0.0 <= percentile <= 100.0:
         raise ValueError("percentile must be between 0 and 100")
     source = telemetry.where(~F.col("is_anomaly")) if normal_only else telemetry
-    rows, models = fit_all_components(source, keys, preprocessed, log1p_network)
+    if known is None:
+        rows, models = fit_all_components(source, keys, preprocessed, log1p_network)
+    else:
+        rows, models = source.select(*keys, *FEATURES), models_of(known, keys, preprocessed, log1p_network)
+        rows = preprocess(rows, log1p_network) if preprocessed else rows
     errors = errors_by_components(rows, models, keys, [k])
     wanted = {"threshold": Quantile(f"err_{k}", percentile / 100.0, nearest=True)}
     thresholds = aggregate(errors, keys, [], wanted, group_rows, count_in=rows)

@@ -63,6 +63,27 @@ def stream_downsample(spark, sf_dir):
     return rounded(run_to_table(session, sf_dir, build, "series"))
 
 
+@query(
+    "stream_downsample_sketch",
+    with_ctes(
+        T,
+        select=f"""
+    SELECT run_id, {bucket(3600)} AS ts, count(*) AS count, round(count_if(is_anomaly) / count(*), 6) AS anomaly_rate,
+           round(quantile_disc(cpu_usage, 0.5), 6) AS cpu_usage_p50, round(quantile_disc(cpu_usage, 0.95), 6) AS cpu_usage_p95
+    FROM telemetry GROUP BY 1, 2""",
+    ),
+)
+def stream_downsample_sketch(spark, sf_dir):
+    """Quantiles from state of bounded size, which has every value of buckets as small as these."""
+    session = jobs.stream_session(spark)
+
+    def build(telemetry: DataFrame) -> DataFrame:
+        series = jobs.stream_series(telemetry, ["cpu_usage"], ["p50", "p95"], exact=False)
+        return series.withColumn("ts", jobs.zoneless("ts"))
+
+    return rounded(run_to_table(session, sf_dir, build, "sketched"))
+
+
 @query(
     "stream_scores",
     with_ctes(
@@ -104,7 +125,7 @@ def store_alerts(spark: SparkSession, sf_dir: str, path: str, sink: str, part: s
         return jobs.alerts_to_table(alerts, path, log, sink)
 
     to_the_end(spark, sf_dir, start)
-    done = jobs.read_alerts(spark, path, schema[0])
+    done = jobs.read_alerts(spark, path, schema[0]).drop("sink")
     return rounded(done.withColumn("timestamp", jobs.zoneless("timestamp")))
 
 

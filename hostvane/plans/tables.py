@@ -174,3 +174,39 @@ score_history AS (
   FROM lineitem
 )
 """
+
+
+def score_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One score job per order: which model scores which dataset, and how far it is."""
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(state == "O", "COMPLETED").when(state == "F", F.when(key % 5 == 0, "FAILED").otherwise("RUNNING")).otherwise("PENDING")
+    total = (key % 1000 + 1).cast("long")
+    named = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
+    rows = table(spark, sf_dir, "orders").withColumn("status", status).withColumn("total_rows", total)
+    done = F.when(F.col("status") == "COMPLETED", F.col("total_rows")).when(F.col("status") == "PENDING", F.lit(0))
+    return rows.select(
+        named("job-", key).alias("job_id"),
+        named("run-", F.col("o_custkey") % 50).alias("dataset_id"),
+        named("model-", key % 7).alias("model_run_id"),
+        "status",
+        "total_rows",
+        F.coalesce(done, F.floor(F.col("total_rows") / 3)).cast("long").alias("processed_rows"),
+        F.timestamp_add("SECOND", (key % 60).cast("int"), F.col("o_orderdate")).alias("created_at"),
+    )
+
+
+SCORE_JOBS_SQL = """
+score_jobs_base AS (
+  SELECT *, o_orderkey % 1000 + 1 AS total_rows,
+         CASE WHEN o_orderstatus = 'O' THEN 'COMPLETED' WHEN o_orderstatus <> 'F' THEN 'PENDING'
+              WHEN o_orderkey % 5 = 0 THEN 'FAILED' ELSE 'RUNNING' END AS status
+  FROM orders
+),
+score_jobs AS (
+  SELECT 'job-' || o_orderkey AS job_id, 'run-' || (o_custkey % 50) AS dataset_id, 'model-' || (o_orderkey % 7) AS model_run_id,
+         status, total_rows,
+         CASE status WHEN 'COMPLETED' THEN total_rows WHEN 'PENDING' THEN 0 ELSE total_rows // 3 END AS processed_rows,
+         o_orderdate + to_seconds(o_orderkey % 60) AS created_at
+  FROM score_jobs_base
+)
+"""

@@ -24,8 +24,9 @@ def read_telemetry(
     return df.where(F.col("run_id") == F.lit(run_id)) if run_id else df
 
 
-def write_telemetry(df: DataFrame, path: str, mode: str, file_rows: int = 5_000_000) -> None:
-    """Write rows under run and ingestion month.
+def write_telemetry(df: DataFrame, path: str, mode: str, file_rows: int = 5_000_000, lookups: bool = False) -> None:
+    """Write rows under run and ingestion month. With ``lookups``, every row group has a Bloom filter over record_id, so a search
+    for a record opens only the groups that may hold it.
 
     Rows are spread by ranges of (run, month, time, record), so a run or a month that holds most of the
     data is still written by many tasks, and each file covers a short span of time, which lets row-group
@@ -33,14 +34,10 @@ def write_telemetry(df: DataFrame, path: str, mode: str, file_rows: int = 5_000_
     """
     rows = df if "ingest_month" in df.columns else df.withColumn("ingest_month", ingest_month())
     order = [*PARTITIONS, "metric_timestamp", "record_id"]
-    (
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode(mode)
-        .option("maxRecordsPerFile", file_rows)
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
+    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("maxRecordsPerFile", file_rows)
+    if lookups:
+        writer = writer.option("parquet.bloom.filter.enabled#record_id", "true")
+    writer.partitionBy(*PARTITIONS).parquet(path)
 
 
 def append_telemetry(df: DataFrame, path: str) -> None:

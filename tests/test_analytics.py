@@ -103,7 +103,9 @@ def test_histogram_edges(regions):
     outside = analytics.histogram(regions, "cpu_usage", 4, 2.0, 6.0)
     assert rows_of(outside, "bin", "count") == [(0, 1), (1, 1), (2, 1), (3, 1)]
     assert analytics.histogram(regions.where("cpu_usage = 4"), "cpu_usage", 3).isEmpty()
-    assert counted(analytics.histogram(regions, "cpu_usage", 9000)) == 500
+    assert counted(analytics.histogram(regions, "cpu_usage", 9000)) == 9000
+    with pytest.raises(ValueError, match="at most"):
+        analytics.histogram(regions, "cpu_usage", analytics.MAX_BINS + 1)
 
 
 def test_histogram_range_ignores_filters(regions):

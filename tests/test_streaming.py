@@ -108,6 +108,46 @@ def test_idle_hosts_are_forgotten(feed, telemetry):
     assert all(remembered[500 + i] for i in range(6))
 
 
+def test_alerts_of_two_settings_on_one_record_are_two(spark, tmp_path):
+    kind = "host_id string, run_id string, timestamp timestamp, record_id long, severity string"
+    for sink, severity, batch in (("7", "HIGH", 0), ("b", "MEDIUM", 0), ("b", "MEDIUM", 1)):
+        row = spark.createDataFrame([("h", "r", START, 1, severity)], kind)
+        row.write.parquet(f"{tmp_path}/a/sink={sink}/batch={batch}")
+    got = jobs.read_alerts(spark, f"{tmp_path}/a", row.schema)
+    assert got.columns == [*row.columns, "sink"]
+    assert sorted((r["sink"], r["severity"]) for r in got.collect()) == [("7", "HIGH"), ("b", "MEDIUM")]
+
+
+def test_sketches_do_not_grow_with_rows_and_keep_their_error(spark):
+    sizes = {}
+    for n in (30_000, 400_000):
+        df = spark.range(n).selectExpr(f"CAST(pmod(xxhash64(id), {n}) AS DOUBLE) AS cpu_usage")
+        values = np.sort(df.toPandas()["cpu_usage"].to_numpy())
+        sketches, picks = jobs.sketch_columns(["cpu_usage"], ["p50", "p95"])
+        held = df.agg(*sketches)
+        sizes[n] = len(held.first()[0])
+        got = held.select(*[c.alias(name) for name, c in picks.items()]).first()
+        for name, p in (("cpu_usage_p50", 0.5), ("cpu_usage_p95", 0.95)):
+            assert abs(np.searchsorted(values, got[name], side="right") / n - p) < 2 * 1.7 / jobs.KLL_K**0.9
+    assert sizes[400_000] < 1.3 * sizes[30_000] < 100_000
+
+
+def test_sketched_series_is_exact_in_small_buckets(feed, telemetry):
+    rows = noisy(400)
+    for part in (rows[:500], rows[500:], [reading(END, seconds=END, host="late")]):
+        feed.add(part)
+    got = feed.table(lambda t: jobs.stream_series(t, ["cpu_usage"], ["p50", "p95", "max"], 600, "1 hour", exact=False))
+    seen = {(r["run_id"], r["ts"]): r for r in got.collect()}
+    want = {}
+    for r in rows:
+        want.setdefault(r["metric_timestamp"].replace(minute=r["metric_timestamp"].minute // 10 * 10, second=0, microsecond=0), []).append(r["cpu_usage"])
+    assert len(seen) == len(want)
+    for (_, ts), r in seen.items():
+        values = sorted(want[ts])
+        assert r["count"] == len(values) and r["cpu_usage_max"] == values[-1]
+        assert r["cpu_usage_p95"] == values[-(-95 * len(values) // 100) - 1] and r["cpu_usage_p50"] == values[-(-len(values) // 2) - 1]
+
+
 def test_alerts_of_two_streams_and_of_other_cuts_count_once(feed, telemetry):
     rows = noisy(60)
     for part in (rows[:80], rows[80:], [reading(END, seconds=END, host="late")]):
