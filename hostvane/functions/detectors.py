@@ -254,6 +254,13 @@ class GateSummary:
             place -= 1
         return self.exits[place]
 
+    def then(self, later: GateSummary, period_ms: int) -> GateSummary:
+        """The effect of this slice and the ``later`` one together."""
+        exits = [later.after(x, period_ms) for x in self.exits]
+        if self.forced:  # whatever came before, some row here runs
+            return GateSummary(self.times, exits, True)
+        return GateSummary(self.times + later.times, exits + later.exits, later.forced)
+
 
 def summarize_gate(times: np.ndarray, flagged: np.ndarray, period_ms: int) -> GateSummary:
     n = len(times)
@@ -288,6 +295,27 @@ class AlertSummary:
     needs: list[int]
     exits: list[int]
     counts: list[int]
+    sure: bool  # whether the last listed row fires if none before it does
+
+    def then(self, later: AlertSummary, cooldown_us: int) -> AlertSummary:
+        """The effect of this slice and the ``later`` one together."""
+        ends = [later.after(AlertState(c, x, self.last_position), cooldown_us) for c, x in zip(self.counts, self.exits)]
+        times, needs = list(self.times), list(self.needs)
+        exits, counts = [s.last_alert for s in ends], [s.count for s in ends]
+        joined = later.first_position == self.last_position + 1
+        for t, n, x, c in zip(later.times, later.needs, later.exits, later.counts) if not self.sure else ():
+            # Flags of this slice count for the later one if nothing lies between, and those before it if it is one run.
+            n = max(n - self.tail, 0) if joined else n
+            if n == 0 or (joined and self.unbroken):
+                times.append(t)
+                needs.append(n)
+                exits.append(x)
+                counts.append(c)
+        on = joined and later.unbroken
+        return AlertSummary(
+            self.first_position, later.last_position, later.tail + (self.tail if on else 0), on and self.unbroken,
+            times, needs, exits, counts, self.sure or later.sure,
+        )
 
     def after(self, state: AlertState, cooldown_us: int) -> AlertState:
         before = state.count if self.first_position == state.last_position + 1 else 0
@@ -319,7 +347,7 @@ def summarize_alerts(positions: np.ndarray, times: np.ndarray, cfg: AlertConfig)
     needs = np.maximum(needed - run[possible], 0)
     return AlertSummary(
         int(positions[0]), int(positions[-1]), int(run[-1]), opening == n,
-        times[possible].tolist(), needs.tolist(), times[end[possible]].tolist(), counts[possible].tolist(),
+        times[possible].tolist(), needs.tolist(), times[end[possible]].tolist(), counts[possible].tolist(), latest < n,
     )
 
 

@@ -30,7 +30,7 @@ from hostvane.functions.detectors import (
     z_details,
 )
 from hostvane.functions.features import preprocess
-from hostvane.functions.pca import score, score_details
+from hostvane.functions.pca import score
 from hostvane.operators.folds import run_fold
 from hostvane.operators.sequences import POSITION, SLICE, SLICE_ROWS, HostRows, for_hosts
 from hostvane.schemas import FEATURES, HOST_KEYS, TIME_ORDER
@@ -40,6 +40,7 @@ MICROS = "time_us"
 ERROR, MODEL_FLAG = "reconstruction_error", "predicted_is_anomaly"
 
 STATS_FIELDS = [("a_flag", T.BooleanType()), ("a_score", T.DoubleType())]
+B_TEXT = ("b_details", T.StringType())  # set for rows that raise an alert
 MODEL_FIELDS = [("b_ran", T.BooleanType()), ("b_flag", T.BooleanType()), ("b_score", T.DoubleType())]
 ALERT_FIELDS = [
     ("alert", T.BooleanType()),
@@ -90,6 +91,15 @@ def largest_flagged(z, above):
     return np.where(above, z, 0.0).max(axis=1)
 
 
+def model_texts(which, rows, threshold: float):
+    """What the model found in the rows ``which``: numbers to six significant digits."""
+    texts = np.full(len(rows["b_flag"]), None, dtype=object)
+    for i in which:
+        found = f"[B:PCA_RECON_ERR={rows['b_score'][i]:.6g} > {threshold:g}] " if rows["b_flag"][i] else ""
+        texts[i] = found + ("" if rows["b_ran"][i] else "[B:SKIPPED] ")
+    return texts
+
+
 class GateFold:
     """Run the model on flagged rows, and at least once per period."""
 
@@ -120,6 +130,9 @@ class GateFold:
     def follow(self, state, summary):
         return GateSummary(**json.loads(summary)).after(state, self.cfg.period_ms)
 
+    def compose(self, first, then):
+        return json.dumps(vars(GateSummary(**json.loads(first)).then(GateSummary(**json.loads(then)), self.cfg.period_ms)))
+
 
 class AlertFold:
     """Hysteresis and cooldown over flagged rows. Unflagged rows need not be given."""
@@ -129,8 +142,11 @@ class AlertFold:
     columns = (MICROS, "a_flag", "a_score", "b_flag", "b_score")
     result = _fields(*ALERT_FIELDS)
 
-    def __init__(self, cfg: AlertConfig):
-        self.cfg = cfg
+    def __init__(self, cfg: AlertConfig, threshold: float | None = None):
+        """With the model's ``threshold``, and ``b_ran`` among the rows, alerts also say what the model found."""
+        self.cfg, self.threshold = cfg, threshold
+        if threshold is not None:
+            self.columns, self.result = (*self.columns, "b_ran"), _fields(B_TEXT, *ALERT_FIELDS)
 
     def initial(self):
         return AlertState()
@@ -150,7 +166,10 @@ class AlertFold:
         for i in np.flatnonzero(alert):
             findings = (rows[c][i] for c in ("a_flag", "a_score", "b_flag", "b_score"))
             level[i], source[i], points[i] = severity(*findings)
-        return {"alert": alert, "severity": level, "detector_source": source, "score": points}, after
+        found = {"alert": alert, "severity": level, "detector_source": source, "score": points}
+        if self.threshold is not None:
+            found["b_details"] = model_texts(np.flatnonzero(alert), rows, self.threshold)
+        return found, after
 
     def summarize(self, rows):
         return json.dumps(vars(summarize_alerts(rows[POSITION], rows[MICROS], self.cfg)))
@@ -158,17 +177,21 @@ class AlertFold:
     def follow(self, state, summary):
         return AlertSummary(**json.loads(summary)).after(state, self.cfg.cooldown_seconds * 1_000_000)
 
+    def compose(self, first, then):
+        cooldown = self.cfg.cooldown_seconds * 1_000_000
+        return json.dumps(vars(AlertSummary(**json.loads(first)).then(AlertSummary(**json.loads(then)), cooldown)))
+
 
 class FusedFold:
     """Statistics, gated model and alerts in one walk over a host's rows. ``a_details`` is set for rows that raise an alert."""
 
     columns = (*FEATURES, MICROS, ERROR, MODEL_FLAG)
-    result = _fields(*STATS_FIELDS, *MODEL_FIELDS, ("a_details", T.StringType()), *ALERT_FIELDS)
+    result = _fields(*STATS_FIELDS, *MODEL_FIELDS, ("a_details", T.StringType()), B_TEXT, *ALERT_FIELDS)
 
     def __init__(self, cfg: PipelineConfig):
         self.stats = PoisonFold(cfg.window, cfg.outliers)
         self.gate = GateFold(cfg.gate)
-        self.alerts = AlertFold(cfg.alerts)
+        self.alerts = AlertFold(cfg.alerts, cfg.model.threshold)
 
     def initial(self):
         return (self.stats.initial(), self.gate.initial(), self.alerts.initial())
@@ -184,18 +207,13 @@ class FusedFold:
         return {**stats, **model, "a_details": details, **alerts}, list(zip(s0, s1, s2))
 
 
-FUSED_COLUMNS = tuple("details" if f.name == "a_details" else f.name for f in FusedFold.result)
+FUSED_COLUMNS = tuple("details" if f.name == "a_details" else f.name for f in FusedFold.result if f.name != B_TEXT[0])
 
 
-def with_details(verdicts: DataFrame, cfg: PipelineConfig) -> DataFrame:
-    """What each alert says: both detectors' findings, and whether the model was skipped. One text for hosts of any size."""
-    model_text = F.concat(F.lit("[B:"), score_details(cfg.model.threshold, "b_score"), F.lit("] "))
-    details = F.concat(
-        F.when(F.col("a_details") != "", F.concat(F.lit("[A:"), "a_details", F.lit("] "))).otherwise(""),
-        F.when(F.col("b_flag"), model_text).otherwise(""),
-        F.when(F.col("b_ran"), "").otherwise("[B:SKIPPED] "),
-    )
-    return verdicts.withColumn("details", F.when(F.col("alert"), details))
+def with_details(verdicts: DataFrame) -> DataFrame:
+    """What each alert says: both detectors' findings, and whether the model was skipped."""
+    stats = F.when(F.col("a_details") != "", F.concat(F.lit("[A:"), "a_details", F.lit("] "))).otherwise("")
+    return verdicts.withColumn("details", F.when(F.col("alert"), F.concat(stats, B_TEXT[0])))
 
 
 IDENTITY = (*HOST_KEYS, *TIME_ORDER)
@@ -262,7 +280,7 @@ def fused_pipeline(
 
     def build(seq: HostRows) -> DataFrame:
         verdicts = _staged(seq, cfg) if seq.split else run_fold(seq, FusedFold(cfg), IDENTITY)
-        return with_details(verdicts, cfg).select(*IDENTITY, *FUSED_COLUMNS)
+        return with_details(verdicts).select(*IDENTITY, *FUSED_COLUMNS)
 
     return for_hosts(fused_input(telemetry, cfg), build, slice_rows, telemetry)
 
@@ -277,4 +295,4 @@ def _staged(seq: HostRows, cfg: PipelineConfig) -> DataFrame:
     a_columns = ("a_flag", "a_score", "a_details")
     gated = staged(run_fold(judged, GateFold(cfg.gate), (*base, *a_columns)))
     b_columns = tuple(n for n, _ in MODEL_FIELDS)
-    return run_fold(gated, AlertFold(cfg.alerts), (*IDENTITY, *a_columns, *b_columns))
+    return run_fold(gated, AlertFold(cfg.alerts, cfg.model.threshold), (*IDENTITY, *a_columns, *b_columns))

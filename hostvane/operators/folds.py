@@ -5,7 +5,8 @@ initial state. For larger ones the state at the start of a slice is the state at
 before, which is not known while slices run in parallel. There are two ways to find it, both exact.
 
 Folds whose effect has a short form (``summarize``): every slice is summarized as a function of the state
-before it, all slices at once; then one pass per host follows the summaries from slice to slice.
+before it, all slices at once. Summaries compose, so neighbouring ones are joined as a tree; the top is followed
+from slice to slice, and states go back down.
 
 Other folds: every slice that has a successor runs once from a guessed start, giving an end state. Each
 host's chain of (start, end) digests is walked from its exact first slice. Where the start a slice needs
@@ -39,6 +40,7 @@ from hostvane.operators.sequences import POSITION, SLICE, HostRows
 from hostvane.session import materialize
 
 STATE, START = "_state", "_start"
+FAN = 256  # summaries that one task composes or follows
 GUESSED = ""  # digest that stands for the initial state
 
 
@@ -65,6 +67,10 @@ class ShortFold(Fold, Protocol):
 
     def follow(self, state: Any, summary: str) -> Any: ...
 
+    def compose(self, first: str, then: str) -> str:
+        """The effect of two neighbouring slices together."""
+        ...
+
 
 def digest(state: bytes) -> str:
     return hashlib.md5(state).hexdigest()
@@ -218,15 +224,57 @@ def _marker_rows(starts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     )
 
 
-def _followed_starts(rows: DataFrame, fold: ShortFold, keys: list[str]) -> DataFrame:
-    """(keys, slice, state) for every slice of a large host, by summaries."""
+def _followed_starts(rows: DataFrame, fold: ShortFold, keys: list[str], fan: int | None = None) -> DataFrame:
+    """(keys, slice, state) for every slice of a large host, by summaries.
+
+    Summaries of neighbouring slices are composed, ``fan`` at a time, until a host has few enough for one task to follow. States
+    then go back down the tree the same way, so the number of rounds grows with the logarithm of the slices.
+    """
+    fan = fan or FAN
     ids = [*keys, SLICE]
     large = rows.where(F.col(SLICE) > 0).select(*keys).distinct()
     inner = join_checked(rows.select(*ids, POSITION, *fold.columns).where(fold.matters), large, keys, "left_semi")
     schema = T.StructType([rows.schema[c] for c in ids] + [T.StructField("summary", T.StringType())])
     summaries = inner.repartition(*ids).sortWithinPartitions(*ids, POSITION).mapInPandas(_emit_summaries(fold, ids), schema)
+    most = rows.agg(F.max(SLICE)).first()[0] or 0
+    levels = [summaries if most < fan else materialize(summaries, "summaries")]
+    while most >= fan:
+        most //= fan
+        grouped = levels[-1].withColumn("_place", F.col(SLICE)).withColumn(SLICE, F.expr(f"{SLICE} div {fan}").cast(rows.schema[SLICE].dataType))
+        placed = grouped.repartition(*ids).sortWithinPartitions(*ids, "_place")
+        levels.append(materialize(placed.mapInPandas(_emit_composed(fold, ids), schema), "summaries"))
     state = T.StructType([rows.schema[c] for c in ids] + [T.StructField(STATE, T.BinaryType())])
-    return summaries.repartition(*keys).sortWithinPartitions(*ids).mapInPandas(_emit_starts(fold, keys), state)
+    top = levels.pop()
+    states = top.repartition(*keys).sortWithinPartitions(*ids).mapInPandas(_emit_starts(fold, keys), state)
+    while levels:
+        below = levels.pop().withColumn("_above", F.expr(f"{SLICE} div {fan}").cast(rows.schema[SLICE].dataType))
+        known = states.select(*keys, F.col(SLICE).alias("_above"), F.lit(-1).cast(rows.schema[SLICE].dataType).alias(SLICE), STATE)
+        both = below.unionByName(known, allowMissingColumns=True)
+        placed = both.repartition(*keys, "_above").sortWithinPartitions(*keys, "_above", SLICE)
+        states = placed.mapInPandas(_emit_starts(fold, [*keys, "_above"], len(keys)), state)
+    return states
+
+
+def _emit_composed(fold: ShortFold, ids: Sequence[str]):
+    """The joint effect of neighbouring slices, in order."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, text = None, None
+        for batch in batches:
+            done = []
+            for row in batch[[*ids, "summary"]].itertuples(index=False, name=None):
+                key, own = row[:-1], row[-1]
+                if key == name:
+                    text = fold.compose(text, own)
+                else:
+                    if name is not None:
+                        done.append((*name, text))
+                    name, text = key, own
+            yield pd.DataFrame(done, columns=[*ids, "summary"])
+        if name is not None:
+            yield pd.DataFrame([(*name, text)], columns=[*ids, "summary"])
+
+    return emit
 
 
 def _emit_summaries(fold: ShortFold, ids: Sequence[str]):
@@ -251,20 +299,27 @@ def _emit_summaries(fold: ShortFold, ids: Sequence[str]):
     return emit
 
 
-def _emit_starts(fold: ShortFold, keys: Sequence[str]):
-    """Follows each host from slice to slice, holding nothing but the current state."""
+def _emit_starts(fold: ShortFold, keys: Sequence[str], shown: int | None = None):
+    """Follows each group from slice to slice, holding nothing but the current state. A row with a state says where
+    its group starts; ``shown`` of the keys are given out."""
+    shown = len(keys) if shown is None else shown
+    columns = [*keys[:shown], SLICE, STATE]
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         host, state = None, None
         for batch in batches:
             out = []
-            for row in batch[[*keys, SLICE, "summary"]].itertuples(index=False, name=None):
+            given = batch[STATE] if STATE in batch else [None] * len(batch)
+            for row, start in zip(batch[[*keys, SLICE, "summary"]].itertuples(index=False, name=None), given):
                 *key, place, text = row
                 if key != host:
                     host, state = key, fold.initial()
-                out.append((*key, place, pack(state)))
+                if place < 0:
+                    state = unpack(bytes(start))
+                    continue
+                out.append((*key[:shown], place, pack(state)))
                 state = fold.follow(state, text)
-            yield pd.DataFrame(out, columns=[*keys, SLICE, STATE])
+            yield pd.DataFrame(out, columns=columns)
 
     return emit
 

@@ -145,7 +145,7 @@ def stream_fused(
         )
     )
     real = out.where("run_id IS NOT NULL OR record_id IS NOT NULL")  # not the row that closes the input
-    return with_details(real, cfg).withColumn("metric_timestamp", F.timestamp_micros(MICROS)).select(
+    return with_details(real).withColumn("metric_timestamp", F.timestamp_micros(MICROS)).select(
         *IDENTITY, *FUSED_COLUMNS
     )
 

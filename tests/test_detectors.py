@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import deque
 
+from functools import reduce
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -197,11 +199,15 @@ def test_gate_summaries_chain_to_the_walk(steps, period_ms, cuts):
     times = np.cumsum([s for s, _ in steps]).astype(int)
     flags = np.array([f for _, f in steps], dtype=bool)
     bounds = [0, *sorted({c for c in cuts if c < len(times)}), len(times)]
-    state = walked = None
+    state, walked, parts = None, None, []
     for a, b in zip(bounds, bounds[1:]):
-        state = summarize_gate(times[a:b], flags[a:b], period_ms).after(state, period_ms)
+        parts.append((state, summarize_gate(times[a:b], flags[a:b], period_ms)))
+        state = parts[-1][1].after(state, period_ms)
         _, walked = gate(times[a:b].tolist(), flags[a:b], walked, period_ms)
         assert state == walked
+    for k, (before, _) in enumerate(parts):  # composed from any slice on
+        joint = reduce(lambda x, y: x.then(y, period_ms), [p for _, p in parts[k:]])
+        assert joint.after(before, period_ms) == state
 
 
 @settings(max_examples=300, deadline=None)
@@ -216,9 +222,14 @@ def test_alert_summaries_chain_to_the_walk(steps, consecutive, cooldown, cuts):
     times = np.cumsum([s for s, _ in steps]).astype(int) * SECOND
     positions = np.cumsum([p for _, p in steps]).astype(int)
     bounds = [0, *sorted({c for c in cuts if c < len(times)}), len(times)]
-    state = walked = AlertState()
+    state, walked, parts = AlertState(), AlertState(), []
     for a, b in zip(bounds, bounds[1:]):
-        state = summarize_alerts(positions[a:b], times[a:b], cfg).after(state, cooldown * SECOND)
+        parts.append((state, summarize_alerts(positions[a:b], times[a:b], cfg)))
+        state = parts[-1][1].after(state, cooldown * SECOND)
         _, walked = alert_rows(positions[a:b], times[a:b], walked, cfg)
         assert (state.last_alert, state.last_position) == (walked.last_alert, walked.last_position)
         assert state.count == walked.count
+    for k in range(len(parts)):  # composed from any slice on, two by two in any grouping
+        left = reduce(lambda x, y: x.then(y, cooldown * SECOND), [p for _, p in parts[k:]])
+        right = reduce(lambda x, y: y.then(x, cooldown * SECOND), [p for _, p in parts[k:]][::-1])
+        assert left.after(parts[k][0], cooldown * SECOND) == right.after(parts[k][0], cooldown * SECOND) == state

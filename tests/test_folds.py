@@ -14,7 +14,7 @@ from hostvane.functions.detectors import (
     RobustZ,
     WindowConfig,
 )
-from hostvane.operators import detect, rolling
+from hostvane.operators import detect, folds, rolling
 from hostvane.operators.sequences import POSITION, SLICE, numbered, with_lead_in
 
 VERDICT = ("a_flag", "a_score", "b_ran", "b_flag", "b_score", "details", "alert", "severity", "detector_source", "score")
@@ -96,6 +96,15 @@ def test_gate_without_flags_is_carried_through_slices(telemetry):
     assert all(by_record(detect.gated_model(verdicts, GateConfig(False)), "b_ran").values())
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_summaries_as_a_tree_give_the_same(telemetry, monkeypatch, fan):
+    """Many slices, composed a few at a time over several levels."""
+    monkeypatch.setattr(folds, "FAN", fan)
+    df = hosts(telemetry, [150, 5, 40])
+    whole = by_record(detect.fused_pipeline(df, CONFIG), *VERDICT)
+    assert by_record(detect.fused_pipeline(df, CONFIG, slice_rows=5), *VERDICT) == whole
+
+
 @pytest.mark.parametrize("slice_rows", [1_000_000, 6])
 def test_alerts_need_adjacent_flags(telemetry, slice_rows):
     df = telemetry([reading(i, seconds=i) for i in range(30)])
