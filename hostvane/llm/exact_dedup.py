@@ -55,7 +55,8 @@ def directory(keys: DataFrame, bucket_keys: int | None = None, max_depth: int =
     )
     sizes = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("n"))
     fits = sizes.where((F.col("n") <= bucket_keys) | (F.col("depth") == max_depth)).select("depth", "bucket")
-    first = levels.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("b"))
+    # Both sides have a row per cell and depth, which Spark takes for less: never broadcast.
+    first = levels.join(fits.hint("merge"), ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("b"))
     return first.select("cell", "b.depth", "b.bucket")
 
 
