@@ -29,4 +29,4 @@ def test_query(spark, db, tables, name):  # noqa: F811
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
