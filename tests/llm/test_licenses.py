@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 import duckdb
 import pandas as pd
 
@@ -43,3 +45,36 @@ def test_known_sentences_have_an_anchor_and_rules_know_their_sentences():
 
 def test_empty(make):  # noqa: F811
     assert L.scan(make([])).collect() == []
+
+
+def wrapped(text, width, leader):
+    return "\n".join((leader + line).rstrip() for line in textwrap.wrap(text, width))
+
+
+APACHE = [S[i] for i in ("apache-licensed", "apache-copy", "apache-as-is", "apache-see")]
+BLOCKS = [
+    (1, "# Copyright 2020 Someone\n#\n" + wrapped(" ".join([APACHE[0], APACHE[1]]), 70, "# ") + "\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n"
+        + wrapped(" ".join(APACHE[2:]), 70, "# ") + "\nimport os"),
+    (2, "/*\n * Copyright (c) 2001 A\n *\n" + wrapped(S["bsd-grant"], 60, " * ") + "\n" + wrapped("1. " + S["bsd-source"], 60, " * ") + "\n"
+        + wrapped("2. " + S["bsd-binary"], 60, " * ") + "\n" + wrapped("3. " + S["bsd-names"], 60, " * ") + "\n */\nint main() {}"),
+    (3, "int x = 1;\n" + wrapped(S["GPL-2.0-or-later-program"], 50, "// ") + "\n//\n// more"),
+    (4, "dnl a configuration\n" + wrapped(S["LGPL-2.1-or-later-library"], 72, "dnl ")),
+    (5, "This is free and unencumbered software released into the public\n# domain."),
+    (6, "a header without an end\n" + wrapped(S["bsl-grant"], 40, "") + "\n\nand so on"),
+    (7, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Someone\n "
+        + S["gpl-family"].replace(" of this", "\n of this") + "\n\n                            Preamble\n\n  " + S["gpl-3-preamble"]),
+    (8, "-- SPDX-License-Identifier: AGPL-3.0-only\nSELECT 1"),
+    (9, "; " + S["mit-licensed"] + "\n; " + S["apache-short"]),
+    (10, "licensed under\n" * 40 + "\n中文 licence\n*\n" + "\n".join(S["isc-grant"].split(" ")[:15])),  # unfinished
+]
+
+
+def test_comment_blocks_wraps_and_numbers(make):  # noqa: F811
+    got = sorted(map(tuple, L.scan(make(BLOCKS)).collect()))
+    assert [(r[0], r[1], r[4]) for r in got] == [
+        (1, "Apache-2.0", 4), (2, "BSD-3-Clause", 4), (3, "GPL-2.0-or-later", 1), (4, "LGPL-2.1-or-later", 1), (5, "Unlicense", 1),
+        (6, "BSL-1.0", 1), (7, "GPL-3.0", 2), (8, "AGPL-3.0-only", 1), (9, "Apache-2.0", 1), (9, "MIT", 1),
+    ]
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(BLOCKS, columns=["doc_id", "text"]))
+    assert got == sorted(db.execute(L.oracle_sql()).fetchall())
