@@ -139,8 +139,17 @@ def _advance(fold: Fold, batch, starts, ends, states):
 ARROW = {"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
 
-def _emit_rows(fold: Fold, ids: Sequence[str], keep: Sequence[str]):
+def _states_after(n: int, ends: np.ndarray, starts: np.ndarray, after: list) -> pa.Array:
+    """The state after each segment, in its last row of this batch."""
+    states = [None] * n
+    for i in np.flatnonzero(ends > starts):
+        states[ends[i] - 1] = pack(after[i])
+    return pa.array(states, pa.binary())
+
+
+def _emit_rows(fold: Fold, ids: Sequence[str], keep: Sequence[str], with_states: bool = False):
     kinds = {f.name: ARROW[f.dataType.simpleString()] for f in fold.result}
+    shown = [STATE] if with_states else []
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = _segments(batches, ids, fold)
@@ -152,7 +161,8 @@ def _emit_rows(fold: Fold, ids: Sequence[str], keep: Sequence[str]):
                 arrays = [batch.column(c) for c in keep]
                 # NaN stands for "no value" in a result
                 arrays += [pa.array(result[name], type=kind, from_pandas=True) for name, kind in kinds.items()]
-                out = pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds])
+                arrays += [_states_after(batch.num_rows, ends, starts, after) for _ in shown]
+                out = pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds, *shown])
                 markers = batch.column(STATE)
                 yield out if markers.null_count == batch.num_rows else out.filter(markers.is_null())
             try:
@@ -193,23 +203,33 @@ def _emit_ends(fold: Fold, ids: Sequence[str], schema: pa.Schema):
     return emit
 
 
-def run_fold(seq: HostRows, fold: Fold, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns of every row plus the fold's results, exact for hosts of any size."""
+def run_fold(seq: HostRows, fold: Fold, keep: Sequence[str], begin: DataFrame | None = None) -> DataFrame:
+    """``keep`` columns of every row plus the fold's results, exact for hosts of any size.
+
+    With ``begin`` (keys and a packed state, at most one row a host) those hosts start from their state instead of the initial
+    one, and the column ``STATE`` holds, in the last row of every slice and in some rows before, the state after that row.
+    """
     keys = list(seq.keys)
     needed = list(dict.fromkeys([*keys, SLICE, POSITION, *keep, *fold.columns]))
     rows = seq.rows.select(*needed)
     ids = [*keys, SLICE]
     if seq.split:
         found = _followed_starts if hasattr(fold, "summarize") else _tried_starts
-        rows = rows.unionByName(_marker_rows(found(rows, fold, keys), rows, keys), allowMissingColumns=True)
+        starts = found(rows, fold, keys, begin=begin).select(*ids, STATE)
+    if begin is not None:
+        first = begin.select(*keys, F.lit(0).cast(rows.schema[SLICE].dataType).alias(SLICE), STATE)
+        starts = first.unionByName(starts.where(F.col(SLICE) > 0)) if seq.split else first
+    if seq.split or begin is not None:
+        rows = rows.unionByName(_marker_rows(starts, rows, keys), allowMissingColumns=True)
     else:
         rows = rows.withColumn(STATE, F.lit(None).cast("binary"))
-    schema = T.StructType([rows.schema[c] for c in keep] + list(fold.result))
+    states = [] if begin is None else [T.StructField(STATE, T.BinaryType())]
+    schema = T.StructType([rows.schema[c] for c in keep] + list(fold.result) + states)
     for f in schema:
         f.nullable = True
     # Unsplit rows come out of the numbering window, which has already gathered each host in one task.
-    placed = rows.repartition(*ids) if seq.split else rows
-    return placed.sortWithinPartitions(*ids, POSITION).mapInArrow(_emit_rows(fold, ids, keep), schema)
+    placed = rows.repartition(*ids) if seq.split or begin is not None else rows
+    return placed.sortWithinPartitions(*ids, POSITION).mapInArrow(_emit_rows(fold, ids, keep, bool(states)), schema)
 
 
 def _marker_rows(starts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -224,7 +244,9 @@ def _marker_rows(starts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     )
 
 
-def _followed_starts(rows: DataFrame, fold: ShortFold, keys: list[str], fan: int | None = None) -> DataFrame:
+def _followed_starts(
+    rows: DataFrame, fold: ShortFold, keys: list[str], fan: int | None = None, begin: DataFrame | None = None
+) -> DataFrame:
     """(keys, slice, state) for every slice of a large host, by summaries.
 
     Summaries of neighbouring slices are composed, ``fan`` at a time, until a host has few enough for one task to follow. States
@@ -245,6 +267,9 @@ def _followed_starts(rows: DataFrame, fold: ShortFold, keys: list[str], fan: int
         levels.append(materialize(placed.mapInPandas(_emit_composed(fold, ids), schema), "summaries"))
     state = T.StructType([rows.schema[c] for c in ids] + [T.StructField(STATE, T.BinaryType())])
     top = levels.pop()
+    if begin is not None:
+        before = begin.select(*keys, F.lit(-1).cast(rows.schema[SLICE].dataType).alias(SLICE), STATE)
+        top = top.unionByName(before, allowMissingColumns=True)
     states = top.repartition(*keys).sortWithinPartitions(*ids).mapInPandas(_emit_starts(fold, keys), state)
     while levels:
         below = levels.pop().withColumn("_above", F.expr(f"{SLICE} div {fan}").cast(rows.schema[SLICE].dataType))
@@ -324,13 +349,15 @@ def _emit_starts(fold: ShortFold, keys: Sequence[str], shown: int | None = None)
     return emit
 
 
-def _tried_starts(rows: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
+def _tried_starts(rows: DataFrame, fold: Fold, keys: list[str], begin: DataFrame | None = None) -> DataFrame:
     """(keys, slice, state) for every later slice of a large host, by trying starts."""
     chain = Window.partitionBy(*keys).orderBy(SLICE)
     slices = rows.select(*keys, SLICE).distinct().withColumn("_next", F.lead(SLICE).over(chain))
     slices = materialize(slices.where(F.col("_next").isNotNull()), "slices")
     inner = join_checked(rows, slices.select(*keys, SLICE), [*keys, SLICE], "left_semi")
-    tried = materialize(_ends(inner.withColumn(START, F.lit(GUESSED)), None, fold, keys), "ends").withColumn(
+    if begin is not None:  # exact for the first slices, as the guess is for hosts without a state
+        begin = begin.select(*keys, F.lit(0).cast(rows.schema[SLICE].dataType).alias(SLICE), F.lit(GUESSED).alias(START), STATE)
+    tried = materialize(_ends(inner.withColumn(START, F.lit(GUESSED)), begin, fold, keys), "ends").withColumn(
         "_round", F.lit(0)
     )
     turn = 0

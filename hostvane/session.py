@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_WITHIN: ContextVar[str] = ContextVar("scratch_within", default="")
 
 
 def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
@@ -49,7 +53,20 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{_WITHIN.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_within(spark: SparkSession, label: str) -> Iterator[None]:
+    """Intermediate tables of the calling thread go into one folder, deleted at the end: for steps that repeat without end."""
+    before = _WITHIN.set(f"{_WITHIN.get()}{label}-{uuid.uuid4().hex}/")
+    folder = f"{scratch_folder(spark)}/{_WITHIN.get()}"
+    try:
+        yield
+    finally:
+        _WITHIN.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> bool:
