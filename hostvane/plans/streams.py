@@ -13,7 +13,7 @@ from hostvane.plans.registry import query, rounded, with_ctes
 from hostvane.plans.tables import table
 from hostvane.session import scratch_path
 from hostvane.sources.telemetry import telemetry_from_events
-from hostvane.streaming import fused, jobs
+from hostvane.streaming import fused, jobs, sliced
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of telemetry."""
@@ -115,6 +115,32 @@ def stream_fused(spark, sf_dir):
     return rounded(done.withColumn("metric_timestamp", jobs.zoneless("metric_timestamp")))
 
 
+@query(
+    "stream_fused_sliced",
+    fused_sql(
+        """run_id, host_id, metric_timestamp, record_id, a_flag, round(a_score, 6) AS a_score, b_ran, b_flag,
+        round(b_score, 6) AS b_score, alert""",
+    ),
+)
+def stream_fused_sliced(spark, sf_dir):
+    """The events in two micro-batches; hosts with more than 300 rows in one are cut into slices."""
+    session, folder = jobs.stream_session(spark), scratch_path(spark, "sliced-input")
+    events = table(spark, sf_dir, "events")
+    store, log, closing = scratch_path(spark, "sliced"), scratch_path(spark, "sliced-log"), scratch_path(spark, "closing")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    earlier = F.col("ts") <= F.lit(first + (last - first) / 2)
+    for part in (earlier, ~earlier, None):
+        if part is not None:
+            events.where(part).write.mode("append").parquet(folder)
+        stream = telemetry_from_events(session.readStream.schema(events.schema).parquet(folder))
+        stream = jobs.with_closing(stream, closing)
+        if part is None:
+            jobs.close_input(session, closing, stream.schema)
+        jobs.finish(sliced.stream_fused_sliced(stream, store, log, PIPELINE, slice_rows=300))
+    done = sliced.read_verdicts(spark, store).drop("details", "severity", "detector_source", "score")
+    return rounded(done)
+
+
 def store_alerts(spark: SparkSession, sf_dir: str, path: str, sink: str, part: str = "true") -> DataFrame:
     """Run the alerts of some runs into the table at ``path`` under the name ``sink``; all alerts there."""
     log, schema = scratch_path(spark, f"{sink}-log"), []

@@ -31,10 +31,10 @@ def test_slices_of_several_batches_equal_one_batch(feed, telemetry):
     draw = np.random.default_rng(5)
     order = np.argsort([i + draw.uniform(0, 8) for i in range(len(rows))])
     rows = [rows[i] for i in order]
-    for a, b in ((0, 50), (50, 55), (55, 150)):
+    for a, b in ((0, 60), (60, 150)):
         feed.add(rows[a:b])
     feed.add([reading(END, seconds=END, host="late")])
-    got = run(feed, delay_ms=200_000, slice_rows=12)
+    got = run(feed, delay_ms=200_000, slice_rows=20)
     want = by_record(detect.fused_pipeline(telemetry(rows), CONFIG), *VERDICT)
     assert by_record(got, *VERDICT) == want and any(v[6] for v in want.values())
     assert sliced.late_rows(feed.spark, str(feed.folder / "s")) == 0
@@ -44,14 +44,14 @@ def test_slices_of_several_batches_equal_one_batch(feed, telemetry):
 def test_late_rows_idle_hosts_and_kept_folders(feed, telemetry, monkeypatch):
     monkeypatch.setattr(sliced, "COMPACT", 2)
     rows = noisy(60, hosts=1)
-    for a in range(0, 60, 12):
-        late = [reading(900, seconds=5, host="h0")] if a == 24 else []
-        feed.add(rows[a : a + 12] + late)
+    for a in (0, 30):
+        late = [reading(900, seconds=5, host="h0")] if a == 30 else []
+        feed.add(rows[a : a + 30] + late)
     feed.add([reading(400, seconds=40_000, host="other")])
     after = [reading(500 + i, seconds=50_000 + i * 10, host="h0", cpu=900) for i in range(6)]
     feed.add(after)
     feed.add([reading(END, seconds=END, host="other")])
-    out = by_record(run(feed, idle_ms=600_000, slice_rows=7), *VERDICT)
+    out = by_record(run(feed, idle_ms=600_000), *VERDICT)
     store = str(feed.folder / "s")
     assert sliced.late_rows(feed.spark, store) == 1 and 900 not in out
     want = by_record(detect.fused_pipeline(telemetry(rows), CONFIG), *VERDICT)
@@ -64,16 +64,16 @@ def test_late_rows_idle_hosts_and_kept_folders(feed, telemetry, monkeypatch):
 def test_a_batch_that_broke_off_is_run_again(feed, telemetry, monkeypatch):
     rows = noisy(60, hosts=2)
     feed.add(rows[:60])
-    run(feed, slice_rows=10)
+    run(feed)
     feed.add(rows[60:])
     broken = monkeypatch.context()
     with broken as m:
         m.setattr(sliced.folders, "write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(Exception, match="lost"):
-            run(feed, slice_rows=10)
+            run(feed)
     assert len(by_record(sliced.read_verdicts(feed.spark, str(feed.folder / "s")), "a_flag")) <= 60
     feed.add([reading(END, seconds=END, host="late")])
-    got = by_record(run(feed, slice_rows=10), *VERDICT)
+    got = by_record(run(feed), *VERDICT)
     got.pop(END, None)
     assert got == by_record(detect.fused_pipeline(telemetry(rows), CONFIG), *VERDICT)
     with pytest.raises(Exception, match="another checkpoint"):
