@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +29,15 @@ from hostvane.schemas import FEATURES, HOST_KEYS
 from hostvane.streaming.jobs import DELAY
 
 IDLE_MS = 30 * 24 * 3600 * 1000  # a host is forgotten after 30 silent days, so state does not grow for ever
+BUCKET_US = 60 * 1_000_000  # rows wait by minute of event time
 BUFFERED = ("record_id", MICROS, *FEATURES, ERROR, MODEL_FLAG)
-BUFFER_SCHEMA = T.StructType(
-    [T.StructField("record_id", T.LongType()), T.StructField(MICROS, T.LongType())]
-    + [T.StructField(f, T.DoubleType()) for f in (*FEATURES, ERROR)]
-    + [T.StructField(MODEL_FLAG, T.BooleanType())]
+WAITING = pa.schema(
+    [("record_id", pa.int64()), (MICROS, pa.int64()), *((f, pa.float64()) for f in (*FEATURES, ERROR)), (MODEL_FLAG, pa.bool_())]
 )
+BUCKET_SCHEMA = T.StructType([T.StructField("bucket", T.LongType())])
+COUNT_SCHEMA = T.StructType([T.StructField("chunks", T.LongType())])
+CHUNK_SCHEMA = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType())])
+ROWS_SCHEMA = T.StructType([T.StructField("rows", T.BinaryType())])
 HOST_SCHEMA = T.StructType(
     [
         T.StructField("detectors", T.BinaryType()),
@@ -52,9 +56,23 @@ RESULT_SCHEMA = T.StructType(
 )
 
 
+def to_bytes(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(rows, schema=WAITING, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, WAITING) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(chunks: list[bytes]) -> pd.DataFrame:
+    return pa.concat_tables(pa.ipc.open_stream(c).read_all() for c in chunks).to_pandas()
+
+
 class FusedProcessor(StatefulProcessor):
     """One host. Rows wait until the watermark passes them, then advance the detectors in time order.
 
+    Waiting rows lie in chunks by minute of event time, so what a batch adds is written once, and a timer reads only the minutes the
+    watermark has reached; of the last one what is not due is written again. Rows are released a minute at a time.
     Rows behind the watermark never get here: Spark drops and counts them (``jobs.finish_counting``). With ``idle_ms``
     set, a host that stays silent that long in event time is forgotten.
     """
@@ -66,7 +84,9 @@ class FusedProcessor(StatefulProcessor):
         self.handle = handle
         self.fold = FusedFold(self.cfg)
         self.host = handle.getValueState("host", HOST_SCHEMA)
-        self.buffer = handle.getListState("waiting", BUFFER_SCHEMA)
+        self.chunks = handle.getMapState("chunks", BUCKET_SCHEMA, COUNT_SCHEMA)
+        self.rows = handle.getMapState("rows", CHUNK_SCHEMA, ROWS_SCHEMA)
+        self.judged = None  # (host, watermark) up to which rows were released; timers of a batch share a watermark
 
     def _load(self):
         if self.host.exists():
@@ -74,48 +94,60 @@ class FusedProcessor(StatefulProcessor):
             return unpack(bytes(detectors)), position, released
         return self.fold.initial(), 0, -1
 
+    def _keep(self, bucket: int, rows: pd.DataFrame, timerValues) -> None:
+        n = self.chunks.getValue((bucket,))[0] if self.chunks.containsKey((bucket,)) else 0
+        self.rows.updateValue((bucket, n), (to_bytes(rows),))
+        self.chunks.updateValue((bucket,), (n + 1,))
+        self._wake(int(rows[MICROS].min()), timerValues)
+
+    def _take(self, bucket: int) -> pd.DataFrame:
+        n = self.chunks.getValue((bucket,))[0]
+        taken = from_bytes([bytes(self.rows.getValue((bucket, k))[0]) for k in range(n)])
+        for k in range(n):
+            self.rows.removeKey((bucket, k))
+        self.chunks.removeKey((bucket,))
+        return taken
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        detectors, position, released = self._load()
-        earliest = None
         for frame in rows:
             fresh = frame[list(BUFFERED)]
-            if len(fresh):
-                self.buffer.appendList(list(fresh.itertuples(index=False, name=None)))
-                first = int(fresh[MICROS].min())
-                earliest = first if earliest is None else min(earliest, first)
-        self.host.update((pack(detectors), position, released))
-        if earliest is not None:
-            self._wake(earliest, timerValues)
+            for bucket, part in fresh.groupby(fresh[MICROS].astype("int64") // BUCKET_US):
+                self._keep(int(bucket), part, timerValues)
+        if not self.host.exists():
+            detectors, position, released = self._load()
+            self.host.update((pack(detectors), position, released))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(bucket for (bucket,) in self.chunks.keys())
+        reached = [] if self.judged == (key, watermark) else [b for b in waiting if b * BUCKET_US <= watermark]
+        self.judged = (key, watermark)
         detectors, position, released = self._load()
-        waiting = pd.DataFrame(list(self.buffer.get()), columns=list(BUFFERED))
-        due = waiting[MICROS].to_numpy(dtype="int64") <= watermark if len(waiting) else np.zeros(0, dtype=bool)
-        if not due.any():
-            if not len(waiting) and self.idle_ms is not None and released + self.idle_ms * 1000 <= watermark:
-                self.host.clear()
-            return
-        rest = waiting[~due]
-        if len(rest):
-            self.buffer.put(list(rest.itertuples(index=False, name=None)))
-            self._wake(int(rest[MICROS].min()), timerValues)
-        else:
-            self.buffer.clear()
-        rows = waiting[due].sort_values([MICROS, "record_id"], ignore_index=True)
-        columns = {c: rows[c].to_numpy() for c in BUFFERED}
-        columns[POSITION] = np.arange(position, position + len(rows), dtype="int64")
-        columns[MODEL_FLAG] = columns[MODEL_FLAG].astype(bool)
-        result, after = self.fold.run(columns, np.array([0]), np.array([len(rows)]), [detectors])
-        released = int(rows[MICROS].iloc[-1])
-        self.host.update((pack(after[0]), position + len(rows), released))
-        if self.idle_ms is not None:
-            self.handle.registerTimer(released // 1000 + self.idle_ms)
-        head = pd.DataFrame(
-            {"run_id": key[0], "host_id": key[1], MICROS: rows[MICROS], "record_id": rows["record_id"]}
-        )
-        yield head.assign(**result)
+        moved = False
+        for bucket in reached:
+            rows = self._take(bucket)
+            due = rows[MICROS].to_numpy() <= watermark
+            if not due.all():
+                self._keep(bucket, rows[~due], timerValues)
+            if not due.any():
+                continue
+            rows = rows[due].sort_values([MICROS, "record_id"], ignore_index=True)
+            columns = {c: rows[c].to_numpy() for c in BUFFERED}
+            columns[POSITION] = np.arange(position, position + len(rows), dtype="int64")
+            columns[MODEL_FLAG] = columns[MODEL_FLAG].astype(bool)
+            result, after = self.fold.run(columns, np.array([0]), np.array([len(rows)]), [detectors])
+            detectors, position, released, moved = after[0], position + len(rows), int(rows[MICROS].iloc[-1]), True
+            head = pd.DataFrame(
+                {"run_id": key[0], "host_id": key[1], MICROS: rows[MICROS], "record_id": rows["record_id"]}
+            )
+            yield head.assign(**result)
+        if moved:
+            self.host.update((pack(detectors), position, released))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(released // 1000 + self.idle_ms)
+        elif not waiting and self.idle_ms is not None and released + self.idle_ms * 1000 <= watermark:
+            self.host.clear()
 
     def _wake(self, micros: int, timerValues) -> None:
         """A timer fires when the watermark passes it; round up so the row is due by then."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import by_record, reading
 from test_streaming import CONFIG, END, VERDICT, Feed, noisy
@@ -10,7 +11,7 @@ from test_streaming import CONFIG, END, VERDICT, Feed, noisy
 from hostvane.operators import detect
 from hostvane.session import scratch_folder
 from hostvane.sources import folders
-from hostvane.streaming import jobs, sliced
+from hostvane.streaming import fused, jobs, sliced
 
 
 @pytest.fixture
@@ -78,3 +79,67 @@ def test_a_batch_that_broke_off_is_run_again(feed, telemetry, monkeypatch):
     assert got == by_record(detect.fused_pipeline(telemetry(rows), CONFIG), *VERDICT)
     with pytest.raises(Exception, match="another checkpoint"):
         jobs.finish(sliced.stream_fused_sliced(feed.stream(), str(feed.folder / "s"), str(feed.folder / "log2"), CONFIG, 0))
+
+
+class Kept(dict):
+    """A map or value of the state store."""
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self
+
+    getValue = dict.__getitem__  # noqa: N815
+    updateValue = dict.__setitem__  # noqa: N815
+    removeKey = dict.__delitem__  # noqa: N815
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self["value"]
+
+    def update(self, value):
+        self["value"] = value
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, *_):  # noqa: N802
+        return Kept()
+
+    def getValueState(self, *_):  # noqa: N802
+        return Kept()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+
+class Clock:
+    ms = 0
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_timers_read_only_the_minutes_that_are_due(monkeypatch):
+    names = list(fused.BUFFERED)
+    made = fused.FusedProcessor(CONFIG, 10**12)
+    handle, clock, read = Handle(), Clock(), []
+    made.init(handle)
+    real = fused.from_bytes
+    monkeypatch.setattr(fused, "from_bytes", lambda chunks: read.append(len(chunks)) or real(chunks))
+    for batch in range(40):  # a minute each, all still waiting
+        rows = pd.DataFrame({n: [1.0] * 6 for n in names})
+        rows["record_id"] = range(batch * 6, batch * 6 + 6)
+        rows["time_us"] = [(batch * 60 + s * 10 + 1) * 1_000_000 for s in range(6)]
+        rows[fused.MODEL_FLAG] = False
+        assert not list(made.handleInputRows(("r", "h"), iter([rows]), clock))
+    clock.ms = 125_000
+    due = sorted(t for t in handle.timers if t <= clock.ms)
+    out = pd.concat(frame for _ in due for frame in made.handleExpiredTimer(("r", "h"), clock, None))
+    assert len(due) == 3 and read == [1, 1, 1]  # however many timers fire and rows wait
+    assert out["record_id"].tolist() == list(range(13)) and len(made.rows) == 38
+    clock.ms = 10**7
+    rest = pd.concat(made.handleExpiredTimer(("r", "h"), clock, None))
+    assert rest["record_id"].tolist() == list(range(13, 240)) and not made.rows and not made.chunks
