@@ -160,7 +160,8 @@ def plan_delete(spark: SparkSession, tables: Mapping[str, str], deleted: DataFra
     """Plan to delete every dataset in ``deleted`` (dataset_id) from the stored ``tables`` (name to path).
 
     Tables partitioned by dataset lose folders. The others are written anew beside themselves and swapped. Inference runs go
-    with the models of a deleted dataset. The names of the deleted datasets are names of folders and reach the driver.
+    with the models of a deleted dataset. The names of a table's folders reach the driver, and deleted datasets only where the
+    table has a folder for them.
     """
     unknown = set(tables) - set(DELETE_ORDER)
     if unknown:
@@ -172,7 +173,8 @@ def plan_delete(spark: SparkSession, tables: Mapping[str, str], deleted: DataFra
     for name in (n for n in DELETE_ORDER if n in tables):
         path, column = tables[name], DATASET_COLUMN.get(name)
         if column and folders.folders(spark, f"{path}/{column}=*"):
-            names = [r[0] for r in gone.toLocalIterator()]
+            held = spark.createDataFrame([(v,) for v in folders.partition_values(spark, path, column)], "dataset_id string")
+            names = [r[0] for r in gone.join(held, "dataset_id", "left_semi").toLocalIterator()]
             steps.append({"do": "remove", "paths": [folders.partition_folder(spark, path, **{column: n}) for n in names]})
             continue
         rows = spark.read.parquet(path)

@@ -54,3 +54,9 @@ def partition_folder(spark: SparkSession, table: str, **values: str) -> str:
     """The folder of a partition, with names escaped as Spark writes them."""
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     return "/".join([table, *(f"{column}={escape(value)}" for column, value in values.items())])
+
+
+def partition_values(spark: SparkSession, table: str, column: str) -> list[str]:
+    """Values of a table's first partition column, as its folders name them."""
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return [unescape(f.rsplit("/", 1)[1].split("=", 1)[1]) for f in folders(spark, f"{table}/{column}=*")]

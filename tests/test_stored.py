@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 
 import numpy as np
@@ -169,6 +170,20 @@ def test_cascade_delete_resumes_after_a_failure(spark, telemetry, tmp_path, monk
         expiry.plan_delete(spark, {"other": "x"}, gone, str(tmp_path / "other"))
 
 
+def test_a_delete_names_only_folders_that_exist(spark, telemetry, tmp_path):
+    _, paths = delete_tables(spark, telemetry, tmp_path)
+    plan = str(tmp_path / "plan")
+    names = [(f"unknown-{i}",) for i in range(300)]
+    expiry.plan_delete(spark, paths, spark.createDataFrame([*names, (RUNS[1],), ("",), (None,)], "dataset_id string"), plan)
+    steps = json.loads(folders.read_text(spark, f"{plan}/plan.json"))
+    removed = {p for s in steps if s["do"] == "remove" for p in s["paths"]}
+    assert removed == {
+        folders.partition_folder(spark, paths["host_telemetry_archival"], run_id=RUNS[1]),
+        folders.partition_folder(spark, paths["dataset_scores"], dataset_id=RUNS[1]),
+    }
+    assert all(folders.exists(spark, p) for p in removed)
+
+
 def series(df, **options):
     out = df.collect()
     return {(r["run_id"], r["ts"]): {c: r[c] for c in df.columns if c not in ("run_id", "ts")} for r in out}
