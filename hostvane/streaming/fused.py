@@ -29,20 +29,20 @@ from hostvane.schemas import FEATURES, HOST_KEYS
 from hostvane.streaming.jobs import DELAY
 
 IDLE_MS = 30 * 24 * 3600 * 1000  # a host is forgotten after 30 silent days, so state does not grow for ever
-BUCKET_US = 60 * 1_000_000  # rows wait by minute of event time
+CHUNK_ROWS = 1000  # rows of a host that wait together
+RELEASE_ROWS = 20_000  # rows of a host that advance the detectors together, but for chunks that overlap
 BUFFERED = ("record_id", MICROS, *FEATURES, ERROR, MODEL_FLAG)
 WAITING = pa.schema(
     [("record_id", pa.int64()), (MICROS, pa.int64()), *((f, pa.float64()) for f in (*FEATURES, ERROR)), (MODEL_FLAG, pa.bool_())]
 )
-BUCKET_SCHEMA = T.StructType([T.StructField("bucket", T.LongType())])
-COUNT_SCHEMA = T.StructType([T.StructField("chunks", T.LongType())])
-CHUNK_SCHEMA = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType())])
+CHUNK_SCHEMA = T.StructType([T.StructField("first", T.LongType()), T.StructField("chunk", T.LongType())])
 ROWS_SCHEMA = T.StructType([T.StructField("rows", T.BinaryType())])
 HOST_SCHEMA = T.StructType(
     [
         T.StructField("detectors", T.BinaryType()),
         T.StructField("position", T.LongType()),
         T.StructField("released", T.LongType()),
+        T.StructField("chunks", T.LongType()),
     ]
 )
 RESULT_SCHEMA = T.StructType(
@@ -64,15 +64,20 @@ def to_bytes(rows: pd.DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def from_bytes(chunks: list[bytes]) -> pd.DataFrame:
-    return pa.concat_tables(pa.ipc.open_stream(c).read_all() for c in chunks).to_pandas()
+def from_bytes(chunk: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(chunk).read_pandas()
+
+
+def in_time_order(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values([MICROS, "record_id"], ignore_index=True)
 
 
 class FusedProcessor(StatefulProcessor):
     """One host. Rows wait until the watermark passes them, then advance the detectors in time order.
 
-    Waiting rows lie in chunks by minute of event time, so what a batch adds is written once, and a timer reads only the minutes the
-    watermark has reached; of the last one what is not due is written again. Rows are released a minute at a time.
+    What a batch adds is written once, in time order, in chunks of at most CHUNK_ROWS rows named by their first time; so the calls
+    of the state store grow with the chunks, not with the rows or their minutes. A timer reads only chunks whose first row is due; rows
+    of these that are not due are written again. Rows are released about RELEASE_ROWS at a time.
     Rows behind the watermark never get here: Spark drops and counts them (``jobs.finish_counting``). With ``idle_ms``
     set, a host that stays silent that long in event time is forgotten.
     """
@@ -84,70 +89,93 @@ class FusedProcessor(StatefulProcessor):
         self.handle = handle
         self.fold = FusedFold(self.cfg)
         self.host = handle.getValueState("host", HOST_SCHEMA)
-        self.chunks = handle.getMapState("chunks", BUCKET_SCHEMA, COUNT_SCHEMA)
         self.rows = handle.getMapState("rows", CHUNK_SCHEMA, ROWS_SCHEMA)
         self.judged = None  # (host, watermark) up to which rows were released; timers of a batch share a watermark
 
     def _load(self):
         if self.host.exists():
-            detectors, position, released = self.host.get()
-            return unpack(bytes(detectors)), position, released
-        return self.fold.initial(), 0, -1
-
-    def _keep(self, bucket: int, rows: pd.DataFrame, timerValues) -> None:
-        n = self.chunks.getValue((bucket,))[0] if self.chunks.containsKey((bucket,)) else 0
-        self.rows.updateValue((bucket, n), (to_bytes(rows),))
-        self.chunks.updateValue((bucket,), (n + 1,))
-        self._wake(int(rows[MICROS].min()), timerValues)
-
-    def _take(self, bucket: int) -> pd.DataFrame:
-        n = self.chunks.getValue((bucket,))[0]
-        taken = from_bytes([bytes(self.rows.getValue((bucket, k))[0]) for k in range(n)])
-        for k in range(n):
-            self.rows.removeKey((bucket, k))
-        self.chunks.removeKey((bucket,))
-        return taken
+            detectors, *numbers = self.host.get()
+            return bytes(detectors), *numbers
+        return pack(self.fold.initial()), 0, -1, 0
+
+    def _keep(self, rows: pd.DataFrame, chunks: int) -> int:
+        """Write ``rows``, which are in time order, as chunks numbered from ``chunks`` on; the number after them."""
+        for at in range(0, len(rows), CHUNK_ROWS):
+            part = rows.iloc[at : at + CHUNK_ROWS]
+            self.rows.updateValue((int(part[MICROS].iloc[0]), chunks), (to_bytes(part),))
+            chunks += 1
+        return chunks
+
+    def _take(self, chunk: tuple[int, int]) -> pd.DataFrame:
+        rows = from_bytes(bytes(self.rows.getValue(chunk)[0]))
+        self.rows.removeKey(chunk)
+        return rows
+
+    def _due(self, reached: list[tuple[int, int]], watermark: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+        """(rows to release, rows held back) of chunks that are opened in the order of their first rows: a row goes out when all
+        chunks that may hold earlier ones are open."""
+        held, size, enough = [], 0, RELEASE_ROWS
+        for i, chunk in enumerate(reached):
+            held.append(self._take(chunk))
+            size += len(held[-1])
+            last = i + 1 == len(reached)
+            if size < enough and not last:
+                continue
+            rows = in_time_order(pd.concat(held, ignore_index=True))
+            until = watermark + 1 if last else reached[i + 1][0]
+            n = int(rows[MICROS].searchsorted(until))
+            held, size = [rows.iloc[n:]], len(rows) - n
+            enough = max(RELEASE_ROWS, 2 * size)
+            yield rows.iloc[:n], held[0]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        detectors, position, released, chunks = self._load()
+        first = None
         for frame in rows:
-            fresh = frame[list(BUFFERED)]
-            for bucket, part in fresh.groupby(fresh[MICROS].astype("int64") // BUCKET_US):
-                self._keep(int(bucket), part, timerValues)
-        if not self.host.exists():
-            detectors, position, released = self._load()
-            self.host.update((pack(detectors), position, released))
+            fresh = in_time_order(frame[list(BUFFERED)].astype({MICROS: "int64"}))
+            if len(fresh):
+                chunks = self._keep(fresh, chunks)
+                first = min(int(fresh[MICROS].iloc[0]), first if first is not None else int(fresh[MICROS].iloc[0]))
+        self.host.update((detectors, position, released, chunks))
+        if first is not None:
+            self._wake(first, timerValues)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(bucket for (bucket,) in self.chunks.keys())
-        reached = [] if self.judged == (key, watermark) else [b for b in waiting if b * BUCKET_US <= watermark]
+        if self.judged == (key, watermark):
+            return
         self.judged = (key, watermark)
-        detectors, position, released = self._load()
-        moved = False
-        for bucket in reached:
-            rows = self._take(bucket)
-            due = rows[MICROS].to_numpy() <= watermark
-            if not due.all():
-                self._keep(bucket, rows[~due], timerValues)
-            if not due.any():
-                continue
-            rows = rows[due].sort_values([MICROS, "record_id"], ignore_index=True)
-            columns = {c: rows[c].to_numpy() for c in BUFFERED}
-            columns[POSITION] = np.arange(position, position + len(rows), dtype="int64")
-            columns[MODEL_FLAG] = columns[MODEL_FLAG].astype(bool)
-            result, after = self.fold.run(columns, np.array([0]), np.array([len(rows)]), [detectors])
-            detectors, position, released, moved = after[0], position + len(rows), int(rows[MICROS].iloc[-1]), True
-            head = pd.DataFrame(
-                {"run_id": key[0], "host_id": key[1], MICROS: rows[MICROS], "record_id": rows["record_id"]}
-            )
-            yield head.assign(**result)
-        if moved:
-            self.host.update((pack(detectors), position, released))
+        waiting = sorted((first, chunk) for first, chunk in self.rows.keys())
+        reached = [chunk for chunk in waiting if chunk[0] <= watermark]
+        packed, position, released, chunks = self._load()
+        left = [first for first, _ in waiting[len(reached) :]]
+        if reached:
+            detectors, rest = unpack(packed), None
+            for rows, rest in self._due(reached, watermark):
+                if not len(rows):
+                    continue
+                columns = {c: rows[c].to_numpy() for c in BUFFERED}
+                columns[POSITION] = np.arange(position, position + len(rows), dtype="int64")
+                columns[MODEL_FLAG] = columns[MODEL_FLAG].astype(bool)
+                result, after = self.fold.run(columns, np.array([0]), np.array([len(rows)]), [detectors])
+                detectors, position, released = after[0], position + len(rows), int(rows[MICROS].iloc[-1])
+                head = pd.DataFrame(
+                    {"run_id": key[0], "host_id": key[1], MICROS: rows[MICROS], "record_id": rows["record_id"]}
+                )
+                yield head.assign(**result)
+            if len(rest):
+                chunks = self._keep(rest, chunks)
+                left.append(int(rest[MICROS].iloc[0]))
+        if left:
+            self._wake(min(left), timerValues)
+        elif self.idle_ms is not None and released + self.idle_ms * 1000 <= watermark:
+            self.host.clear()
+            return
+        if reached:
+            self.host.update((pack(detectors), position, released, chunks))
             if self.idle_ms is not None:
                 self.handle.registerTimer(released // 1000 + self.idle_ms)
-        elif not waiting and self.idle_ms is not None and released + self.idle_ms * 1000 <= watermark:
-            self.host.clear()
 
     def _wake(self, micros: int, timerValues) -> None:
         """A timer fires when the watermark passes it; round up so the row is due by then."""

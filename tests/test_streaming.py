@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import START, by_record, counted, reading
 
 from hostvane.functions.detectors import AlertConfig, GateConfig, OutlierConfig, PipelineConfig, WindowConfig
 from hostvane.functions.pca import DEFAULT_MODEL, dataset_scores
 from hostvane.operators import analytics, detect
+from hostvane.schemas import FEATURES
 from hostvane.streaming import fused, jobs
 
 CONFIG = PipelineConfig(
@@ -78,6 +80,105 @@ def test_fused_stream_equals_batch_with_rows_out_of_order(feed, telemetry):
     assert any(v[6] for v in want.values())
 
 
+class Held:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.now = 0, -1
+        self.values: dict[str, dict] = {}
+        self.timers: set[int] = set()
+
+    def getValueState(self, name, *schemas):
+        return HeldState(self, self.values.setdefault(name, {}))
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+class HeldState:
+    def __init__(self, store, held):
+        self.store, self.held = store, held
+
+    def _call(self):
+        self.store.calls += 1
+        return self.held
+
+    def exists(self):
+        return bool(self._call())
+
+    def get(self):
+        return self._call()[()]
+
+    def update(self, value):
+        self._call()[()] = value
+
+    def clear(self):
+        self._call().clear()
+
+    def getValue(self, key):
+        return self._call()[key]
+
+    def updateValue(self, key, value):
+        self._call()[key] = value
+
+    def removeKey(self, key):
+        del self._call()[key]
+
+    def keys(self):
+        return iter(list(self._call()))
+
+
+def host_frame(times, first=0):
+    draw = np.random.default_rng(3)
+    n = len(times)
+    metrics = {f: 40 + draw.normal(0, 1, n) + draw.binomial(1, 0.1, n) * 30 for f in FEATURES}
+    return pd.DataFrame(
+        {"record_id": np.arange(first, first + n), fused.MICROS: np.array(times, dtype="int64") * 1_000_000, **metrics,
+         fused.ERROR: draw.random(n), fused.MODEL_FLAG: draw.random(n) < 0.2}
+    )
+
+
+def run_host(batches, watermarks, idle_ms=None):
+    """(frames that came out, the store): timers fire as in Spark, once the batch's rows are in."""
+    store, out = Held(), []
+    processor = fused.FusedProcessor(CONFIG, idle_ms)
+    processor.init(store)
+    for rows, store_now in zip(batches, watermarks):
+        store.now = store_now
+        if rows is not None:
+            list(processor.handleInputRows(("r", "h"), iter([rows]), store))
+        for at in sorted(t for t in store.timers if t <= store.now):
+            store.timers.discard(at)
+            out.extend(processor.handleExpiredTimer(("r", "h"), store, None))
+    return pd.concat(out, ignore_index=True), store
+
+
+def test_state_calls_grow_with_chunks_not_with_minutes():
+    rows = host_frame(range(0, 60 * 400, 60))
+    out, store = run_host([rows, None], [-1, 10**12])
+    assert out["record_id"].tolist() == list(range(400))
+    assert store.calls < 20 and not store.values["rows"]
+
+
+@pytest.mark.parametrize("release", [5, 10**6])
+def test_overlapping_chunks_come_out_in_time_order(monkeypatch, release):
+    rows = host_frame(np.sort(np.random.default_rng(4).integers(0, 900, 300)))
+    whole, _ = run_host([rows, None], [-1, 10**12])
+    monkeypatch.setattr(fused, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(fused, "RELEASE_ROWS", release)
+    mixed = rows.sample(frac=1, random_state=1)
+    parts = [mixed.iloc[:150], mixed.iloc[150:], None, None, None]
+    out, store = run_host(parts, [-1, -1, 100_000, 500_500, 10**12], idle_ms=60_000)
+    pd.testing.assert_frame_equal(out, whole)
+    assert not store.values["rows"] and not store.values["host"]
+
+
 def test_late_rows_are_dropped(feed, telemetry):
     rows = noisy(40, hosts=1)
     build = lambda s: fused.stream_fused(s, CONFIG, delay="0 seconds")
