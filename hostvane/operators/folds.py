@@ -257,7 +257,7 @@ def _followed_starts(
     large = rows.where(F.col(SLICE) > 0).select(*keys).distinct()
     inner = join_checked(rows.select(*ids, POSITION, *fold.columns).where(fold.matters), large, keys, "left_semi")
     schema = T.StructType([rows.schema[c] for c in ids] + [T.StructField("summary", T.StringType())])
-    summaries = inner.repartition(*ids).sortWithinPartitions(*ids, POSITION).mapInPandas(_emit_summaries(fold, ids), schema)
+    summaries = inner.repartition(*ids).sortWithinPartitions(*ids, POSITION).mapInArrow(_emit_summaries(fold, ids, to_arrow_schema(schema)), schema)
     most = rows.agg(F.max(SLICE)).first()[0] or 0
     levels = [summaries if most < fan else materialize(summaries, "summaries")]
     while most >= fan:
@@ -302,24 +302,34 @@ def _emit_composed(fold: ShortFold, ids: Sequence[str]):
     return emit
 
 
-def _emit_summaries(fold: ShortFold, ids: Sequence[str]):
+def _emit_summaries(fold: ShortFold, ids: Sequence[str], schema: pa.Schema):
     """Gathers one slice at a time; a slice has a bounded number of rows."""
 
-    def summary(name: tuple, parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in (POSITION, *fold.columns)}
-        return pd.DataFrame([(*name, fold.summarize(rows))], columns=[*ids, "summary"])
+    columns = (POSITION, *fold.columns)
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shown(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+    def summary(name: tuple, parts: list[Columns]) -> tuple:
+        return (*name, fold.summarize({c: np.concatenate([p[c] for p in parts]) for c in columns}))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, parts = None, []
         for batch in batches:
-            for key, rows in batch.groupby(list(ids), sort=False):
+            if not batch.num_rows:
+                continue
+            starts, names = _starts_of(batch, ids)
+            rows, done = _numbers(batch, columns), []
+            for key, a, b in zip(names, starts, [*starts[1:], batch.num_rows]):
                 if key != name and parts:
-                    yield summary(name, parts)
+                    done.append(summary(name, parts))
                     parts = []
                 name = key
-                parts.append(rows)
+                parts.append({c: rows[c][a:b] for c in columns})
+            if done:
+                yield shown(done)
         if parts:
-            yield summary(name, parts)
+            yield shown([summary(name, parts)])
 
     return emit
 
@@ -409,24 +419,43 @@ def _walk(tried: DataFrame, slices: DataFrame, keys: list[str], turn: int) -> Da
         + [T.StructField(SLICE, T.LongType()), T.StructField(START, T.StringType()), T.StructField("try", T.BooleanType())]
     )
 
-    def chain(host: pd.DataFrame) -> pd.DataFrame:
-        host = host.sort_values([SLICE, "_round"])
-        ends = {(s, a): e for s, a, e in zip(host[SLICE], host[START], host["end_id"])}
-        latest = dict(zip(host[SLICE], host["end_id"]))
-        after = dict(zip(host[SLICE], host["_next"]))
-        order = sorted(after)
+    def chain(host: tuple, host_links: list[tuple]) -> list[tuple]:
+        ends = {(s, a): e for s, a, e, _ in host_links}
+        latest = {s: e for s, _, e, _ in host_links}
+        after = {s: n for s, _, _, n in host_links}
+        order = list(after)
         out = []
         state, i = GUESSED, 0
         while i < len(order) and (order[i], state) in ends:
             state = ends[order[i], state]
-            out.append((after[order[i]], state, False))
+            out.append((*host, after[order[i]], state, False))
             i += 1
         for j in range(i, len(order)):
             guesses = {state} if j == i else {latest[order[j - 1]]} | ({state} if turn > 1 else set())
-            out.extend((order[j], g, True) for g in sorted(guesses) if (order[j], g) not in ends)
-        frame = pd.DataFrame(out, columns=[SLICE, START, "try"])
-        for k in reversed(keys):
-            frame.insert(0, k, host[k].iloc[0])
-        return frame
+            out.extend((*host, order[j], g, True) for g in sorted(guesses) if (order[j], g) not in ends)
+        return out
 
-    return links.groupBy(*keys).applyInPandas(chain, schema)
+    n, columns = len(keys), [*keys, SLICE, START, "end_id", "_next"]
+    kinds = to_arrow_schema(schema)
+
+    def shown(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hosts follow each other in a task; the links of one are held at a time."""
+        host, held = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if row[:n] != host:
+                    if held:
+                        out.extend(chain(host, held))
+                    host, held = row[:n], []
+                held.append(row[n:])
+            if out:
+                yield shown(out)
+        if held and (out := chain(host, held)):
+            yield shown(out)
+
+    placed = links.repartition(*keys).sortWithinPartitions(*keys, SLICE, "_round")
+    return placed.select(*columns).mapInArrow(emit, schema)

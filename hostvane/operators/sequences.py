@@ -20,6 +20,7 @@ from hostvane.schemas import HOST_KEYS, TIME_ORDER
 from hostvane.session import materialize
 
 SLICE_ROWS = 1_000_000
+RANGE_ROWS = 100_000  # rows that a task numbers at least, however short the slices are
 POSITION = "_pos"
 SLICE = "_slice"
 
@@ -83,7 +84,7 @@ def _in_one_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], slic
 
 def _in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int, total: int) -> HostRows:
     at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = number_by_ranges(df, keys, order, max(at_least, -(-total // slice_rows)))
+    rows = number_by_ranges(df, keys, order, max(at_least, -(-total // max(slice_rows, RANGE_ROWS))))
     rows = rows.withColumn(SLICE, F.floor(F.col(POSITION) / F.lit(slice_rows)).cast("long"))
     return HostRows(rows, tuple(keys), slice_rows, True)
 
