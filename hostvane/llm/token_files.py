@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hostvane.llm import huffman
 from hostvane.llm.token_ids import WordEncoder
-from hostvane.llm.workers import per_worker, slices
+from hostvane.llm.workers import let_go, per_worker, slices
 from hostvane.operators.joins import join_checked
 from hostvane.session import materialize, scratch_path
 
@@ -42,7 +42,7 @@ def _encode(tokenizer: str, end_id: int, dtype: str):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = per_worker(f"words {tokenizer} {dtype}", lambda: WordEncoder(tokenizer, dtype))
+        encoder = per_worker(f"words {tokenizer} {dtype}", lambda: WordEncoder(tokenizer, dtype), others=0)
         end, pack = np.array([end_id], dtype=dtype).tobytes(), zstandard.ZstdCompressor(level=1).compress
         for batch in (part for whole in batches for part in slices(whole, TEXTS_AT_ONCE)):
             texts = batch.column(1).to_pylist()
@@ -76,6 +76,7 @@ def _unpacked(column: pa.Array, dtype: str) -> list[np.ndarray]:
 
 def _count(dtype: str, space: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts = np.zeros(space, dtype=np.int64)
         for batch in (part for whole in batches for part in slices(whole)):
             for ids in _unpacked(batch.column(0), dtype):
@@ -90,6 +91,7 @@ def _blocks(dtype: str, lengths: np.ndarray, codes: np.ndarray, block_ids: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        let_go()
         part, block = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         held: list[np.ndarray] = []
@@ -148,6 +150,7 @@ def write_token_files(
 
 def _decode(lengths: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table = huffman.decode_table(lengths)
         for batch in batches:
             for row in range(batch.num_rows):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import sys
 import types
@@ -33,20 +34,39 @@ def texts_of(series: pd.Series, rows: int = TEXTS_AT_ONCE) -> Iterator[list[str
 THINGS_KEPT = 2
 
 
-def per_worker(name: str, make: Callable[[], Any]) -> Any:
+def _kept() -> dict[str, Any]:
+    state = sys.modules.setdefault("hostvane_worker_state", types.ModuleType("hostvane_worker_state"))
+    return state.__dict__.setdefault("kept", {})
+
+
+def per_worker(name: str, make: Callable[[], Any], others: int = THINGS_KEPT - 1) -> Any:
     """``make()`` once per Python worker: workers serve many tasks, and loading or warming up is not free.
 
-    Only the things used last stay, so a worker does not gather the models of all jobs it has served.
+    Only the things used last stay, so a worker does not gather the models of all jobs it has served: of ``others`` at most as
+    many as given, and they go before the new one is made.
     """
-    state = sys.modules.setdefault("hostvane_worker_state", types.ModuleType("hostvane_worker_state"))
-    kept = state.__dict__.setdefault("kept", {})
-    thing = kept.pop(name) if name in kept else make()
+    kept = _kept()
+    known = name in kept
+    thing = kept.pop(name, None)
+    _drop(kept, others)
+    thing = thing if known else make()
     kept[name] = thing
-    while len(kept) > THINGS_KEPT:
-        kept.pop(next(iter(kept)))
     return thing
 
 
+def let_go() -> None:
+    """Drop what earlier jobs left with this worker: for steps that need nothing of it."""
+    _drop(_kept(), 0)
+
+
+def _drop(kept: dict[str, Any], left: int) -> None:
+    if len(kept) > left:
+        while len(kept) > left:
+            kept.pop(next(iter(kept)))
+        gc.collect()  # things may refer to themselves
+        pa.default_memory_pool().release_unused()
+
+
 def shared(spark: SparkSession, model: Any) -> Callable[[], Any]:
     """A function that gives ``model`` (of bounded size) on any worker. Its class travels with it."""
     sent, name = spark.sparkContext.broadcast(cloudpickle.dumps(model)), uuid.uuid4().hex

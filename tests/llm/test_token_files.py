@@ -121,3 +121,16 @@ def test_registered_query(spark, tables, library):  # noqa: F811
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
     got = QUERIES["op2_token_files"](spark, tables).collect()
     assert sorted(map(tuple, got)) == expected(library, rows)
+
+
+def test_steps_after_encoding_hold_no_word_cache(monkeypatch):
+    from hostvane.llm import workers
+
+    made, kept = [], {}
+    monkeypatch.setattr(workers, "_kept", lambda: kept)
+    workers.per_worker("model", dict)
+    workers.per_worker("letters", dict)
+    encoder = workers.per_worker("words", lambda: made.append(list(kept)) or {}, others=0)
+    assert made == [[]] and list(kept) == ["words"] and workers.per_worker("words", list, others=0) is encoder
+    list(token_files._count("<u2", 10)(iter([])))
+    assert not kept
