@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from hostvane.llm import huffman
 from hostvane.llm.token_ids import WordEncoder
-from hostvane.llm.workers import let_go, per_worker, slices
+from hostvane.llm.workers import let_go, per_worker, slices, slices_of_bytes
 from hostvane.operators.joins import join_checked
 from hostvane.session import materialize, scratch_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
 MAX_BITS = 16
-TEXTS_AT_ONCE = 1000
+BYTES_AT_ONCE = 8 << 20  # of texts whose different words are looked up together
 
 BLOCK_SCHEMA = (
     "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, checkpoints array<long>, bits binary"
@@ -44,7 +44,7 @@ def _encode(tokenizer: str, end_id: int, dtype: str):
 
         encoder = per_worker(f"words {tokenizer} {dtype}", lambda: WordEncoder(tokenizer, dtype), others=0)
         end, pack = np.array([end_id], dtype=dtype).tobytes(), zstandard.ZstdCompressor(level=1).compress
-        for batch in (part for whole in batches for part in slices(whole, TEXTS_AT_ONCE)):
+        for batch in (part for whole in batches for part in slices_of_bytes(whole, 1, BYTES_AT_ONCE)):
             texts = batch.column(1).to_pylist()
             gc.disable()  # encoding makes many objects and no cycles
             try:
@@ -78,9 +78,17 @@ def _count(dtype: str, space: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         counts = np.zeros(space, dtype=np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in (part for whole in batches for part in slices(whole)):
             for ids in _unpacked(batch.column(0), dtype):
-                counts += np.bincount(ids, minlength=space)
+                held.append(ids)
+                size += len(ids)
+                if size >= BLOCK_IDS:  # a pass over the vocabulary costs more than one over a short text
+                    counts += np.bincount(np.concatenate(held), minlength=space)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=space)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["id", "n"])
 
@@ -154,12 +162,14 @@ def _decode(lengths: np.ndarray):
         table = huffman.decode_table(lengths)
         for batch in batches:
             for row in range(batch.num_rows):
-                start, n, docs, sizes, marks, bits = (batch.column(i)[row].as_py() for i in range(6))
-                ids = huffman.decode(bits, n, np.array(marks, dtype=np.int64), table)
-                ends = np.cumsum(np.array(sizes, dtype=np.int64))
-                raw = pa.array([x.tobytes() for x in np.split(ids.astype("<u4"), ends[:-1])], pa.binary())
-                at = pa.array(start + ends - np.array(sizes, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), at, raw], ["doc_id", "start", "ids"])
+                start, n, bits = (batch.column(i)[row].as_py() for i in (0, 1, 5))
+                docs, sizes, marks = (batch.column(i)[row].values for i in (2, 3, 4))
+                ids = huffman.decode(bits, n, marks.to_numpy(), table).astype("<u4", copy=False)
+                ends = np.cumsum(sizes.to_numpy(), dtype=np.int64)
+                cuts = pa.array(np.append(0, ends) * 4).cast(pa.int32())  # raises where they pass 32 bits
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, cuts.buffers()[1], pa.py_buffer(ids)])
+                at = pa.array(start + ends - sizes.to_numpy())
+                yield pa.RecordBatch.from_arrays([docs, at, raw], ["doc_id", "start", "ids"])
 
     return emit
 

@@ -10,8 +10,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
@@ -25,6 +27,17 @@ def slices(batch: pa.RecordBatch, rows: int = TEXTS_AT_ONCE) -> Iterator[pa.Reco
         yield batch.slice(at, rows)
 
 
+def slices_of_bytes(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` with up to ``size`` bytes of a text or binary column; a longer value is a part of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        limit = size + (ends[at - 1] if at else 0)
+        stop = max(int(np.searchsorted(ends, limit, side="right")), at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def texts_of(series: pd.Series, rows: int = TEXTS_AT_ONCE) -> Iterator[list[str | None]]:
     """The texts of a column, a part at a time; nulls as None."""
     for at in range(0, len(series), rows):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,3 +135,35 @@ def test_steps_after_encoding_hold_no_word_cache(monkeypatch):
     assert made == [[]] and list(kept) == ["words"] and workers.per_worker("words", list, others=0) is encoder
     list(token_files._count("<u2", 10)(iter([])))
     assert not kept
+
+
+def test_parts_of_a_batch_hold_so_many_bytes():
+    from hostvane.llm.workers import slices_of_bytes
+
+    texts = ["ab", None, "cd", "é", "long" * 5, "", "e", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    for kind in (pa.string(), pa.large_string()):
+        held = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(kind)], ["doc_id", "text"])
+        parts = [p.column(1).to_pylist() for p in slices_of_bytes(held, 1, 4)]
+        assert parts == [["ab", None, "cd"], ["é"], ["long" * 5], ["", "e", None]]
+        assert [p.column(0).to_pylist() for p in slices_of_bytes(held.slice(3, 3), 1, 4)] == [[3], [4], [5]]
+    assert list(slices_of_bytes(batch.slice(0, 0), 1, 4)) == []
+
+
+def test_short_texts_share_one_look_up_and_one_pass_over_the_vocabulary(monkeypatch):
+    calls, encode, bincount = [], WordEncoder.encode, np.bincount
+    monkeypatch.setattr(WordEncoder, "encode", lambda self, texts: calls.append(len(texts)) or encode(self, texts))
+    texts = [f"text {k} of many" for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], ["doc_id", "text"])
+    packed = list(token_files._encode(token_files.default_tokenizer(), 2, "<u2")(iter([batch])))
+    assert calls == [3000]
+    monkeypatch.setattr(token_files, "BYTES_AT_ONCE", 20_000)
+    small = list(token_files._encode(token_files.default_tokenizer(), 2, "<u2")(iter([batch])))
+    assert len(small) > 1 and sum(calls) == 6000
+    assert [x for b in small for x in b.column(1).to_pylist()] == packed[0].column(1).to_pylist()
+    passes = []
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: passes.append(1) or bincount(*a, **k))
+    (got,) = token_files._count("<u2", 1 << 16)(b.select([1]) for b in packed)
+    assert len(passes) == 1
+    ids = np.concatenate(token_files._unpacked(packed[0].column(1), "<u2"))
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == dict(zip(*np.unique(ids, return_counts=True)))
