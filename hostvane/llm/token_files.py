@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from hostvane.llm import huffman
 from hostvane.llm.token_ids import WordEncoder
-from hostvane.llm.workers import let_go, per_worker, slices, slices_of_bytes
+from hostvane.llm.workers import give_back, let_go, per_worker, slices, slices_of_bytes
 from hostvane.operators.joins import join_checked
 from hostvane.session import materialize, scratch_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
 MAX_BITS = 16
-BYTES_AT_ONCE = 8 << 20  # of texts whose different words are looked up together
+BYTES_AT_ONCE = 3 << 20  # of texts whose different words are looked up together
 
 BLOCK_SCHEMA = (
     "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, checkpoints array<long>, bits binary"
@@ -51,7 +51,10 @@ def _encode(tokenizer: str, end_id: int, dtype: str):
                 packed = [pack(ids + end) for ids in encoder.encode([t or "" for t in texts])]
             finally:
                 gc.enable()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            del texts, packed
+            give_back()  # a part takes as much as the word cache
+            yield out
 
     return emit
 

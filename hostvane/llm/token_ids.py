@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECES_KEPT = 800_000  # per worker
+PIECES_KEPT = 600_000  # per worker
 # White space, and the letters and digits of the Latin blocks.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -39,6 +39,7 @@ class Known(dict):
 
     def __missing__(self, key):
         if len(self) >= PIECES_KEPT // 2:
+            self.before = {}  # goes before the copy is made
             self.before = dict(self)
             self.clear()
         found = self.before.get(key)
@@ -105,11 +106,12 @@ class WordEncoder:
             return self._whole(chunk)
         return b"".join(map(self.known.__getitem__, self.pieces.findall(chunk)))
 
-    def _after_space(self, words: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    def _after_space(self, spelled: pa.LargeStringArray, words: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
         """(ids, the row of each word with the space before it). Row -1: white space at its ends ties it to its neighbours."""
         joined, row = " " + " ".join(words), np.zeros(len(words), np.int32)
         if not all(words) or self.odd_spaces.search(joined):
-            row[[k for k, w in enumerate(words) if w.strip(SPACE) != w or not w]] = -1
+            inner = pc.binary_length(pc.utf8_trim(spelled, SPACE)).to_numpy()
+            row[(inner == 0) | (inner < pc.binary_length(spelled).to_numpy())] = -1
         if self.beyond.search(joined):
             row[[k for k, w in enumerate(words) if row[k] == 0 and self.beyond.search(w)]] = 1
         plain, strange = np.flatnonzero(row == 0), np.flatnonzero(row == 1)
@@ -141,14 +143,15 @@ class WordEncoder:
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         bounds = split.offsets.to_numpy()
         words = split.values.dictionary_encode()
+        del split  # parts are large
         different = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
-        ids, row = self._after_space(different)
+        ids, row = self._after_space(words.dictionary, different)
         number = words.indices.to_numpy()
         # The first word of a text has no space before it: a row of its own, behind the others.
         begin = bounds[:-1]
         heads = [different[k] for k in number[begin]]
         rows = row[number]
-        del split, words, different, number  # parts are large
+        del words, different, number
         rows[begin] = [-1 if (self.spaces.match(h[-1]) if h else n > 1) else 0 for h, n in zip(heads, np.diff(bounds))]
         loose = np.minimum.reduceat(rows, begin) < 0
         rows[begin] = len(ids) + np.arange(len(texts))

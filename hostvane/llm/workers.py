@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import sys
@@ -77,7 +78,15 @@ def _drop(kept: dict[str, Any], left: int) -> None:
         while len(kept) > left:
             kept.pop(next(iter(kept)))
         gc.collect()  # things may refer to themselves
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which allocators else keep: workers of an executor share one limit with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def shared(spark: SparkSession, model: Any) -> Callable[[], Any]:

@@ -167,3 +167,17 @@ def test_short_texts_share_one_look_up_and_one_pass_over_the_vocabulary(monkeypa
     assert len(passes) == 1
     ids = np.concatenate(token_files._unpacked(packed[0].column(1), "<u2"))
     assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == dict(zip(*np.unique(ids, return_counts=True)))
+
+
+def test_every_part_gives_its_memory_back(monkeypatch):
+    """Executors hold several encoders beside the JVM: what a part took must not stay with the allocators."""
+    from hostvane.llm import workers
+
+    calls, give_back = [], workers.give_back
+    monkeypatch.setattr(token_files, "give_back", lambda: calls.append(1) or give_back())
+    texts = [" ".join(f"w{k}x{j}" for j in range(3000)) for k in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], ["doc_id", "text"])
+    given = [(len(calls), b.num_rows) for b in token_files._encode(token_files.default_tokenizer(), 2, "<u2")(iter([batch]))]
+    assert [n for n, _ in given] == list(range(1, len(given) + 1)) and sum(n for _, n in given) == 500
+    size = sum(map(len, texts))
+    assert len(given) >= size // (4 << 20)
