@@ -25,7 +25,7 @@ from hostvane.session import materialize, scratch_path
 END_ID = 2
 BLOCK_IDS = 1 << 18
 MAX_BITS = 16
-BYTES_AT_ONCE = 3 << 20  # of texts whose different words are looked up together
+BYTES_AT_ONCE = 6 << 20  # of texts whose different words are looked up together
 
 BLOCK_SCHEMA = (
     "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, checkpoints array<long>, bits binary"

@@ -11,12 +11,14 @@ import json
 import re
 import sys
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECES_KEPT = 600_000  # per worker
+WORDS_AT_ONCE = 20_000  # different words of which Python objects are made together
 # White space, and the letters and digits of the Latin blocks.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -31,21 +33,17 @@ def byte_letters() -> dict[int, str]:
 
 
 class Known(dict):
-    """What was made of keys met lately. A full half makes way for a new one, which takes over what is asked for again."""
+    """What was made of keys met lately. When full, it drops the oldest half."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make = make
 
     def __missing__(self, key):
-        if len(self) >= PIECES_KEPT // 2:
-            self.before = {}  # goes before the copy is made
-            self.before = dict(self)
-            self.clear()
-        found = self.before.get(key)
-        if found is None:
-            found = self.make(key)
-        self[key] = found
+        if len(self) >= PIECES_KEPT:
+            for old in list(islice(self, PIECES_KEPT // 2)):
+                del self[old]
+        found = self[key] = self.make(key)
         return found
 
 
@@ -67,6 +65,7 @@ class WordEncoder:
             and told["model"]["type"] == "BPE"
             and not told["model"].get("dropout")
             and not told["model"].get("ignore_merges")
+            and byte_letters()[32] in told["model"]["vocab"]
         )
         specials = [t["content"] for t in told.get("added_tokens", ())]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
@@ -77,6 +76,8 @@ class WordEncoder:
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
             self.model, self.letters = BPE(vocab, merges, cache_capacity=0), byte_letters()
             self.code = {"<u2": "H", "<u4": "I"}[dtype]
+            self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
+            self.opens[[n for token, n in vocab.items() if token.startswith(self.letters[32])]] = True
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.pieces = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+"
@@ -106,8 +107,18 @@ class WordEncoder:
             return self._whole(chunk)
         return b"".join(map(self.known.__getitem__, self.pieces.findall(chunk)))
 
-    def _after_space(self, spelled: pa.LargeStringArray, words: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    def _after_space(self, spelled: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
         """(ids, the row of each word with the space before it). Row -1: white space at its ends ties it to its neighbours."""
+        parts, rows, n = [], [], 0
+        for at in range(0, len(spelled), WORDS_AT_ONCE):
+            ids, row = self._some_after_space(spelled.slice(at, WORDS_AT_ONCE))
+            parts.append(ids)
+            rows.append(np.where(row < 0, -1, row + n).astype(np.int32))
+            n += len(ids)
+        return pa.concat_arrays(parts), np.concatenate(rows)
+
+    def _some_after_space(self, spelled: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        words = spelled.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
         joined, row = " " + " ".join(words), np.zeros(len(words), np.int32)
         if not all(words) or self.odd_spaces.search(joined):
             inner = pc.binary_length(pc.utf8_trim(spelled, SPACE)).to_numpy()
@@ -118,12 +129,12 @@ class WordEncoder:
         if len(plain) < len(words):
             joined = " " + " ".join([words[k] for k in plain])
         pieces = self.pieces.findall(joined) if len(plain) else []
-        ids = pa.array(list(map(self.known.__getitem__, pieces)), pa.large_binary())
-        cuts = np.frombuffer(ids.buffers()[1], np.int64)[: len(pieces) + 1] if pieces else np.zeros(1, np.int64)
-        begin = np.array([k for k, piece in enumerate(pieces) if piece[0] == " "], dtype=np.int64)
+        raw = b"".join(map(self.known.__getitem__, pieces))
+        ids = np.frombuffer(raw, self.dtype)
+        begin = np.flatnonzero(self.opens[ids])  # spaces stand only in front of words here
         row[plain], row[strange] = np.arange(len(plain)), len(plain) + np.arange(len(strange))
-        bounds = pa.py_buffer(cuts[np.append(begin, len(pieces))])
-        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, bounds, ids.buffers()[2]])
+        bounds = pa.py_buffer(np.append(begin, len(ids)).astype(np.int64) * ids.itemsize)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, bounds, pa.py_buffer(raw)])
         if len(begin) != len(plain):
             raise RuntimeError("the tokenizer's words do not begin with a space")
         rest = pa.array([self._whole(" " + words[k]) for k in strange], pa.large_binary())
@@ -144,14 +155,13 @@ class WordEncoder:
         bounds = split.offsets.to_numpy()
         words = split.values.dictionary_encode()
         del split  # parts are large
-        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
-        ids, row = self._after_space(words.dictionary, different)
+        ids, row = self._after_space(words.dictionary)
         number = words.indices.to_numpy()
         # The first word of a text has no space before it: a row of its own, behind the others.
         begin = bounds[:-1]
-        heads = [different[k] for k in number[begin]]
+        heads = words.dictionary.take(pa.array(number[begin])).to_pylist()
         rows = row[number]
-        del words, different, number
+        del words, number
         rows[begin] = [-1 if (self.spaces.match(h[-1]) if h else n > 1) else 0 for h, n in zip(heads, np.diff(bounds))]
         loose = np.minimum.reduceat(rows, begin) < 0
         rows[begin] = len(ids) + np.arange(len(texts))

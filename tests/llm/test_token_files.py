@@ -181,3 +181,33 @@ def test_every_part_gives_its_memory_back(monkeypatch):
     assert [n for n, _ in given] == list(range(1, len(given) + 1)) and sum(n for _, n in given) == 500
     size = sum(map(len, texts))
     assert len(given) >= size // (4 << 20)
+
+
+def test_more_text_shares_a_look_up_while_few_words_become_objects(monkeypatch, library):
+    from hostvane.llm import token_ids
+
+    calls, groups, encode, some = [], [], WordEncoder.encode, WordEncoder._some_after_space
+    monkeypatch.setattr(WordEncoder, "encode", lambda self, texts: calls.append(len(texts)) or encode(self, texts))
+    monkeypatch.setattr(WordEncoder, "_some_after_space", lambda self, w: groups.append(len(w)) or some(self, w))
+    monkeypatch.setattr(token_ids, "WORDS_AT_ONCE", 7)
+    texts = TRICKY + [" ".join(TRICKY), "same few words " * 350_000]  # 5 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    (got,) = token_files._encode(token_files.default_tokenizer(), 2, "<u4")(iter([batch]))
+    assert calls == [len(texts)] and len(groups) > 2 and max(groups) == 7
+    for text, ids in zip(texts[:-1], token_files._unpacked(got.column(1), "<u4")):
+        assert ids.tolist() == [*whole(library, text), 2], repr(text)
+
+
+def test_full_cache_makes_room_by_its_oldest_half(monkeypatch, library):
+    from hostvane.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "PIECES_KEPT", 10)
+    made = []
+    known = token_ids.Known(lambda piece: made.append(piece) or piece.upper())
+    assert [known[x] for x in "abcdefghij"] == list("ABCDEFGHIJ") and known["a"] == "A" and len(made) == 10
+    assert known["k"] == "K" and list(known) == list("fghijk")
+    assert known["a"] == "A" and made == list("abcdefghijka")  # each held once, none beside the cache
+    encoder = WordEncoder(token_files.default_tokenizer(), "<u4")
+    texts = ["x" + " ".join(f"w{k} y{k % 7}" for k in range(200)), "w3 w4"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == [whole(library, t) for t in texts]
+    assert len(encoder.known) <= 10
